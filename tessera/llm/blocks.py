@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.core import slices
 from tessera.runtime import Scratch
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_KEYS = 2_000_000
 
 
