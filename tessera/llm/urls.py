@@ -21,9 +21,8 @@ WORDS, BITS = 8, 8
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z in lower case; null or without ://: empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", F.lit(1))).isNotNull()
-    tail = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.when(rest, F.translate(tail, _UPPER, _LOWER)).otherwise(F.lit(""))
+    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    return F.coalesce(F.translate(found, _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
