@@ -38,18 +38,22 @@ def load(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-def pack(scratch: Scratch, docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block_id, text_bytes, blob): every row and column of docs, in blocks that stay as written."""
+def pack(scratch: Scratch, docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES, name: str = "blocks", negative: bool = False) -> DataFrame:
+    """(block_id, text_bytes, blob): every row and column of docs, in blocks that stay as written.
+
+    Ids are random; negative ones tell one table's blocks from another's.
+    """
+    sign = -1 if negative else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column, block_bytes):
                 part = pa.RecordBatch.from_pydict({n: pa.concat_arrays([part.column(i)]) for i, n in enumerate(part.schema.names)}, part.schema)
                 yield pa.RecordBatch.from_pydict(
-                    {"block_id": pa.array([int.from_bytes(os.urandom(8), "big") >> 1]), "text_bytes": pa.array([part.nbytes]), "blob": pa.array([_dump(part)], pa.binary())}
+                    {"block_id": pa.array([sign * (1 + (int.from_bytes(os.urandom(8), "big") >> 2))]), "text_bytes": pa.array([part.nbytes]), "blob": pa.array([_dump(part)], pa.binary())}
                 )
 
-    return scratch.write(docs.mapInArrow(run, "block_id long, text_bytes long, blob binary"), "blocks")
+    return scratch.write(docs.mapInArrow(run, "block_id long, text_bytes long, blob binary"), name)
 
 
 def buckets_for(blocks: DataFrame, keys_per_byte: float) -> int:
@@ -77,13 +81,18 @@ def ask(blocks: DataFrame, question: Callable[[pa.RecordBatch], Iterator[tuple[i
     return blocks.select("block_id", "blob").mapInArrow(run, "bucket int, block_id long, keys binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """(block_id, bucket, reply): of each bucket, the answers to its questions."""
+def answer(asked: DataFrame, reply: Callable[[list[bytes]], tuple[list[bytes], list[int]]], sums: int = 0) -> DataFrame:
+    """(block_id, bucket, reply, s0, s1..): of each bucket, the answers to its questions.
+
+    reply() also gives `sums` totals of the bucket; they stand in its first row.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table({"block_id": table["block_id"], "bucket": table["bucket"], "reply": pa.array(reply(table["keys"].to_pylist()), pa.binary())})
+        replies, totals = reply(table["keys"].to_pylist())
+        more = {f"s{i}": pa.array([totals[i]] + [0] * (len(replies) - 1), pa.int64()) for i in range(sums)}
+        return pa.table({"block_id": table["block_id"], "bucket": table["bucket"], "reply": pa.array(replies, pa.binary()), **more})
 
-    return asked.groupBy("bucket").applyInArrow(run, "block_id long, bucket int, reply binary")
+    return asked.groupBy("bucket").applyInArrow(run, "block_id long, bucket int, reply binary" + "".join(f", s{i} long" for i in range(sums)))
 
 
 def finish(blocks: DataFrame, answers: DataFrame, last: Callable[[pa.RecordBatch, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

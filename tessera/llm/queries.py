@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash, substring
+from tessera.llm import lm, minhash, quality, sharding, substring, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +25,49 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal(_documents(spark, sf_dir).select("doc_id", "text"), width=35)
 
 
+#: verdict, host and path of each rule
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: sites whose addresses the list holds, for every language and number
+LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+LISTED_LANGS = ("de", "en", "es", "fr")
+LISTED_NUMBERS = 20_000
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    parts = spark.range(LISTED_NUMBERS).select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"), "id").select("host", F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang"), "id")
+    listed = parts.select(F.concat(F.lit("http://"), "host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
+    return urls.judge_urls(pages, URL_RULES, listed)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return quality.quality(docs).drop("row_key")
+
+
+def _fold(modulus: int) -> Column:
+    """crc32 of doc_id as text (null: empty), modulo a number."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")), F.lit(modulus))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scored = lm.score_texts(docs, _fold(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "train_types")
+
+
+def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.shard_rows(docs, shards=16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "number")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op8_feistel_sharding": op8_feistel_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}

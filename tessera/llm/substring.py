@@ -33,7 +33,7 @@ def _distinct(key: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.cumsum(new) - 1, k[new], b[new]
 
 
-def _reply(asked: list[bytes]) -> list[bytes]:
+def _reply(asked: list[bytes]) -> tuple[list[bytes], list[int]]:
     """A bit for each key: whether another block asks about it too."""
     parts = [unsqueeze(x, np.uint64) for x in asked]
     key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -43,7 +43,7 @@ def _reply(asked: list[bytes]) -> list[bytes]:
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     cut = np.cumsum([len(p) for p in parts])[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(hit, cut)]
+    return [np.packbits(x).tobytes() for x in np.split(hit, cut)], []
 
 
 def _covered(batch: pa.RecordBatch, replies: dict[int, bytes], column: str, width: int, n: int) -> tuple[Words, np.ndarray]:
