@@ -60,27 +60,28 @@ def _covered(batch: pa.RecordBatch, replies: dict[int, bytes], column: str, widt
     return w, cover(np.sort(at[order][hit[group]]), width, len(w))
 
 
-def _cut_texts(w: Words, gone: np.ndarray) -> list[bytes | None]:
-    """Texts without the removed intervals, other bytes as they were; None where nothing goes.
+def cut_texts(col: pa.Array, w: Words, raw: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """A text column without the removed intervals of words, other bytes as they were.
 
-    An interval runs from its first word to the next kept word, or to the end of the text.
+    raw holds the bytes of the column, w its words. An interval runs from its
+    first word to the next kept word, or to the end of the text.
     """
-    out: list[bytes | None] = []
     first, offsets = w.first.tolist(), w.offsets.tolist()
-    for d in range(len(first) - 1):
+    total = np.concatenate([[0], np.cumsum(gone)])
+    hit = np.flatnonzero(total[w.first[1:]] > total[w.first[:-1]])
+    if not len(hit):
+        return col
+    out = col.to_pylist()
+    for d in hit.tolist():
         a, b = first[d], first[d + 1]
-        mask = gone[a:b]
-        if not mask.any():
-            out.append(None)
-            continue
-        raw = w.buf[offsets[d] : offsets[d + 1]].tobytes()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+        text = raw[offsets[d] : offsets[d + 1]].tobytes()
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]])))
         at, kept = 0, []
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            kept.append(raw[at : w.starts[a + s] - offsets[d]])
-            at = int(w.starts[a + e] - offsets[d]) if a + e < b else len(raw)
-        out.append(b"".join(kept) + raw[at:])
-    return out
+            kept.append(text[at : w.starts[a + s] - offsets[d]])
+            at = int(w.starts[a + e] - offsets[d]) if a + e < b else len(text)
+        out[d] = (b"".join(kept) + text[at:]).decode("utf-8", "replace")
+    return pa.array(out, col.type)
 
 
 def _run(docs: DataFrame, column: str, width: int, last, schema) -> DataFrame:
@@ -147,10 +148,8 @@ def dedup_substrings(docs: DataFrame, column: str = "text", width: int = 35) ->
     at = docs.columns.index(column)
 
     def last(batch: pa.RecordBatch, w: Words, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
-        old = batch.column(at)
-        new = [o.as_py() if t is None else t.decode("utf-8", "replace") for o, t in zip(old, _cut_texts(w, gone), strict=True)]
         arrays = batch.columns
-        arrays[at] = pa.array(new, old.type)
+        arrays[at] = cut_texts(batch.column(at), w, w.buf, gone)
         yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return _run(docs, column, width, last, docs.schema)
