@@ -5,17 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import substring
+from tessera.llm import bpe, decontam, minhash, quality, queries, substring
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.drop_low_quality(docs)
+
+
+def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words and more are cut; every document keeps its row."""
-    return substring.dedup_substrings(docs, width=35).withColumn("n_chars", F.length("text").cast("long"))
+    return _sized(substring.dedup_substrings(docs, width=35))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of ten words and more of a test item are cut; every document keeps its row."""
+    return _sized(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_words=10))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of ids and decoded text."""
+    return bpe.encode(docs, queries.tokenizer())
 
 
-STAGES = [("substring dedup", substring_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("MinHash near-dedup", minhash_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
 
-ORACLE_SQL = None  # hashing, models and tokenizers are beyond SQL: tested against brute force
+ORACLE_SQL = None  # models, hashing and tokenizers are beyond SQL: tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
