@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
 
@@ -30,7 +32,14 @@ def session(name: str = "tessera", cpus: str | int = "*") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so Arrow functions can import it there."""
+    """Send this package to the executors once, so Arrow functions can import it there.
+
+    Also bounds Arrow batches by bytes: texts differ in length by orders of
+    magnitude, and ten thousand of them in one batch would cost the JVM and
+    every Python worker several times their size.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) in (None, "67108864b", "67108864"):  # unless the user chose a size
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
