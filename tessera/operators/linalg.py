@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -73,6 +74,32 @@ def orthonormal(u: np.ndarray) -> np.ndarray:
     return fix_signs(np.linalg.qr(u)[0])
 
 
+#: up to so many products an expression is written out; beyond it Arrow batches are faster to plan and run
+WRITTEN_OUT = 64
+
+
 def project(v: Column, u: np.ndarray) -> Column:
     """u^T v: one dot product a column of u."""
+    if u.size > WRITTEN_OUT:
+        return arrays(lambda x: x @ u)(v)
     return F.array(*(sum((F.element_at(v, i + 1) * F.lit(float(u[i, c])) for i in range(u.shape[0])), F.lit(0.0)) for c in range(u.shape[1])))
+
+
+def arrays(f):
+    """A function of N x d matrices to N x k ones, over array columns."""
+
+    @pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(list(f(np.stack(v.to_numpy())))) if len(v) else pd.Series([], dtype=object)
+
+    return run
+
+
+def numbers(f):
+    """A function of N x d matrices to N numbers, over array columns."""
+
+    @pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(f(np.stack(v.to_numpy())) if len(v) else [], dtype=float)
+
+    return run
