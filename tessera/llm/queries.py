@@ -29,7 +29,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.removal(_documents(spark, sf_dir).select("doc_id", "text"), width=35)
+    return substring.removal(_documents(spark, sf_dir).select("doc_id", "text"), width=35).drop("spans")
 
 
 #: verdict, host and path of each rule
@@ -71,7 +71,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(docs, items, max_words=10)
+    return decontam.contamination(docs, items, max_words=10).drop("spans")
 
 
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +103,42 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LISTED = " UNION ALL ".join(f"SELECT '{h}/{lang}/' || i AS form FROM range({LISTED_NUMBERS}) t(i)" for h in LISTED_HOSTS for lang in LISTED_LANGS)
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_QUERY_PARTS = "list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT list_contains([" + ", ".join(f"'{t}'" for t in urls.TRACKING) + "], string_split(x, '=')[1])))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS k FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 80 * (x.n + y.n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, w.doc_id = min(c) AS kept FROM w JOIN r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
+    "op2_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM w, unnest(range(1, len(ws) - 33)) t(i)),
+hit AS (SELECT DISTINCT doc_id, i + o AS spot FROM p JOIN (SELECT k FROM p GROUP BY k HAVING count(*) > 1) USING (k), range(35) t(o)),
+one AS (SELECT w.doc_id, i, ws[i] AS word, spot IS NULL AS kept FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) w LEFT JOIN hit ON hit.doc_id = w.doc_id AND spot = i)
+SELECT w.doc_id, any_value(len(ws))::BIGINT AS n_words, count(*) FILTER (WHERE kept = false) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE kept), '')) AS kept_sha256
+FROM w LEFT JOIN one ON one.doc_id = w.doc_id GROUP BY w.doc_id""",
+    "op3_url_filter": f"""
+WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {_QUERY_PARTS} AS q FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)$', ''), '^(www|m)\\.|\\.$', '', 'g')
+|| regexp_replace(regexp_replace(path, '/index\\.[a-z]+$|\\.html?$', ''), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM p),
+r(verdict, h, b) AS (VALUES {_RULES}), l AS ({_LISTED}),
+m AS (SELECT page_id, url, host, path, canonical, arg_max(r.h || r.b, length(r.h || r.b)) AS rule, arg_max(r.verdict, length(r.h || r.b)) AS v FROM c LEFT JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.b) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN form IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical, form IS NOT NULL AS listed FROM m LEFT JOIN l ON form = canonical""",
+    "op7_decontamination": """
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+k AS (SELECT item_id, least(10, len(ws)) AS n, array_to_string(ws[x:x + least(10, len(ws)) - 1], ' ') AS w FROM i, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) t(x) WHERE len(ws) > 0),
+f AS (SELECT doc_id, x, n, item_id FROM (SELECT doc_id, x, n, array_to_string(ws[x:x + n - 1], ' ') AS w FROM d, (SELECT DISTINCT n FROM k) s, unnest(range(1, len(ws) - n + 2)) t(x)) JOIN k USING (n, w)),
+h AS (SELECT doc_id, count(DISTINCT x + o) AS n_hit FROM f, range(10) t(o) WHERE o < n GROUP BY doc_id),
+j AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM f) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)""",
+}
