@@ -28,7 +28,7 @@ from tessera.llm.core import buffers, mix64, slices
 from tessera.runtime import ship
 
 #: one byte in so many ends a chunk, on average; bytes the rolling hash sees; bytes of chunks kept for reuse
-CHUNK, WINDOW, KEEP = 256, 8, 24 << 20
+CHUNK, WINDOW, KEEP = 256, 8, 4 << 20
 #: the pretokens of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
