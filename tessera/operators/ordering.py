@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch
+
 _SIGN = -(1 << 63)
 
 
@@ -29,11 +31,12 @@ def kth_smallest(df: DataFrame, column: str, k: int) -> DataFrame:
     """One row with the k-th smallest value (k from 0); none beyond the last.
 
     Partitions are sorted by range; a count of each finds the one to look in,
-    so no task ranks the whole table.
+    so no task ranks the whole table. The ranges are written once: two readings
+    of one exchange may be dealt out differently.
     """
     x = F.col(column)
     values = df.where(x.isNotNull()).groupBy(column).count()
-    ranges = values.repartitionByRange(x).withColumn("_part", F.spark_partition_id())
+    ranges = Scratch(df.sparkSession, "kth").write(values.repartitionByRange(x).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part").orderBy(x)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition goes through the unpartitioned window
