@@ -12,6 +12,11 @@ depth adapts to the region. Texts with one and the same set are one node.
 Candidates pass a bit sketch first. Then the sets themselves, made from the
 whole texts, confirm each link: the best link of each node in the first round,
 in later rounds only links between components that are still apart.
+
+A walk that met enough similar texts may have left a link behind. So every two
+texts of a group (one tree, one prefix of the least depth) whose components are
+still apart are compared too, block against block, and confirmed as above. Only
+confirmed links spare a comparison.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ PERMS = TREES * DEPTH
 MIN_DEPTH, REACH = 3, 64
 #: the walk ends after so many sure candidates, or so many in all
 SURE, WANT = 2, 6
+#: rows in a block of a group's comparison
+BLOCK = 256
 #: of 128 two-bit minima, those that agree at a similarity of 0.8: 108.8, deviation 4.0
 SKETCH_SIGMAS = 4.6
 _MUL = mix64(np.arange(1, PERMS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -119,11 +126,21 @@ def _forest(nodes: DataFrame) -> DataFrame:
     return nodes.select("nid", "sig", "sketch", "n").mapInArrow(run, "tree int, key binary, nid binary, sketch binary, n long")
 
 
-def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
-    """Candidate links within each sorted partition, and its outermost rows (kind 1) for the seams."""
+def _gate(similarity: float) -> tuple[int, float]:
+    """Places of two sketches that agree: the least of a candidate, and of a sure one."""
     p = 0.25 + 0.75 * similarity
     sigma = (PERMS * p * (1 - p)) ** 0.5
-    least, sure = int(PERMS * p - SKETCH_SIGMAS * sigma), PERMS * p + 1.5 * sigma
+    return int(PERMS * p - SKETCH_SIGMAS * sigma), PERMS * p + 1.5 * sigma
+
+
+def _agree(x: np.ndarray) -> np.ndarray:
+    """Places that agree, from the exclusive or of sketches as four words each."""
+    return PERMS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int32)
+
+
+def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
+    """Candidate links within each sorted partition, and its outermost rows (kind 1) for the seams."""
+    least, sure = _gate(similarity)
     head = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("agree", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("nid", pa.binary()), ("sketch", pa.binary()), ("n", pa.int64())])
 
     def seam(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -145,8 +162,7 @@ def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
             live = live[(tree[live] == tree[live - lag]) & (key[live] == key[live - lag]).all(1)]
             if not len(live):
                 break
-            x = sk[live] ^ sk[live - lag]
-            agree = PERMS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int32)
+            agree = _agree(sk[live] ^ sk[live - lag])
             lo, hi = np.minimum(n[live], n[live - lag]), np.maximum(n[live], n[live - lag])
             ok = (agree >= least) & (lo >= similarity * hi - 1e-9)
             found.append((live[ok], live[ok] - lag, agree[ok]))
@@ -187,6 +203,94 @@ def _candidates(scratch: Scratch, nodes: DataFrame, similarity: float, partition
     return scratch.write(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(grp, root, nid, sketch, n) of each node and tree: grp is the tree and its first MIN_DEPTH minima, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig, key = _rows_of(batch.column("sig"), 2 * PERMS), np.zeros((batch.num_rows, 8), np.uint8)
+                for t in range(TREES):
+                    key[:, 1], key[:, 2:] = t, sig[:, 2 * DEPTH * t : 2 * DEPTH * t + 2 * MIN_DEPTH]
+                    grp = pa.array(key.view(">i8").ravel().astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([grp, *(batch.column(c) for c in ("root", "nid", "sketch", "n"))], ["grp", "root", "nid", "sketch", "n"])
+
+    return nodes.select("sig", "root", "nid", "sketch", "n").mapInArrow(run, "grp long, root long, nid binary, sketch binary, n long")
+
+
+def _across(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, agree, low, high): candidate links between components, from rows sorted by cell (grp, x, y).
+
+    A cell's left rows (side 0) meet its right ones. Two rows outside the
+    group's largest component meet in two cells and count in one.
+    """
+    least, _ = _gate(similarity)
+
+    def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = np.stack([t[c].to_numpy() for c in ("grp", "x", "y")], 1)
+        side, odd, root, n = (t[c].to_numpy() for c in ("side", "odd", "root", "n"))
+        nid, sk = _rows_of(t["nid"], 16), _rows_of(t["sketch"], PERMS // 4).copy().view(np.uint64)
+        high, low = nid.copy().view(">u8").astype(np.uint64).T
+        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+            for k in range(0, len(left), BLOCK):
+                i, j = left[k : k + BLOCK, None], right[None]
+                agree = _agree(sk[i] ^ sk[j])
+                before = (high[i] < high[j]) | ((high[i] == high[j]) & (low[i] < low[j]))
+                small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                ok = (agree >= least) & (small >= similarity * big - 1e-9) & (root[i] != root[j]) & (before | (odd[j] == 0))
+                at, to = np.nonzero(ok)
+                if len(at):
+                    u, v, first = left[k + at], right[to], before[at, to]
+                    a, b = nid[np.where(first, u, v)], nid[np.where(first, v, u)]
+                    roots = np.sort(np.stack([root[u], root[v]]), 0)
+                    yield pa.RecordBatch.from_arrays([_binary(a), _binary(b), pa.array(agree[at, to].astype(np.int32)), pa.array(roots[0]), pa.array(roots[1])], ["a", "b", "agree", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            both = (new if kept is None else pa.concat_tables([kept, new])).combine_chunks()
+            cell = np.stack([both[c].to_numpy() for c in ("grp", "x", "y")], 1)
+            other = np.flatnonzero((cell != cell[-1]).any(1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from cells(both.slice(0, cut).combine_chunks())
+            kept = both.slice(cut)
+        if kept is not None:
+            yield from cells(kept.combine_chunks())
+
+    return dealt.mapInArrow(run, "a binary, b binary, agree int, low long, high long")
+
+
+def _rest(scratch: Scratch, nodes: DataFrame, roots: DataFrame, pairs: DataFrame, similarity: float, partitions: int) -> DataFrame:
+    """(a, b, agree, low, high): candidates between components (low < high) of one group, without those in pairs.
+
+    Groups that no walk can have ended early in are left out. The rows outside
+    a group's largest component are cut into blocks, and so are all its rows;
+    each block of the first meets each of the second.
+    """
+    root = F.conv(F.hex(F.substring(F.coalesce("root", "nid"), 1, 7)), 16, 10).cast("long")
+    tagged = nodes.select("nid", "sig", "sketch", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", root)
+    rows = _grouped(scratch.write(tagged, "tagged"))
+    sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("k")).groupBy("grp").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("most"))
+    groups = sizes.where((F.col("size") > SURE + 1) & (F.col("size") > F.col("most.k"))).select("grp", F.col("most.root").alias("main"), F.ceil(F.col("size") / BLOCK).alias("cols"), F.ceil((F.col("size") - F.col("most.k")) / BLOCK).alias("lines"))
+    rows = rows.join(scratch.write(groups, "groups-apart"), "grp").withColumn("odd", (F.col("root") != F.col("main")).cast("int"))
+    line, col = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("lines")), F.pmod(F.xxhash64("nid", F.lit(2)), F.col("cols"))
+    whole = ["odd", "root", "nid", "sketch", "n"]
+    left = F.when(F.col("odd") == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda y: F.struct(F.lit(0).alias("side"), line.alias("x"), y.alias("y")))).otherwise(F.array())
+    right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lines") - 1), lambda x: F.struct(F.lit(1).alias("side"), x.alias("x"), col.alias("y")))
+    dealt = rows.select("grp", *whole, F.explode(F.concat(left, right)).alias("c")).select("grp", "c.x", "c.y", "c.side", *whole)
+    found = _across(dealt.repartition(partitions, "grp", "x", "y").sortWithinPartitions("grp", "x", "y"), similarity)
+    once = found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.first("low").alias("low"), F.first("high").alias("high"))
+    out = scratch.write(once.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    scratch.drop("tagged", "groups-apart")
+    return out
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
 
@@ -234,21 +338,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     pairs = _candidates(scratch, nodes, percent / 100, partitions)
 
-    ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = nodes.join(ends, "nid").select("nid", F.col("rep.id").alias("id"), F.col("rep.row_key").alias("row_key"))
-    found = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["row_key"] == wanted["row_key"])).select("nid", "text")
-    texts = scratch.write(found.dropDuplicates(["nid"]), "texts")
+    def texts_of(some: DataFrame, name: str) -> DataFrame:
+        ends = some.select(F.col("a").alias("nid")).union(some.select(F.col("b").alias("nid"))).distinct()
+        wanted = nodes.join(ends, "nid").select("nid", F.col("rep.id").alias("id"), F.col("rep.row_key").alias("row_key"))
+        found = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["row_key"] == wanted["row_key"])).select("nid", "text")
+        return scratch.write(found.dropDuplicates(["nid"]), name)
+
+    def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
+        root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        return some.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+    def merged(roots: DataFrame, some: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+        """The components with some pairs' confirmed links."""
+        more = scratch.write(_confirm(some, texts, width, percent), f"links-{k}")
+        if not more.take(1):
+            return roots
+        star = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return scratch.write(components(scratch, star.union(more), f"cc{k}"), f"roots-{k}")
 
+    texts = texts_of(pairs, "texts")
     best = pairs.select("a", "b", "agree", F.col("a").alias("at")).union(pairs.select("a", "b", "agree", F.col("b").alias("at")))
     first = best.groupBy("at").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     links = scratch.write(_confirm(first, texts, width, percent), "links-0")
     roots = scratch.write(components(scratch, links, "cc0"), "roots-0")
-    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b")
-    more = scratch.write(_confirm(apart.join(first, ["a", "b"], "left_anti"), texts, width, percent), "links-1")
-    if more.take(1):
-        star = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = scratch.write(components(scratch, star.union(more), "cc1"), "roots-1")
+    roots = merged(roots, apart(pairs, roots).join(first, ["a", "b"], "left_anti"), texts, 1)
+
+    rest = _rest(scratch, nodes, roots, pairs, percent / 100, partitions)
+    if rest.take(1):
+        # the best candidate between two components first: where it links them, the others need no look
+        texts = texts_of(rest, "texts-rest")
+        first = scratch.write(rest.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b"), "first-rest")
+        roots = merged(roots, first, texts, 2)
+        roots = merged(roots, apart(rest, roots).join(first, ["a", "b"], "left_anti"), texts, 3)
 
     named = nodes.select("nid", F.col("rep.id").alias("id")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

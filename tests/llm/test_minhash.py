@@ -73,6 +73,23 @@ def test_close_and_dense_groups(spark):
     assert sorted(tuple(r)[:4] for r in near_duplicates(docs, width=4).collect()) == brute(rows)
 
 
+def template(rng, rows, pairs, shared):
+    """Texts that have `shared` words of 100 in common; those of a pair four more."""
+    base = [f"w{i}" for i in range(shared)]
+    texts = [base + [f"u{i}_{j}" for j in range(100 - shared)] for i in range(rows)]
+    for i in range(0, 2 * pairs, 2):
+        texts[i + 1][shared : shared + 4] = texts[i][shared : shared + 4]
+    rng.shuffle(texts)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def test_links_in_a_template_region(spark):
+    rows = template(random.Random(9), 320, 50, 87)  # similarity 0.77 of any two, 0.83 of a pair
+    got = sorted(tuple(r)[:4] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect())
+    assert got == brute(rows, width=1)
+    assert sum(not r[3] for r in got) == 50
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE\ttwo"), (5, "one two"), (6, "one two three four five"), (7, "é" * 9), (8, "É" * 9), (9, "a " * 50_000), (10, "a a a a a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
