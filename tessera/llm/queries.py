@@ -40,11 +40,22 @@ LISTED_LANGS = ("de", "en", "es", "fr")
 LISTED_NUMBERS = 20_000
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list of every number of the listed sites, as far as pages can tell: the first ones and all that occur there.
+
+    Numbers are digits without a leading zero, of any length.
+    """
+    spark, langs = pages.sparkSession, "|".join(LISTED_LANGS)
+    seen = pages.select(F.explode(F.regexp_extract_all(F.col("url").cast("string"), F.lit(f"/(?:{langs})/(0|[1-9][0-9]*)"), F.lit(1))).alias("number"))
+    numbers = spark.range(LISTED_NUMBERS).select(F.col("id").cast("string").alias("number")).union(seen).distinct()
+    sites = numbers.select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"), "number")
+    parts = sites.select("host", F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang"), "number")
+    return parts.select(F.concat(F.lit("http://"), "host", F.lit("/"), "lang", F.lit("/"), "number").alias("url"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    parts = spark.range(LISTED_NUMBERS).select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"), "id").select("host", F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang"), "id")
-    listed = parts.select(F.concat(F.lit("http://"), "host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
-    return urls.judge_urls(pages, URL_RULES, listed)
+    return urls.judge_urls(pages, URL_RULES, listed_urls(pages))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.llm.urls import BlockedBloom, canonical, judge_urls
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import URL_RULES, op3_url_filter
 
 
 def brute(url):
@@ -55,3 +55,12 @@ def test_filter_misses_no_key(spark):
     assert others.where(bloom.may_contain(F.col("h"))).count() < 600
     tiny = BlockedBloom.build(keys, "h", max_bytes=64)
     assert len(tiny.words) == 1 and keys.where(~tiny.may_contain(F.col("h"))).count() == 0
+
+
+def test_listed_sites_have_no_last_number(spark, tmp_path):
+    numbers = ["0", "19999", "20000", "123456", "9" * 25, "007", "x", "5/6"]
+    urls = [f"http://www.cheap-pills.example.com/en/{n}.html" for n in numbers] + ["http://other.example.com/en/30000"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in op3_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i]["listed"] for i in range(9)] == [True] * 5 + [False] * 4
+    assert [got[i]["verdict"] for i in range(9)] == ["block"] * 5 + ["allow"] * 4
