@@ -76,6 +76,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self.clear)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -87,6 +88,15 @@ class Scratch:
         self.release()
         return self.spark.read.schema(schema).parquet(path)
 
+    def write_dealt(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Write df as a table in so many buckets by a column: joins on it needn't shuffle this side."""
+        table = f"tessera_{uuid.uuid4().hex}"
+        df.write.mode("overwrite").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, column).saveAsTable(table)
+        self.tables.append(table)
+        del df
+        self.release()
+        return self.spark.table(table)
+
     def release(self) -> None:
         """Shuffle files go when the driver collects the plans that own them."""
         gc.collect()
@@ -98,6 +108,9 @@ class Scratch:
 
     def clear(self) -> None:
         try:
+            for t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.tables.clear()
             self._delete(self.root)
         except Exception:  # the session may be gone at exit
             if self.root.startswith("file:"):
