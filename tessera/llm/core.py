@@ -30,6 +30,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def spark_hash(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash() of BIGINT values (32-bit Murmur3): what deals rows to partitions and table buckets."""
+
+    def turned(v: np.ndarray, bits: int) -> np.ndarray:
+        return v << np.uint32(bits) | v >> np.uint32(32 - bits)
+
+    u = x.astype(np.int64).view(U)
+    h = np.full(len(u), seed, np.uint32)
+    for half in (u.astype(np.uint32), (u >> U(32)).astype(np.uint32)):
+        h = turned(h ^ turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
 def _separators(*spans: tuple[int, int]) -> np.ndarray:
     t = np.zeros(256, bool)
     for lo, hi in spans:

@@ -10,54 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from tessera.llm import blocks as bl
-from tessera.llm.core import Words, buffers, cover, second_hash, squeeze, unsqueeze, window_hash
+from tessera.llm.core import Words, buffers, cover, second_hash, window_hash
 from tessera.runtime import Scratch, ship
 
 
-def _keys(batch: pa.RecordBatch, column: str, width: int, n: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, window starts, and the windows' keys and buckets."""
+def _windows(batch: pa.RecordBatch, column: str, width: int, buckets: int) -> tuple[Words, np.ndarray, bl.Keys]:
+    """Words, window starts, and the windows' distinct keys."""
     w = Words(*buffers(batch.column(batch.schema.get_field_index(column))))
     at = w.windows(width)
     if not len(at):
-        return w, at, np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return w, at, bl.Keys(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     h = w.hashes()
-    return w, at, window_hash(h, width)[at], bl.bucket_of(second_hash(h, width)[at], n)
-
-
-def _distinct(key: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order of bucket and key, each once: order of all, group of each in it, keys, buckets."""
-    order = np.lexsort((key, bucket))
-    k, b = key[order], bucket[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-    return order, np.cumsum(new) - 1, k[new], b[new]
-
-
-def _reply(asked: list[bytes]) -> tuple[list[bytes], list[int]]:
-    """A bit for each key: whether another block asks about it too."""
-    parts = [unsqueeze(x, np.uint64) for x in asked]
-    key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    hit = np.zeros(len(key), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    cut = np.cumsum([len(p) for p in parts])[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(hit, cut)], []
-
-
-def _covered(batch: pa.RecordBatch, replies: dict[int, bytes], column: str, width: int, n: int) -> tuple[Words, np.ndarray]:
-    """Which words lie in a window that also starts elsewhere."""
-    w, at, key, bucket = _keys(batch, column, width, n)
-    if not len(at):
-        return w, np.zeros(len(w), bool)
-    order, group, k, b = _distinct(key, bucket)
-    hit = np.bincount(group) > 1
-    cut = np.searchsorted(b, np.arange(n + 1))
-    for i in np.unique(b).tolist():
-        size = int(cut[i + 1] - cut[i])
-        hit[cut[i] : cut[i + 1]] |= np.unpackbits(np.frombuffer(replies[i], np.uint8), count=size).astype(bool)
-    return w, cover(np.sort(at[order][hit[group]]), width, len(w))
+    return w, at, bl.Keys(window_hash(h, width)[at], bl.bucket_of(second_hash(h, width)[at], buckets))
 
 
 def cut_texts(col: pa.Array, w: Words, raw: np.ndarray, gone: np.ndarray) -> pa.Array:
@@ -84,26 +48,27 @@ def cut_texts(col: pa.Array, w: Words, raw: np.ndarray, gone: np.ndarray) -> pa.
     return pa.array(out, col.type)
 
 
-def _run(docs: DataFrame, column: str, width: int, last, schema) -> DataFrame:
+def _run(docs: DataFrame, column: str, width: int, sizes: bl.Sizes, last, schema) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "substring")
-    packed = bl.pack(scratch, docs, column)
-    n = bl.buckets_for(packed, 0.17)
+    packed = bl.pack(scratch, docs, column, sizes)
+    n = bl.buckets_for(packed, 0.17, sizes)
+    exchange = bl.Exchange(scratch, [n], cap=2, sizes=sizes)
+
+    def question(batch: pa.RecordBatch) -> list[tuple[bl.Keys, list[np.ndarray]]]:
+        keys = _windows(batch, column, width, n)[2]
+        return [(keys, [keys.size])]
 
-    def question(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        _, at, key, bucket = _keys(batch, column, width, n)
-        if len(at):
-            _, _, k, b = _distinct(key, bucket)
-            cut = np.searchsorted(b, np.arange(n + 1))
-            for i in np.unique(b).tolist():
-                yield i, squeeze(k[cut[i] : cut[i + 1]])
+    def found(batch: pa.RecordBatch, got: list[bl.Reply]) -> Iterator[pa.RecordBatch]:
+        w, at, keys = _windows(batch, column, width, n)
+        hit = keys.back(got[0].sums[0] > 1)
+        return last(batch, w, cover(np.sort(at[hit]), width, len(w)))
 
-    answers = scratch.write(bl.answer(bl.ask(packed, question), _reply), "answers")
-    return bl.finish(packed, answers, lambda batch, replies: last(batch, *_covered(batch, replies, column, width, n)), schema)
+    return exchange.finish(packed, exchange.answer(exchange.ask(packed, question)), found, schema)
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 35) -> DataFrame:
+def removal(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 35, sizes: bl.Sizes = bl.Sizes()) -> DataFrame:
     """What substring dedup takes from each text.
 
     A window is `width` consecutive words of one text; words are runs of
@@ -118,7 +83,8 @@ def removal(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width
 
     A window is known by a 64-bit Rabin-Karp hash within a bucket chosen by an
     independent hash; buckets hold about two million keys at any size, so about
-    one window in 10**13 could be taken wrongly.
+    one window in 10**13 could be taken wrongly. sizes sets the blocks and
+    buckets of the exchange, not the result (see blocks.py).
     """
     docs = docs.select(docs[id_col].alias("id"), docs[column].cast("string").alias("text"))
     id_type = docs.schema["id"].dataType
@@ -136,10 +102,10 @@ def removal(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width
             [id_col, "n_words", "n_removed", "kept_sha256", "spans"],
         )
 
-    return _run(docs, "text", width, last, schema)
+    return _run(docs, "text", width, sizes, last, schema)
 
 
-def dedup_substrings(docs: DataFrame, column: str = "text", width: int = 35) -> DataFrame:
+def dedup_substrings(docs: DataFrame, column: str = "text", width: int = 35, sizes: bl.Sizes = bl.Sizes()) -> DataFrame:
     """docs with the removed intervals cut from the text; every other column and row stays.
 
     Texts that lose nothing are unchanged, byte for byte; null texts stay null.
@@ -152,4 +118,4 @@ def dedup_substrings(docs: DataFrame, column: str = "text", width: int = 35) ->
         arrays[at] = cut_texts(batch.column(at), w, w.buf, gone)
         yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return _run(docs, column, width, last, docs.schema)
+    return _run(docs, column, width, sizes, last, docs.schema)
