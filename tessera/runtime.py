@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+RELEASE_SECONDS = 8.0
+_released = 0.0
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
 
@@ -98,9 +101,12 @@ class Scratch:
         return self.spark.table(table)
 
     def release(self) -> None:
-        """Shuffle files go when the driver collects the plans that own them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Shuffle files go when the driver collects the plans that own them; every RELEASE_SECONDS at most, as a collection takes time."""
+        global _released
+        if time.monotonic() - _released > RELEASE_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _released = time.monotonic()
 
     def drop(self, *names: str) -> None:
         for n in names:
