@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 SLICE_BYTES = 3 << 20
@@ -229,3 +231,11 @@ def unsqueeze(raw: bytes, dtype: type) -> np.ndarray:
     b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     w = np.dtype(dtype).itemsize
     return np.ascontiguousarray(b.reshape(w, -1).T).view(dtype).ravel() if len(b) else np.zeros(0, dtype)
+
+
+def unmatched(docs: DataFrame, rows: DataFrame, id_col: str, column: str, how: str = "left_anti") -> DataFrame:
+    """docs without (or with "left_semi" only with) what `rows` (id, row_key) names: an id, null equal to null, and a text's xxhash64."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"gone{i}" for i in range(len(taken) + 1)) if not any(c.startswith(n) for c in taken))
+    rows = rows.select(F.col("id").alias(f"{name}_id"), F.col("row_key").alias(f"{name}_key")).distinct()
+    return docs.join(rows, docs[id_col].eqNullSafe(F.col(f"{name}_id")) & (F.xxhash64(docs[column].cast("string")) == F.col(f"{name}_key")), how)

@@ -13,9 +13,14 @@ Candidates pass a bit sketch first. Then the sets themselves, made from the
 whole texts, confirm each link: the best link of each node in the first round,
 in later rounds only links between components that are still apart.
 
-A walk that met enough similar texts may have left a link behind. So every two
-texts of a group (one tree, one prefix of the least depth) whose components are
-still apart are compared too, block against block, and confirmed as above. Only
+A walk that met enough similar texts may have left a link behind. The texts of
+every region where that can be (one tree, one prefix of the least depth) are
+joined once more, exactly, by prefix filtering (Chaudhuri, Ganti and Kaushik
+2006): with shingles in one order for all texts, the rarest first, two texts
+similar enough share a shingle among the first n - ceil(similarity * n) + 1 of
+each, and so early in the shorter one that the rest can still hold the overlap
+(Xiao et al. 2008). What thousands of texts have in common comes last in that
+order, so a region of texts just below the threshold gives no candidates. Only
 confirmed links spare a comparison.
 """
 
@@ -25,20 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.core import Words, buffers, mix64, slices, span_hash, window_hash
+from tessera.llm.core import Words, buffers, mix64, slices, span_hash, squeeze, unmatched, unsqueeze, window_hash
+from tessera.llm.urls import BlockedBloom
 from tessera.runtime import Scratch, ship
 
 TREES, DEPTH = 16, 8
 PERMS = TREES * DEPTH
 MIN_DEPTH, REACH = 3, 64
+#: partitions whose seams fit in a task
+SEAMS = 256
 #: the walk ends after so many sure candidates, or so many in all
 SURE, WANT = 2, 6
-#: rows in a block of a group's comparison
-BLOCK = 256
+#: rows in a block of a group's comparison, and texts on either side of a cell of confirmations
+BLOCK, CELL = 256, 128
+#: cells of the sketch of shingle frequencies, a power of two; its errors change the order, not the result
+FREQUENCY_CELLS = 1 << 22
 #: of 128 two-bit minima, those that agree at a similarity of 0.8: 108.8, deviation 4.0
 SKETCH_SIGMAS = 4.6
 _MUL = mix64(np.arange(1, PERMS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,11 +75,11 @@ def shingle_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """PERMS minima of each segment of values, upper 32 bits."""
-    out = np.empty((len(starts), PERMS), np.uint32)
+    """PERMS minima of each segment of values, mixed: minima of long texts are small, and so alike in their bits."""
+    out = np.empty((len(starts), PERMS), np.uint64)
     for i in range(PERMS):
-        out[:, i] = np.minimum.reduceat(values * _MUL[i], starts) >> np.uint64(32)
-    return out
+        out[:, i] = np.minimum.reduceat(values * _MUL[i], starts)
+    return mix64(out)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -100,7 +110,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                     nid[full] = digest.astype(">u8").view(np.uint8).reshape(-1, 16)
                     minima = _signatures(values, at)
                     sig[full] = minima.astype(np.uint16).astype(">u2").view(np.uint8).reshape(len(full), -1)
-                    two = (minima >> 16).astype(np.uint8) & 3
+                    two = (minima >> np.uint64(16)).astype(np.uint8) & 3
                     sketch[full] = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
                 empty = pa.array(n == 0)
                 none = pa.scalar(None, pa.binary())
@@ -198,13 +208,21 @@ def _candidates(scratch: Scratch, nodes: DataFrame, similarity: float, partition
     order = ["tree", "key", "nid"]
     ordered = _forest(nodes).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     found = scratch.write(_neighbours(ordered, similarity), "neighbours")
-    seams = found.where("kind = 1").select("tree", "key", "nid", "sketch", "n").distinct().coalesce(1).sortWithinPartitions(*order)
-    pairs = found.where("kind = 0").union(_neighbours(seams, similarity).where("kind = 0"))
+    pairs = found.where("kind = 0")
+    while partitions > 1:  # rows at the seams of the partitions, then at the seams of theirs
+        partitions = 1 if partitions <= SEAMS else partitions // SEAMS
+        seams = found.where("kind = 1").select("tree", "key", "nid", "sketch", "n").distinct()
+        seams = (seams.repartitionByRange(partitions, *order) if partitions > 1 else seams.coalesce(1)).sortWithinPartitions(*order)
+        found = _neighbours(seams, similarity)
+        if partitions > 1:
+            found = scratch.write(found, f"seams-{partitions}")
+        pairs = pairs.union(found.where("kind = 0"))
     return scratch.write(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """(grp, root, nid, sketch, n) of each node and tree: grp is the tree and its first MIN_DEPTH minima, exactly."""
+def _regions(nodes: DataFrame) -> DataFrame:
+    """(grp, nid, and root if nodes has it) of each node and tree: grp is the tree and its first MIN_DEPTH minima, exactly."""
+    kept = [c for c in ("nid", "root") if c in nodes.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,23 +230,86 @@ def _grouped(nodes: DataFrame) -> DataFrame:
                 sig, key = _rows_of(batch.column("sig"), 2 * PERMS), np.zeros((batch.num_rows, 8), np.uint8)
                 for t in range(TREES):
                     key[:, 1], key[:, 2:] = t, sig[:, 2 * DEPTH * t : 2 * DEPTH * t + 2 * MIN_DEPTH]
-                    grp = pa.array(key.view(">i8").ravel().astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([grp, *(batch.column(c) for c in ("root", "nid", "sketch", "n"))], ["grp", "root", "nid", "sketch", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(">i8").ravel().astype(np.int64)), *(batch.column(c) for c in kept)], ["grp", *kept])
+
+    return nodes.select("sig", *kept).mapInArrow(run, "grp long, " + ", ".join(f"{c} binary" for c in kept))
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each of FREQUENCY_CELLS cells, up to 2**32 - 1: a sketch of bounded size."""
+    pieces = 64
+    width = FREQUENCY_CELLS // pieces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCY_CELLS, np.uint64)
+        for batch in batches:
+            for raw in batch.column("shingles").to_pylist():
+                np.add.at(total, _cells(unpacked(raw)), np.uint64(1))
+        for i, part in enumerate(total.reshape(pieces, width)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeeze(part)], pa.binary())], ["piece", "n"])
+
+    def merge(key: tuple[pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.uint64)
+        for batch in batches:
+            for raw in batch.column("n").to_pylist():
+                total += unsqueeze(raw, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([squeeze(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())], ["piece", "n"])
+
+    schema = "piece int, n binary"
+    out = np.zeros((pieces, width), np.uint32)
+    for r in sets.select("shingles").mapInArrow(run, schema).groupBy("piece").applyInArrow(merge, schema).collect():
+        out[r["piece"]] = unsqueeze(r["n"], np.uint32)
+    return out.ravel()
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (mix64(shingles) % np.uint64(FREQUENCY_CELLS)).astype(np.int64)
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """A sorted set as bytes."""
+    return squeeze(np.diff(shingles, prepend=np.uint64(0)))
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, np.uint64), dtype=np.uint64)
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, root, nid, sketch, n, left, early) of each set and each shingle in its prefix of the rarest ones.
 
-    return nodes.select("sig", "root", "nid", "sketch", "n").mapInArrow(run, "grp long, root long, nid binary, sketch binary, n long")
+    left: shingles from there to the end of the order; early: enough of them
+    for an overlap with a set at least as large.
+    """
+    frequency = sets.sparkSession.sparkContext.broadcast(squeeze(_frequencies(sets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = unsqueeze(frequency.value, np.uint32)
+        for batch in batches:
+            for i, raw in enumerate(batch.column("shingles").to_pylist()):
+                s = unpacked(raw)
+                n = len(s)
+                grp = s[np.lexsort((s, often[_cells(s)]))[: n + percent * n // -100 + 1]].view(np.int64)
+                left = n - np.arange(len(grp))
+                same = pa.array(np.full(len(grp), i))
+                yield pa.RecordBatch.from_arrays([pa.array(grp), *(batch.column(c).take(same) for c in ("root", "nid", "sketch", "n")), pa.array(left), pa.array((left * (100 + percent) >= 2 * percent * n).astype(np.int32))], [*fields, "left", "early"])
+
+    fields = ["grp", "root", "nid", "sketch", "n"]
+    return sets.select("shingles", "root", "nid", "sketch", "n").mapInArrow(run, "grp long, root long, nid binary, sketch binary, n long, left long, early int")
 
 
-def _across(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, agree, low, high): candidate links between components, from rows sorted by cell (grp, x, y).
+def _across(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree, low, high): candidate links between components, from rows sorted by cell (grp, kind, x, y).
 
-    A cell's left rows (side 0) meet its right ones. Two rows outside the
-    group's largest component meet in two cells and count in one.
+    A cell's left rows (side 0) meet its right ones.
     """
-    least, _ = _gate(similarity)
+    least, _ = _gate(percent / 100)
+    names = ("grp", "kind", "x", "y")
 
     def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = np.stack([t[c].to_numpy() for c in ("grp", "x", "y")], 1)
-        side, odd, root, n = (t[c].to_numpy() for c in ("side", "odd", "root", "n"))
+        cell = np.stack([t[c].to_numpy() for c in names], 1)
+        side, root, n, rest = (t[c].to_numpy() for c in ("side", "root", "n", "left"))
         nid, sk = _rows_of(t["nid"], 16), _rows_of(t["sketch"], PERMS // 4).copy().view(np.uint64)
         high, low = nid.copy().view(">u8").astype(np.uint64).T
         edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
@@ -236,16 +317,17 @@ def _across(dealt: DataFrame, similarity: float) -> DataFrame:
             left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
             for k in range(0, len(left), BLOCK):
                 i, j = left[k : k + BLOCK, None], right[None]
-                agree = _agree(sk[i] ^ sk[j])
-                before = (high[i] < high[j]) | ((high[i] == high[j]) & (low[i] < low[j]))
-                small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok = (agree >= least) & (small >= similarity * big - 1e-9) & (root[i] != root[j]) & (before | (odd[j] == 0))
+                # the overlap that a link needs must fit in what is left of both orders
+                ok = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j]))
                 at, to = np.nonzero(ok)
-                if len(at):
-                    u, v, first = left[k + at], right[to], before[at, to]
+                u, v = left[k + at], right[to]
+                agree = _agree(sk[u] ^ sk[v])
+                u, v, agree = (z[agree >= least] for z in (u, v, agree))
+                if len(u):
+                    first = (high[u] < high[v]) | ((high[u] == high[v]) & (low[u] < low[v]))
                     a, b = nid[np.where(first, u, v)], nid[np.where(first, v, u)]
                     roots = np.sort(np.stack([root[u], root[v]]), 0)
-                    yield pa.RecordBatch.from_arrays([_binary(a), _binary(b), pa.array(agree[at, to].astype(np.int32)), pa.array(roots[0]), pa.array(roots[1])], ["a", "b", "agree", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([_binary(a), _binary(b), pa.array(agree.astype(np.int32)), pa.array(roots[0]), pa.array(roots[1])], ["a", "b", "agree", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -254,7 +336,7 @@ def _across(dealt: DataFrame, similarity: float) -> DataFrame:
                 continue
             new = pa.Table.from_batches([batch])
             both = (new if kept is None else pa.concat_tables([kept, new])).combine_chunks()
-            cell = np.stack([both[c].to_numpy() for c in ("grp", "x", "y")], 1)
+            cell = np.stack([both[c].to_numpy() for c in names], 1)
             other = np.flatnonzero((cell != cell[-1]).any(1))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
@@ -266,125 +348,229 @@ def _across(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary, agree int, low long, high long")
 
 
-def _rest(scratch: Scratch, nodes: DataFrame, roots: DataFrame, pairs: DataFrame, similarity: float, partitions: int) -> DataFrame:
-    """(a, b, agree, low, high): candidates between components (low < high) of one group, without those in pairs.
+def _blocks(kind: int, on_left: Column, on_right: Column) -> list[Column]:
+    """Where a row goes as a left and as a right one: arrays of (kind, side, x, y)."""
+    lines, cols = F.col(f"lines{kind}"), F.col(f"cols{kind}")
+    line, col = F.pmod(F.xxhash64("nid", F.lit(1)), lines), F.pmod(F.xxhash64("nid", F.lit(2)), cols)
+
+    def at(side: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+
+    def to(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    fits = (lines > 0) & (cols > 0)
+    left = F.when(fits & on_left, F.transform(to(cols), lambda y: at(0, line, y)))
+    right = F.when(fits & on_right, F.transform(to(lines), lambda x: at(1, x, col)))
+    return [left.otherwise(F.array()), right.otherwise(F.array())]
+
 
-    Groups that no walk can have ended early in are left out. The rows outside
-    a group's largest component are cut into blocks, and so are all its rows;
-    each block of the first meets each of the second.
+def _rest(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b, agree, low, high): candidates between components (low < high) among some sets, without those in pairs.
+
+    sets: (nid, shingles, root, sketch, n). They meet by the shingles of their
+    prefixes. Of the sets that share one, at least one of a pair is outside the
+    largest component and at least one has the shingle early: both kinds are cut
+    into blocks, and so is what they have to meet; block meets block.
     """
     root = F.conv(F.hex(F.substring(F.coalesce("root", "nid"), 1, 7)), 16, 10).cast("long")
-    tagged = nodes.select("nid", "sig", "sketch", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", root)
-    rows = _grouped(scratch.write(tagged, "tagged"))
-    sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("k")).groupBy("grp").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("most"))
-    groups = sizes.where((F.col("size") > SURE + 1) & (F.col("size") > F.col("most.k"))).select("grp", F.col("most.root").alias("main"), F.ceil(F.col("size") / BLOCK).alias("cols"), F.ceil((F.col("size") - F.col("most.k")) / BLOCK).alias("lines"))
-    rows = rows.join(scratch.write(groups, "groups-apart"), "grp").withColumn("odd", (F.col("root") != F.col("main")).cast("int"))
-    line, col = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("lines")), F.pmod(F.xxhash64("nid", F.lit(2)), F.col("cols"))
-    whole = ["odd", "root", "nid", "sketch", "n"]
-    left = F.when(F.col("odd") == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda y: F.struct(F.lit(0).alias("side"), line.alias("x"), y.alias("y")))).otherwise(F.array())
-    right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lines") - 1), lambda x: F.struct(F.lit(1).alias("side"), x.alias("x"), col.alias("y")))
-    dealt = rows.select("grp", *whole, F.explode(F.concat(left, right)).alias("c")).select("grp", "c.x", "c.y", "c.side", *whole)
-    found = _across(dealt.repartition(partitions, "grp", "x", "y").sortWithinPartitions("grp", "x", "y"), similarity)
+    rows = scratch.write(_rarest(sets.withColumn("root", root), percent), "rarest")
+    sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("k"), F.sum("early").alias("e")).groupBy("grp").agg(F.sum("k").alias("k"), F.sum("e").alias("e"), F.max(F.struct("k", "root", "e")).alias("most"))
+    odd_early = F.col("e") - F.col("most.e")
+    counts = {"lines1": odd_early, "cols1": F.col("k"), "lines2": F.col("k") - F.col("most.k") - odd_early, "cols2": F.col("e")}
+    groups = sizes.where((F.col("k") > F.col("most.k")) & (F.col("e") > 0)).select("grp", F.col("most.root").alias("main"), *(F.ceil(c / BLOCK).alias(name) for name, c in counts.items()))
+    rows = rows.join(scratch.write(groups, "groups-apart"), "grp")
+    odd, early = F.col("root") != F.col("main"), F.col("early") == 1
+    parts = _blocks(1, odd & early, F.lit(True)) + _blocks(2, odd & ~early, early)
+    whole = ["root", "nid", "sketch", "n", "left"]
+    dealt = rows.select("grp", *whole, F.explode(F.concat(*parts)).alias("c")).select("grp", "c.kind", "c.x", "c.y", "c.side", *whole)
+    cell = ["grp", "kind", "x", "y"]
+    found = _across(dealt.repartition(partitions, *cell).sortWithinPartitions(*cell), percent)
     once = found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.first("low").alias("low"), F.first("high").alias("high"))
     out = scratch.write(once.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    scratch.drop("tagged", "groups-apart")
+    scratch.drop("rarest", "groups-apart")
     return out
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
+def _same(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sets, given by their numbers."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum([0, *map(len, sets)])
+    held, out = np.zeros(int(ids.max()) + 1, bool), np.zeros(len(left), np.int64)
+    order = np.argsort(left, kind="stable")
+    cut = np.flatnonzero(np.diff(left[order], prepend=-1))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        mine = ids[at[left[order[lo]]] : at[left[order[lo]] + 1]]
+        held[mine] = True
+        for k in order[lo:hi].tolist():
+            out[k] = np.count_nonzero(held[ids[at[right[k]] : at[right[k] + 1]]])
+        held[mine] = False
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text_a"):
-                va, ca = shingle_sets(batch.column("text_a"), width)
-                vb, cb = shingle_sets(batch.column("text_b"), width)
-                keep = []
-                for i in range(batch.num_rows):
-                    x, y = va[ca[i] : ca[i + 1]], vb[cb[i] : cb[i + 1]]
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    a = texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b): the pairs whose full sets are similar enough: 100 * intersection >= percent * union.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of near-duplicate texts.
+    Sets are dealt over as many classes as keep CELL of them in each; a pair is
+    looked at in the cell of its two classes, where each set comes once for all
+    of its pairs.
+    """
+    classes = F.lit(sets.count() // CELL + 1)
+    x, y = (F.pmod(F.xxhash64(c), classes) for c in ("a", "b"))
+    dealt = pairs.select(x.alias("x"), y.alias("y"), "a", "b")
+    ends = dealt.select("x", "y", F.col("a").alias("nid")).union(dealt.select("x", "y", F.col("b").alias("nid"))).distinct()
+    none = F.lit(None).cast("binary")
+    rows = ends.join(sets.select("nid", "shingles"), "nid").select("x", "y", F.lit(0).alias("side"), F.col("nid").alias("a"), none.alias("b"), "shingles")
+    rows = rows.union(dealt.select("x", "y", F.lit(1), "a", "b", none)).repartition(partitions, "x", "y").sortWithinPartitions("x", "y", "side")
 
-    Words are runs of characters other than blanks and \\t..\\r, with A-Z in
-    lower case. A text's set holds its distinct shingles of `width` words, or
-    its whole word sequence if that is shorter; a text without words has an
-    empty set and is linked with nothing. Texts are linked when 100 *
-    intersection >= percent * union of their full sets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, number, sets, left, right = None, {}, [], [], []
 
-    Returns for each row of docs: id, n_shingles, component_id (smallest id
-    that the row reaches by links, itself included), kept (the id is its own
-    component's) and row_key (hash of the text, for joining back). A row with a
-    null id takes part in links; it is kept only if no row of its component has
-    an id. Repeated rows share a component. An empty table gives no rows.
-    """
+        def found() -> Iterator[pa.RecordBatch]:
+            if left:
+                i, j = np.array(left), np.array(right)
+                size, same = np.array([len(s) for s in sets]), _same(sets, i, j)
+                keep = 100 * same >= percent * (size[i] + size[j] - same)
+                names = list(number)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at[keep].tolist()], pa.binary()) for at in (i, j)], ["a", "b"])
+
+        for batch in batches:
+            for x, y, side, a, b, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (x, y) != cell:
+                    yield from found()
+                    cell, number, sets, left, right = (x, y), {}, [], [], []
+                if side == 0:
+                    number[a] = len(sets)
+                    sets.append(unpacked(shingles))
+                else:
+                    left.append(number[a])
+                    right.append(number[b])
+        yield from found()
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, row_key, n, nid, root, component_id) of each row of docs (id, text): root names its component, null for an empty set."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(docs[id_col].alias("id"), docs[column].cast("string").alias("text")).withColumn("row_key", F.xxhash64("text"))
+    docs = docs.withColumn("row_key", F.xxhash64("text"))
     rows = scratch.write(_sketches(docs, width), "rows")
     # one row a set; equal sets have equal signatures, so any of them will do
     nodes = scratch.write(rows.where("nid is not null").groupBy("nid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "nodes")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     pairs = _candidates(scratch, nodes, percent / 100, partitions)
 
-    def texts_of(some: DataFrame, name: str) -> DataFrame:
-        ends = some.select(F.col("a").alias("nid")).union(some.select(F.col("b").alias("nid"))).distinct()
-        wanted = nodes.join(ends, "nid").select("nid", F.col("rep.id").alias("id"), F.col("rep.row_key").alias("row_key"))
-        found = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["row_key"] == wanted["row_key"])).select("nid", "text")
-        return scratch.write(found.dropDuplicates(["nid"]), name)
+    def sets_of(some: DataFrame, name: str) -> DataFrame:
+        """(nid, shingles) of some nodes, from the whole text of one row of each."""
+        wanted = scratch.write(nodes.join(some, "nid").select("nid", F.col("rep.id").alias("wanted_id"), F.col("rep.row_key").alias("wanted_key")), f"{name}-wanted")
+        keys = BlockedBloom.build(wanted.select("wanted_key").distinct(), "wanted_key")
+        # most texts are in no pair: the filter keeps them out of the shuffle
+        likely = docs.where(keys.may_contain(F.col("row_key")))
+        texts = likely.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("nid", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    values, cut = shingle_sets(batch.column("text"), width)
+                    yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([packed(values[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["nid", "shingles"])
+
+        return scratch.write(texts.groupBy("nid").agg(F.first("text").alias("text")).mapInArrow(run, "nid binary, shingles binary"), name)
 
     def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of different components, with their roots: null where a set has no link yet."""
         root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        return some.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+        return some.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b")
 
-    def merged(roots: DataFrame, some: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    def merged(roots: DataFrame, some: DataFrame, k: int) -> DataFrame:
         """The components with some pairs' confirmed links."""
-        more = scratch.write(_confirm(some, texts, width, percent), f"links-{k}")
+        more = scratch.write(_confirm(scratch.write(some.select("a", "b"), f"open-{k}"), sets, percent, partitions), f"links-{k}")
         if not more.take(1):
             return roots
         star = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         return scratch.write(components(scratch, star.union(more), f"cc{k}"), f"roots-{k}")
 
-    texts = texts_of(pairs, "texts")
-    best = pairs.select("a", "b", "agree", F.col("a").alias("at")).union(pairs.select("a", "b", "agree", F.col("b").alias("at")))
-    first = best.groupBy("at").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = scratch.write(_confirm(first, texts, width, percent), "links-0")
+    def best(some: DataFrame, *between: str) -> DataFrame:
+        return some.groupBy(*between).agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+
+    # regions that a walk can have ended early in: what is among their sets is left to the exact join
+    regions = _regions(nodes)
+    crowded = scratch.write(regions.groupBy("grp").count().where(F.col("count") > SURE + 1).select("grp"), "regions")
+    dense = scratch.write(regions.join(crowded, "grp", "left_semi").select("nid").distinct(), "dense")
+    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).union(dense).distinct()
+    sets = sets_of(wanted, "sets")
+    in_a, in_b = (dense.select(F.col("nid").alias(x), F.lit(True).alias(f"dense_{x}")) for x in "ab")
+    pairs = pairs.join(in_a, "a", "left").join(in_b, "b", "left")
+    pairs = scratch.write(pairs.select("a", "b", "agree", F.coalesce(F.col("dense_a") & F.col("dense_b"), F.lit(False)).alias("dense")), "pairs-marked")
+
+    first = scratch.write(best(pairs.withColumn("at", F.col("a")).union(pairs.withColumn("at", F.col("b"))), "at"), "first")
+    links = scratch.write(_confirm(first, sets, percent, partitions), "links-0")
     roots = scratch.write(components(scratch, links, "cc0"), "roots-0")
-    roots = merged(roots, apart(pairs, roots).join(first, ["a", "b"], "left_anti"), texts, 1)
-
-    rest = _rest(scratch, nodes, roots, pairs, percent / 100, partitions)
-    if rest.take(1):
+    tried = apart(pairs.join(first, ["a", "b"], "left_anti"), roots).where("not dense or (root_a is not null and root_b is not null)")
+    second = scratch.write(best(tried.withColumn("low", F.least(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))).withColumn("high", F.greatest(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))), "low", "high"), "second")
+    roots = merged(roots, second, 1)
+    tried = pairs.where("not dense").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    roots = merged(roots, apart(tried, roots), 2)
+
+    # dense sets with a neighbour in another component, in a region or in a pair not looked at
+    tagged = scratch.write(dense.join(nodes.select("nid", "sig", "sketch", "n"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left"), "tagged")
+    named = F.coalesce("root", "nid")
+    regions = _regions(tagged.withColumn("root", named))
+    mixed = scratch.write(regions.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where((F.col("low") < F.col("high")) & (F.col("size") > SURE + 1)).select("grp"), "regions-mixed")
+    skipped = apart(pairs.where("dense").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), roots)
+    some = regions.join(mixed, "grp", "left_semi").select("nid").union(skipped.select("a")).union(skipped.select("b")).distinct()
+    some = scratch.write(sets.join(some, "nid", "left_semi").join(tagged.drop("sig"), "nid"), "sets-mixed")
+    if some.take(1):
+        done = first.union(second)
+        rest = _rest(scratch, some, done, percent, partitions)
         # the best candidate between two components first: where it links them, the others need no look
-        texts = texts_of(rest, "texts-rest")
-        first = scratch.write(rest.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b"), "first-rest")
-        roots = merged(roots, first, texts, 2)
-        roots = merged(roots, apart(rest, roots).join(first, ["a", "b"], "left_anti"), texts, 3)
+        third = scratch.write(best(rest, "low", "high"), "third")
+        roots = merged(roots, third, 3)
+        roots = merged(roots, apart(rest.join(third, ["a", "b"], "left_anti"), roots), 4)
 
     named = nodes.select("nid", F.col("rep.id").alias("id")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    groups = scratch.write(named.join(least, "root").select("nid", "component_id"), "groups")
-    out = rows.join(groups, "nid", "left").withColumn("component_id", F.when(F.col("nid").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    named = scratch.write(named, "named")
+    # written, so that the join shuffles both sides and Spark can split a component that holds most rows
+    least = scratch.write(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    groups = scratch.write(named.join(least, "root").select("nid", "root", "component_id"), "groups")
+    return rows.join(groups, "nid", "left").select("id", "row_key", "n", "nid", "root", F.when(F.col("nid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of near-duplicate texts.
+
+    Words are runs of characters other than blanks and \\t..\\r, with A-Z in
+    lower case. A text's set holds its distinct shingles of `width` words, or
+    its whole word sequence if that is shorter; a text without words has an
+    empty set and is linked with nothing. Texts are linked when 100 *
+    intersection >= percent * union of their full sets.
+
+    Returns for each row of docs: id, n_shingles, component_id (smallest id
+    that the row reaches by links, itself included), kept (the id is its own
+    component's) and row_key (hash of the text, for joining back). A row with a
+    null id takes part in links; it is kept only if no row of its component has
+    an id. Repeated rows share a component. An empty table gives no rows.
+    """
+    out = _named(docs.select(docs[id_col].alias("id"), docs[column].cast("string").alias("text")), width, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "row_key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns as they were.
 
-    Of each group the row with the smallest id stays. Rows are matched by id
-    (null equals null) and text, so repeated ids with different texts are told
-    apart; rows equal in both stay or go together.
+    Of each group one row with the smallest id stays, null ids last; of several
+    such rows one with the least text hash, and of rows equal in id and text any
+    one. Texts without words are in no group and all stay.
     """
-    found = near_duplicates(docs, id_col, column, width, percent)
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone_id"), F.col("row_key").alias("_gone_key")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[column].cast("string")) == F.col("_gone_key")), "left_anti")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "minhash-drop")
+    rows = scratch.write(_named(docs.select(docs[id_col].alias("id"), docs[column].cast("string").alias("text")), width, percent).where("nid is not null").groupBy("root", "id", "row_key").agg(F.count("*").alias("copies")), "rows")
+    best = scratch.write(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("best")), "best")
+    marked = rows.join(best, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row_key") == F.col("best.row_key")))
+    marked = scratch.write(marked.select("id", "row_key", "stays", "copies"), "marked")
+    left = unmatched(docs, marked.where("not stays"), id_col, column)
+    several = marked.where("stays and copies > 1")
+    if not several.take(1):
+        return left
+    return unmatched(left, several, id_col, column).unionByName(unmatched(left, several, id_col, column, "left_semi").dropDuplicates([id_col, column]))
