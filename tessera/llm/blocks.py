@@ -331,13 +331,14 @@ class Exchange:
 
         return self.finish(chunks, answers, last, self.schema)
 
-    def finish(self, blocks: DataFrame, answers: DataFrame, last: Callable[[pa.RecordBatch, list[Reply]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-        """Join blocks to their answers and let last() make the result rows."""
+    def finish(self, blocks: DataFrame, answers: DataFrame, last: Callable[..., Iterator[pa.RecordBatch]], schema, numbered: bool = False) -> DataFrame:
+        """Join blocks to their answers and let last(batch, replies) make the result rows; with `numbered` it gets the block's id too."""
         got = answers.groupBy("block_id").agg(F.collect_list(F.struct("place", "reply")).alias("replies"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield from last(load(batch.column("blob")[i].as_buffer()), self._unpacked(batch.column("replies")[i].as_py() or []))
+                    more = [batch.column("block_id")[i].as_py()] * numbered
+                    yield from last(load(batch.column("blob")[i].as_buffer()), self._unpacked(batch.column("replies")[i].as_py() or []), *more)
 
-        return blocks.select("block_id", "blob").join(got.hint("merge"), "block_id", "left").select("blob", "replies").mapInArrow(run, schema)
+        return blocks.select("block_id", "blob").join(got.hint("merge"), "block_id", "left").select("block_id", "blob", "replies").mapInArrow(run, schema)
