@@ -45,13 +45,25 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(F.size(parts) > 0, F.concat(F.lit("?"), F.array_join(parts, "&"))).otherwise(F.lit(""))))
 
 
-def rule_verdicts(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """Of (verdict, host, path) rules, the longest that fits: its text and verdict, null if none fits."""
-    rule = verdict = F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # later ones are longer and win
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
-    return rule, verdict
+def rule_verdicts(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (host, path, ...) with `rule` and `rule_verdict`: of the rules that fit, the longest; null if none does.
+
+    rules: (verdict, host, path). Those of one host are an array, long ones
+    first, and a row looks up its host and each of the domains above it: a join
+    on the host, whatever the number of rules. Of rules equal in host and path
+    the least verdict counts.
+    """
+    text = F.concat("host", "path")
+    best = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    of_host = best.groupBy(F.col("host").alias("at")).agg(F.sort_array(F.collect_list(F.struct(F.length(text).alias("size"), text.alias("rule"), "path", "verdict")), False).alias("own"))
+    labels = F.split("host", r"\.")
+    # the host itself, then without its first label, and so on
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host").distinct().withColumn("at", F.explode(names)).join(of_host, "at")
+    found = asked.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("own")), False).alias("fits"))
+    first = F.element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), 1)
+    out = rows.join(found, "host", "left").withColumn("first", F.when(F.size(F.filter("fits", lambda r: F.col("path").startswith(r["path"]))) > 0, first))
+    return out.withColumn("rule", F.col("first.rule")).withColumn("rule_verdict", F.col("first.verdict")).drop("first", "fits")
 
 
 def _bits(hashes: Column, blocks: int) -> tuple[Column, Column]:
@@ -131,9 +143,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"))
     rows = rows.select("id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     rows = rows.withColumn("hash", F.xxhash64("canonical")).withColumn("maybe", F.col("canonical").isNotNull() & bloom.may_contain(F.col("hash")))
-    # rows that the filter lets pass have a key to join on, the others none
-    key = F.when(F.col("maybe"), F.col("canonical"))
-    joined = rows.withColumn("key", key).join(forms.select("listed_form"), F.col("key") == F.col("listed_form"), "left")
-    rule, verdict = rule_verdicts(F.col("host"), F.col("path"), rules)
-    hit = F.col("listed_form").isNotNull()
-    return joined.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "canonical", hit.alias("listed"))
+    rows = scratch.write(rule_verdicts(rows, spark.createDataFrame(list(rules), "verdict string, host string, path string")), "rows")
+    # only what the filter lets pass is joined
+    hit = rows.where("maybe").join(forms.select("listed_form"), F.col("canonical") == F.col("listed_form"), "left").withColumn("listed", F.col("listed_form").isNotNull())
+    out = hit.drop("listed_form").unionByName(rows.where("not maybe").withColumn("listed", F.lit(False)))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "canonical", "listed")
