@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, may_lear
 
     Of the labelled ids that may_learn admits, each class gives at most `limit`,
     taken in the order of a hash of the id. A null id or label isn't used; an
-    id with both labels counts as 1, and of rows with one id any one is used.
+    id with both labels counts as 1, and of rows with one id that with the least
+    text hash is used.
     """
     known = labels.where(may_learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -32,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, may_lear
     part = [known.where(F.col("label") == y).withColumn("turn", turn).orderBy("turn", "_id").limit(limit) for y in (0, 1)]
     chosen = part[0].union(part[1])  # at most 2 * limit ids: small enough to send to every executor
     rows = docs.select(F.col(id_col).alias("id"), F.col(column).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-    rows = rows.dropDuplicates(["_id"]).select("text", "label", "turn")
+    rows = rows.groupBy("_id", "label", "turn").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", "turn")
     taken = {y: min(counts.get(y, 0), limit) for y in (0, 1)}
     odds = [float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))) for n in (counts, taken)]
     return Sample(rows, odds[0], odds[0] - odds[1], sum(taken.values()))

@@ -63,8 +63,8 @@ def _numbered(scratch: Scratch, rows: DataFrame, order: list[str]) -> tuple[Data
     are interchangeable, so the numbers depend on nothing but the table.
     """
     spark = rows.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # a mark that tells equal rows apart lets a range end among them, so many copies of a row are dealt over tasks
+    ordered = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").withColumn("_at", F.monotonically_increasing_id())
     ordered = scratch.write(ordered.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "ordered")
     counts = dict(ordered.groupBy("_part").count().collect())
     size = max(counts, default=-1) + 1

@@ -34,11 +34,11 @@ def _gaps(gap_open: int, gap_ext: int, ins_open: int | None, ins_ext: int | None
 def _in_batches(t: pd.Series, q: pd.Series, align: Callable[[list[str], list[str]], np.ndarray], width: int) -> np.ndarray:
     """Rows of results; pairs with a null or empty side stay -2**31."""
     out = np.full((len(t), width), -(2**31), np.int64)
+    t, q = t.tolist(), q.tolist()
     good = [i for i, (a, b) in enumerate(zip(t, q, strict=True)) if a and b]
-    shapes = [(len(t.iloc[i]), len(q.iloc[i])) for i in good]
-    for group in k.batches(shapes):
+    for group in k.batches([(len(t[i]), len(q[i])) for i in good]):
         rows = [good[i] for i in group]
-        out[rows] = align([t.iloc[i] for i in rows], [q.iloc[i] for i in rows])
+        out[rows] = align([t[i] for i in rows], [q[i] for i in rows])
     return out
 
 

@@ -52,15 +52,16 @@ def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
     its path forward, so no matrix is kept. Score 0 gives all zeros.
     """
     b, m, n = len(tn), t.shape[1], q.shape[1]
-    col = np.arange(n + 1)
+    col = np.arange(n + 1, dtype=np.int32)
     inside = col[1:] <= qn[:, None]
-    h = np.zeros((b, n + 1), np.int64)
-    oi = np.zeros((b, n + 1), np.int64)
+    h = np.zeros((b, n + 1), np.int32)
+    oi = np.zeros((b, n + 1), np.int32)
     oj = np.tile(col, (b, 1))
     best = np.zeros((b, 5), np.int64)
+    match, mismatch, gap = np.int32(match), np.int32(mismatch), np.int32(gap)
     for i in range(1, m + 1):
         s = np.where(t[:, i - 1 : i] == q, match, -mismatch)
-        diag = np.where(inside, h[:, :-1] + s, NEVER)
+        diag = np.where(inside, h[:, :-1] + s, np.int32(NEVER))
         up = h - gap
         top = np.maximum(up, 0)
         top[:, 0] = 0
@@ -70,11 +71,11 @@ def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
         from_diag = np.zeros_like(zero)
         from_diag[:, 1:] = ~zero[:, 1:] & (new[:, 1:] == diag)
         from_up = ~zero & ~from_diag & (new == up)
-        ni = np.where(zero, i, np.where(from_up, oi, 0))
-        nj = np.where(zero, col, np.where(from_up, oj, 0))
+        ni = np.where(zero, np.int32(i), np.where(from_up, oi, np.int32(0)))
+        nj = np.where(zero, col, np.where(from_up, oj, np.int32(0)))
         ni[:, 1:] = np.where(from_diag[:, 1:], oi[:, :-1], ni[:, 1:])
         nj[:, 1:] = np.where(from_diag[:, 1:], oj[:, :-1], nj[:, 1:])
-        source = np.maximum.accumulate(np.where(zero | from_diag | from_up, col, 0), 1)  # a left step takes its origin from there
+        source = np.maximum.accumulate(np.where(zero | from_diag | from_up, col, np.int32(0)), 1)  # a left step takes its origin from there
         oi, oj, h = np.take_along_axis(ni, source, 1), np.take_along_axis(nj, source, 1), new
         j = h.argmax(1)
         top_score = h[np.arange(b), j]
@@ -85,14 +86,15 @@ def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
 
 def _affine_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row maximum and first query index of it, row by row; rows past a target's end give NEVER."""
-    od, ed, oi, ei = gaps
+    od, ed, oi, ei = (np.int32(x) for x in gaps)
+    mat = mat.astype(np.int32)
     b, m, n = len(tn), t.shape[1], q.shape[1]
-    col = np.arange(n)
+    col = np.arange(n, dtype=np.int32)
     inside = col < qn[:, None]
-    h = np.zeros((b, n + 1), np.int64)
-    e = np.zeros((b, n), np.int64)
+    h = np.zeros((b, n + 1), np.int32)
+    e = np.zeros((b, n), np.int32)
     for i in range(m):
-        diag = h[:, :-1] + np.where(inside, mat[t[:, i : i + 1], q], NEVER)
+        diag = h[:, :-1] + np.where(inside, mat[t[:, i : i + 1], q], np.int32(NEVER))
         new = np.maximum(np.maximum(diag, e), 0)
         run = np.maximum.accumulate(new + ei * col, 1)
         f = np.zeros_like(new)

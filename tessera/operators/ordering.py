@@ -22,6 +22,23 @@ def sort_unsigned(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(unsigned(F.col(c)) for c in columns))
 
 
+def ranked(df: DataFrame, *keys: Column, name: str = "rank") -> DataFrame:
+    """df with the rank of each row, from 0, in the order of the keys; rows equal in all keys may swap.
+
+    Rows are dealt by range and sorted where they are; a partition's first rank
+    is the count of the rows before it, so no task sees the whole table.
+    """
+    scratch = Scratch(df.sparkSession, "ranked")
+    taken = [f"_key{i}" for i in range(len(keys))]
+    rows = df.select("*", *(k.alias(t) for k, t in zip(keys, taken, strict=True)))
+    rows = rows.repartitionByRange(*taken).sortWithinPartitions(*taken).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.write(rows.drop(*taken).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "rows")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition goes through the unpartitioned window, and is sent to every task
+    starts = rows.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
+
+
 def sort_array_by(array: Column, less: Callable[[Column, Column], Column]) -> Column:
     """An array in the order of less(a, b), which says that a comes before b."""
     return F.array_sort(array, lambda a, b: F.when(less(a, b), F.lit(-1)).when(less(b, a), F.lit(1)).otherwise(F.lit(0)))

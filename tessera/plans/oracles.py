@@ -4,10 +4,8 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
-_V4 = "SELECT vec_id AS id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings"
 _V2 = "SELECT vec_id AS id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings"
 _ALL = "SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
-_FEW = f"SELECT * FROM ({_ALL}) WHERE id < 100"
 _D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -31,13 +29,16 @@ def _assign(points: str, centres: str) -> str:
     return f"SELECT id, any_value(v) AS v, arg_min(k, ({_D2.format('v', 'cv')}, k)) AS label FROM {points}, {centres} GROUP BY id"
 
 
+_MEAN = "[" + ", ".join(f"avg(v[{i}])" for i in range(1, 65)) + "]"
+
+
 def _means(labelled: str, before: str) -> str:
-    return f"SELECT b.k, coalesce(m.cv, b.cv) AS cv FROM {before} b LEFT JOIN (SELECT label, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS cv FROM ({labelled}) GROUP BY label) m ON m.label = b.k"
+    return f"SELECT b.k, coalesce(m.cv, b.cv) AS cv FROM {before} b LEFT JOIN (SELECT label, {_MEAN} AS cv FROM ({labelled}) GROUP BY label) m ON m.label = b.k"
 
 
 def _kmeans(k: int, rounds: int) -> str:
     """CTEs c0..c<rounds> of centroids."""
-    parts = [f"e AS ({_V4})", f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, v AS cv FROM e ORDER BY id LIMIT {k})"]
+    parts = [f"e AS ({_ALL})", f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, v AS cv FROM e ORDER BY id LIMIT {k})"]
     parts += [f"c{i + 1} AS ({_means(_assign('e', f'c{i}'), f'c{i}')})" for i in range(rounds)]
     return "WITH " + ", ".join(parts)
 
@@ -48,9 +49,9 @@ SELECT bool_or(a.label <> b.label) AS changed FROM ({_assign("e", "c0")}) a JOIN
 
 SQL["kmeans_fit_3iter"] = f"""
 {_kmeans(3, 3)}
-SELECT k, (i - 1)::INT AS dim, {_r("cv[i]")} AS x FROM c3, range(1, 5) t(i)"""
+SELECT k, (i - 1)::INT AS dim, {_r("cv[i]")} AS x FROM c3, range(1, 65) t(i)"""
 
-SQL["sq_dist_pairs"] = f"WITH e AS ({_FEW}) SELECT a.id AS i, b.id AS j, {_r(_D2.format('a.v', 'b.v'))} AS d2 FROM e a, e b WHERE a.id < b.id"
+SQL["sq_dist_pairs"] = f"WITH e AS ({_ALL}) SELECT a.id AS i, b.id AS j, {_r(_D2.format('a.v', 'b.v'))} AS d2 FROM e a, e b WHERE a.id < b.id"
 
 SQL["vector_parts"] = f"""
 SELECT id, {_r("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm,
@@ -58,7 +59,7 @@ SELECT id, {_r("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm,
 {_r("sqrt(list_sum(list_transform(v, lambda x: greatest(-x, 0) ** 2)))")} AS negative,
 {_r("list_sum(list_transform(v, lambda x: CASE WHEN x < 1e-10 THEN 0.0::DOUBLE ELSE x END))")} AS clamped FROM ({_ALL})"""
 
-SQL["log_sum_exp"] = f"SELECT id, {_r('ln(0.2 * exp(v[1]) + 0.3 * exp(v[2]) + 0.5 * exp(v[3]))')} AS lse FROM ({_ALL})"
+SQL["log_sum_exp"] = f"SELECT id, {_r('ln(list_sum(list_transform(range(1, 65), lambda i: i / 2080 * exp(v[i]))))')} AS lse FROM ({_ALL})"
 
 
 def _rates() -> str:
@@ -94,12 +95,12 @@ def _hash() -> str:
 
 
 SQL["hash64_keys"] = _hash()
-SQL["sort_pairs"] = "SELECT o_orderkey - 1000 AS x, o_custkey AS y, (CASE WHEN o_orderkey < 1000 THEN (o_orderkey - 1000)::HUGEINT + 9223372036854775808::HUGEINT ELSE (o_orderkey - 1000)::HUGEINT - 9223372036854775808::HUGEINT END)::BIGINT AS sort_key FROM orders"
+SQL["sort_pairs"] = "SELECT o_orderkey - 1000 AS x, o_custkey AS y, row_number() OVER (ORDER BY (o_orderkey - 1000)::HUGEINT + CASE WHEN o_orderkey < 1000 THEN 18446744073709551616::HUGEINT ELSE 0 END, o_custkey) - 1 AS rank FROM orders"
 SQL["kth_smallest"] = "SELECT l_extendedprice FROM lineitem ORDER BY l_extendedprice LIMIT 1 OFFSET 1000"
 SQL["top_k"] = "SELECT l_extendedprice, l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2, 3 LIMIT 25"
 SQL["median_exact"] = f"SELECT l_returnflag, {_r('median(l_extendedprice)')} AS median FROM lineitem GROUP BY 1"
 
-_NEXT = f"""n AS (SELECT a.item_id, {_DNA.format("a.text")}[1:24] AS t, {_DNA.format("b.text")}[1:24] AS q
+_NEXT = f"""n AS (SELECT a.item_id, {_DNA.format("a.text")} AS t, {_DNA.format("b.text")} AS q
 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE length({_DNA.format("a.text")}) > 0 AND length({_DNA.format("b.text")}) > 0)"""
 
 
@@ -172,31 +173,31 @@ sum(g * (a - m0) * (b - m1)) / any_value(n) AS c01, sum(g * (b - m1) ** 2) / any
 SELECT k, {_SIX} FROM c"""
 SQL["argmin_criterion"] = "SELECT k::INT AS k FROM (SELECT o_custkey % 50 AS k, count(*) AS ic FROM orders GROUP BY 1) ORDER BY ic, k LIMIT 1"
 
-_P = f"""e AS ({_FEW}), d AS (SELECT a.id AS i, b.id AS j, exp(-{_D2.format("a.v", "b.v")} / (2 * 0.17::DOUBLE * 0.17::DOUBLE)) AS a FROM e a, e b WHERE a.id <> b.id),
-c AS (SELECT i, j, a / sum(a) OVER (PARTITION BY i) AS p FROM d), p AS (SELECT x.i, x.j, (x.p + y.p) / 200 AS p FROM c x JOIN c y ON x.i = y.j AND x.j = y.i)"""
+_P = f"""e AS ({_ALL}), d AS (SELECT a.id AS i, b.id AS j, exp(-{_D2.format("a.v", "b.v")} / (2 * 0.17::DOUBLE * 0.17::DOUBLE)) AS a FROM e a, e b WHERE a.id <> b.id),
+c AS (SELECT i, j, a / sum(a) OVER (PARTITION BY i) AS p FROM d), p AS (SELECT x.i, x.j, (x.p + y.p) / (2 * (SELECT count(*) FROM e)) AS p FROM c x JOIN c y ON x.i = y.j AND x.j = y.i)"""
 _Q = """y AS (SELECT id, v[1] AS a, v[2] AS b FROM e), s AS (SELECT x.id AS i, z.id AS j, (x.a - z.a) ** 2 + (x.b - z.b) ** 2 AS d2, x.a - z.a AS da, x.b - z.b AS db FROM y x, y z WHERE x.id <> z.id),
 q AS (SELECT i, j, d2, da, db, (1 / (1 + d2)) / sum(1 / (1 + d2)) OVER () AS q FROM s)"""
 SQL["tsne_affinity"] = f"WITH {_P} SELECT i, j, {_r('p * 1000')} AS p FROM p"
 SQL["tsne_perplexity"] = f"WITH {_P} SELECT {_r('avg(x)')} AS perplexity FROM (SELECT pow(2, -sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)) AS x FROM c GROUP BY i)"
-SQL["tsne_q"] = f"WITH e AS ({_FEW}), {_Q} SELECT i, j, {_r('q * 1000')} AS q FROM q"
+SQL["tsne_q"] = f"WITH e AS ({_ALL}), {_Q} SELECT i, j, {_r('q * 1000')} AS q FROM q"
 SQL["tsne_kl"] = f"WITH {_P}, {_Q} SELECT {_r('sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(q)) ELSE 0 END)')} AS kl FROM p JOIN q USING (i, j)"
 SQL["tsne_gradient"] = f"WITH {_P}, {_Q} SELECT i, {_r('sum((p - q) * da / (1 + d2)) * 1000')} AS g0, {_r('sum((p - q) * db / (1 + d2)) * 1000')} AS g1 FROM p JOIN q USING (i, j) GROUP BY i"
 SQL["tsne_sigma"] = f"""
-WITH RECURSIVE e AS ({_FEW}), d AS (SELECT a.id AS i, {_D2.format("a.v", "b.v")} AS d2 FROM e a, e b WHERE a.id <> b.id),
+WITH RECURSIVE e AS ({_ALL}), d AS (SELECT a.id AS i, {_D2.format("a.v", "b.v")} AS d2 FROM e a, e b WHERE a.id <> b.id),
 l AS (SELECT i, list(d2) AS ds FROM d GROUP BY i), rows AS (SELECT list(ds) AS r FROM l),
 b AS (
   SELECT 0 AS n, 1e-5::DOUBLE AS lo, 100.0::DOUBLE AS hi, 0.0::DOUBLE AS mid
   UNION ALL
   SELECT n + 1, CASE WHEN ppl > 10 THEN lo ELSE m END, CASE WHEN ppl > 10 THEN m ELSE hi END, m
-  FROM (SELECT n, lo, hi, m, list_avg(list_transform(w, lambda x: pow(2, -list_sum(list_transform(x, lambda a: CASE WHEN list_sum(x) > 0 AND a > 0 THEN a / list_sum(x) * log2(a / list_sum(x)) ELSE 0 END))))) AS ppl
+  FROM (SELECT n, lo, hi, m, list_avg(list_transform(w, lambda x: pow(2, CASE WHEN list_sum(x) > 0 THEN log2(list_sum(x)) - list_sum(list_transform(x, lambda a: CASE WHEN a > 0 THEN a * log2(a) ELSE 0 END)) / list_sum(x) ELSE 0 END))) AS ppl
     FROM (SELECT n, lo, hi, (lo + hi) / 2 AS m, list_transform(r, lambda ds: list_transform(ds, lambda y: exp(-y / (2 * ((lo + hi) / 2) * ((lo + hi) / 2))))) AS w FROM b, rows WHERE hi - lo > 1e-7))
 ) SELECT round(mid, 5) AS sigma FROM b ORDER BY n DESC LIMIT 1"""
 
-SQL["r1pca_residual"] = f"SELECT id, {_r('sqrt(v[3] * v[3] + v[4] * v[4])')} AS residual FROM ({_V4})"
-SQL["r1pca_weights"] = f"SELECT id, {_r('least(1, 0.15 / sqrt(v[3] * v[3] + v[4] * v[4]))')} AS weight FROM ({_V4})"
+SQL["r1pca_residual"] = f"SELECT id, {_r('sqrt(list_sum(list_transform(v[3:], lambda x: x * x)))')} AS residual FROM ({_ALL})"
+SQL["r1pca_weights"] = f"SELECT id, {_r('least(1, 0.9 / sqrt(list_sum(list_transform(v[3:], lambda x: x * x))))')} AS weight FROM ({_ALL})"
 SQL["r1pca_gram"] = f"""
-WITH e AS (SELECT v, least(1, 0.15::DOUBLE / sqrt(v[3] * v[3] + v[4] * v[4])) AS w FROM ({_V4}))
-SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, {_r("sum(w * v[i] * v[j])")} AS x FROM e, range(1, 5) a(i), range(1, 5) b(j) GROUP BY ALL"""
+WITH e AS (SELECT v, least(1, 0.9::DOUBLE / sqrt(list_sum(list_transform(v[3:], lambda x: x * x)))) AS w FROM ({_ALL}))
+SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, {_r("sum(w * v[i] * v[j])")} AS x FROM e, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL"""
 
 _SOLD = """s AS (SELECT p_brand, c_mktsegment, sum(l_quantity) AS x FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 a AS (SELECT dense_rank() OVER (ORDER BY p_brand) - 1 AS i, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS j, x FROM s)"""

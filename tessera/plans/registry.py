@@ -1,7 +1,9 @@
 """Named queries over the driver's tables: one or more for each operator.
 
-Vectors are the embeddings as doubles; `vec4` is their first four coordinates.
-Sequences are the letters A, C, G and T of a text. Results are rounded to six
+Vectors are the embeddings as doubles, the whole of them but for mixtures, which
+are fitted in the plane of the first two coordinates (with 64, the clusters of
+the given tables have singular covariances, and every model is the same).
+Sequences are the letters A, C, G and T of a whole text. Results are rounded to six
 decimals, with +0.0 so that -0.0 doesn't show.
 """
 
@@ -21,8 +23,8 @@ from tessera.sources import fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: sequence length, points of the pairwise queries, bandwidth, ranks
-LETTERS, POINTS, SIGMA, RANK = 24, 100, 0.17, 2
+#: coordinates, bandwidth, ranks
+DIMS, SIGMA, RANK = 64, 0.17, 2
 
 
 def query(f: Query) -> Query:
@@ -46,18 +48,13 @@ def embeddings(spark: SparkSession, sf: str, dims: int | None = None) -> DataFra
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vec.as_vector("embedding", dims).alias("v"), "label")
 
 
-def few(spark: SparkSession, sf: str) -> DataFrame:
-    """The points of the pairwise queries: all pairs of a stated set."""
-    return embeddings(spark, sf).where(F.col("id") < POINTS)
-
-
 def plane(df: DataFrame) -> DataFrame:
     """Points with their first two coordinates as an embedding."""
     return df.select("id", F.slice("v", 1, 2).alias("y"))
 
 
 def seqs(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    rows = table(spark, sf, name).select(F.col(key).alias("name"), sq.dna(F.col("text"), LETTERS).alias("seq"))
+    rows = table(spark, sf, name).select(F.col(key).alias("name"), sq.dna(F.col("text")).alias("seq"))
     return rows.where(F.length("seq") > 0)
 
 
@@ -80,7 +77,7 @@ def kmeans_update_step(spark, sf):
 
 @query
 def kmeans_changed(spark, sf):
-    df = embeddings(spark, sf, 4).drop("label")
+    df = embeddings(spark, sf).drop("label")
     first = kmeans.seeds(df, 5)
     second, _ = kmeans.fit(df, 5, 1)
     return kmeans.changed(kmeans.assign(df, first), kmeans.assign(df, second))
@@ -88,9 +85,9 @@ def kmeans_changed(spark, sf):
 
 @query
 def kmeans_fit_3iter(spark, sf):
-    df = embeddings(spark, sf, 4).drop("label")
+    df = embeddings(spark, sf).drop("label")
     centroids, _ = kmeans.fit(df, 3, 3)
-    rows = [(k, d, float(centroids[k, d])) for k in range(3) for d in range(4)]
+    rows = [(k, d, float(centroids[k, d])) for k in range(3) for d in range(DIMS)]
     return spark.createDataFrame(rows, "k int, dim int, x double").withColumn("x", rounded(F.col("x")))
 
 
@@ -99,7 +96,7 @@ def kmeans_fit_3iter(spark, sf):
 
 @query
 def sq_dist_pairs(spark, sf):
-    return tsne.pair_distances(few(spark, sf)).select("i", "j", rounded(F.col("d2")).alias("d2"))
+    return tsne.pair_distances(embeddings(spark, sf)).select("i", "j", rounded(F.col("d2")).alias("d2"))
 
 
 @query
@@ -110,7 +107,7 @@ def vector_parts(spark, sf):
 
 @query
 def log_sum_exp(spark, sf):
-    return embeddings(spark, sf).select("id", rounded(vec.weighted_log_sum_exp(F.slice("v", 1, 3), [0.2, 0.3, 0.5])).alias("lse"))
+    return embeddings(spark, sf).select("id", rounded(vec.weighted_log_sum_exp(F.col("v"), [(i + 1) / (DIMS * (DIMS + 1) / 2) for i in range(DIMS)])).alias("lse"))
 
 
 @query
@@ -151,7 +148,7 @@ def hash64_keys(spark, sf):
 def sort_pairs(spark, sf):
     """Rank of each pair in unsigned order; ranks come from a range sort, not from one task."""
     pairs = table(spark, sf, "orders").select((F.col("o_orderkey") - 1000).alias("x"), F.col("o_custkey").alias("y"))
-    return pairs.select("x", "y", ordering.unsigned(F.col("x")).alias("sort_key")).orderBy("sort_key", "y")
+    return ordering.ranked(pairs, ordering.unsigned(F.col("x")), F.col("y"))
 
 
 @query
@@ -296,30 +293,29 @@ def argmin_criterion(spark, sf):
 
 @query
 def tsne_affinity(spark, sf):
-    p = tsne.affinities(tsne.pair_distances(few(spark, sf)), SIGMA, POINTS)
+    df = embeddings(spark, sf)
+    p = tsne.affinities(tsne.pair_distances(df), SIGMA, df.count())
     return p.select("i", "j", rounded(F.col("p") * 1000).alias("p"))
 
 
 @query
 def tsne_perplexity(spark, sf):
-    return tsne.perplexity(tsne.conditional(tsne.pair_distances(few(spark, sf)), SIGMA)).select(rounded(F.col("perplexity")).alias("perplexity"))
+    return tsne.perplexity(tsne.conditional(tsne.pair_distances(embeddings(spark, sf)), SIGMA)).select(rounded(F.col("perplexity")).alias("perplexity"))
 
 
 @query
 def tsne_sigma(spark, sf):
-    x = np.array([r["v"] for r in few(spark, sf).orderBy("id").collect()])  # a stated set of POINTS rows
-    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    return spark.createDataFrame([(round(tsne.find_sigma_local(d2, 10.0), 5),)], "sigma double")
+    return spark.createDataFrame([(round(tsne.find_sigma(tsne.pair_distances(embeddings(spark, sf)), 10.0), 5),)], "sigma double")
 
 
 @query
 def tsne_q(spark, sf):
-    return tsne.joint_q(plane(few(spark, sf))).select("i", "j", rounded(F.col("q") * 1000).alias("q"))
+    return tsne.joint_q(plane(embeddings(spark, sf))).select("i", "j", rounded(F.col("q") * 1000).alias("q"))
 
 
 def _p_q(spark, sf):
-    df = few(spark, sf)
-    return tsne.affinities(tsne.pair_distances(df), SIGMA, POINTS), tsne.joint_q(plane(df)), plane(df)
+    df = embeddings(spark, sf)
+    return tsne.affinities(tsne.pair_distances(df), SIGMA, df.count()), tsne.joint_q(plane(df)), plane(df)
 
 
 @query
@@ -336,29 +332,29 @@ def tsne_gradient(spark, sf):
 
 @query
 def tsne_embed(spark, sf):
-    return tsne.tsne(few(spark, sf), target=10.0, max_iter=200, seed=1).select("id", F.element_at("y", 1).alias("y0"), F.element_at("y", 2).alias("y1"))
+    return tsne.tsne(embeddings(spark, sf), target=10.0, seed=1).select("id", F.element_at("y", 1).alias("y0"), F.element_at("y", 2).alias("y1"))
 
 
 # robust components
 
-_AXES = np.eye(4)[:, :2]
+_AXES = np.eye(DIMS)[:, :2]
 
 
 @query
 def r1pca_residual(spark, sf):
-    return r1pca.residuals(embeddings(spark, sf, 4), _AXES).select("id", rounded(F.col("residual")).alias("residual"))
+    return r1pca.residuals(embeddings(spark, sf), _AXES).select("id", rounded(F.col("residual")).alias("residual"))
 
 
 @query
 def r1pca_weights(spark, sf):
-    df = embeddings(spark, sf, 4).withColumn("r", r1pca.difference_norm(F.col("v"), _AXES))
-    return df.select("id", rounded(vec.huber_weight(F.col("r"), 0.15)).alias("weight"))
+    df = embeddings(spark, sf).withColumn("r", r1pca.difference_norm(F.col("v"), _AXES))
+    return df.select("id", rounded(vec.huber_weight(F.col("r"), 0.9)).alias("weight"))
 
 
 @query
 def r1pca_gram(spark, sf):
-    c = r1pca.weighted_covariance(embeddings(spark, sf, 4), _AXES, 0.15)
-    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(4) for j in range(4)], "i int, j int, x double").select("i", "j", rounded(F.col("x")).alias("x"))
+    c = r1pca.weighted_covariance(embeddings(spark, sf), _AXES, 0.9)
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(DIMS) for j in range(DIMS)], "i int, j int, x double").select("i", "j", rounded(F.col("x")).alias("x"))
 
 
 @query

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tessera.llm.components import components
 from tessera.llm.minhash import drop_near_duplicates, near_duplicates, packed, unpacked
@@ -137,12 +138,13 @@ def test_one_row_of_each_group_stays(spark):
     assert drop_near_duplicates(docs.limit(0)).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 300_000])
+def test_components(spark, at_once):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(200)]
     extra = [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
     links = spark.createDataFrame(chain + extra + [(5, 5), (None, 1)], "a long, b long").repartition(7)
-    got = {r["node"]: r["root"] for r in components(Scratch(spark, "t"), links, "cc").collect()}
+    got = {r["node"]: r["root"] for r in components(Scratch(spark, "t"), links, "cc", at_once=at_once).collect()}
     top = {}
 
     def find(x):

@@ -42,3 +42,36 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check(rows, shard_rows(docs, 4).collect(), 4)
     assert shard_rows(docs.limit(0)).collect() == []
+
+
+def plain_place(number, n, shards, seed=0):
+    """The network on Python integers."""
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    half = 1
+    while 4**half < n:
+        half += 1
+    p = number
+    while True:
+        left, right = p >> half, p % 2**half
+        for r in range(6):
+            left, right = right, left ^ mix((right + mix(seed * 6 + r + 1)) % 2**64) % 2**half
+        p = left << half | right
+        if p < n:
+            return p % shards, p // shards
+
+
+def test_shard_and_slot_are_those_of_the_number(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = shard_rows(docs, 7, seed=5).collect()
+    assert all((r["shard"], r["slot"]) == plain_place(r["number"], len(got), 7, 5) for r in got)
+    order = sorted(got, key=lambda r: r["number"])
+    assert [(r["doc_id"], r["text_crc32"]) for r in order] == sorted((r["doc_id"], r["text_crc32"]) for r in got)
+
+
+def test_copies_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(7, "same", 1, "x")] * 500 + [(8, "other", 2, "y")], "doc_id long, text string, number int, shard string").repartition(5)
+    check([(7, "same")] * 500 + [(8, "other")], shard_rows(docs, 16).collect(), 16)
