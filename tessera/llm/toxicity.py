@@ -97,7 +97,9 @@ def train(batches: list[tuple], labels: list[np.ndarray], updates: tuple[int, in
 
     batches: bag() of some texts each. The first epochs average whole texts; in
     the others a text is its worst span by the model so far, so that a few
-    words among thousands count. Both classes weigh the same, however many
+    words among thousands count. Texts come here as _fit() sends them, each a bag
+    of words in the order of their hashes with repeats side by side, so these
+    spans are six such neighbours; a score takes its spans from the text itself. Both classes weigh the same, however many
     examples each has. Adagrad on the table's rows, u and bias.
     """
     ones = sum(float(y.sum()) for y in labels)
@@ -143,18 +145,18 @@ def _fit(sample: DataFrame, updates: tuple[int, int], batch_rows: int = 64) -> t
     """Train in one task, on a sample of bounded size."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A text as its distinct words, each once, and their numbers in the order of the text."""
+        """A text as its distinct words, each once with its count."""
         for batch in batches:
-            words, order = [], []
+            words, counts = [], []
             for text in batch.column("text"):
                 w = Words(*buffers(pa.array([text.as_py()], pa.string())), separators=MARKS, lower=True)
-                _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                _, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
                 words.append(b" ".join(w.buf[w.starts[i] : w.ends[i]].tobytes() for i in first))
-                order.append(squeeze(number.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(order, pa.binary()), batch.column("label"), batch.column("turn")], ["words", "order", "label", "turn"])
+                counts.append(squeeze(n.astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.binary()), batch.column("label"), batch.column("turn")], ["words", "counts", "label", "turn"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("words", "order", "label")), strict=True)]
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("words", "counts", "label")), strict=True)]
         if not rows:
             return
         bags, labels = [], []
@@ -162,15 +164,15 @@ def _fit(sample: DataFrame, updates: tuple[int, int], batch_rows: int = 64) -> t
             part = rows[a : a + batch_rows]
             w = Words(*buffers(pa.array([r[0] for r in part], pa.binary())), separators=MARKS, lower=True)
             _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
-            order = [unsqueeze(r[1], np.uint32).astype(np.int64) for r in part]
-            begins = np.concatenate([[0], np.cumsum([len(o) for o in order])])
+            times = np.concatenate([unsqueeze(r[1], np.uint32) for r in part]).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(times)])
             sub, start = subwords(w, first)
-            bags.append((sub.astype(np.int32), start, number.astype(np.int32)[np.concatenate([o + f for o, f in zip(order, w.first, strict=False)])], begins, np.diff(begins)))
+            bags.append((sub.astype(np.int32), start, np.repeat(number.astype(np.int32), times), ends[w.first], np.diff(ends[w.first])))
             labels.append(np.array([r[2] for r in part], float))
         scores, bias = train(bags, labels, updates)
         yield pa.RecordBatch.from_arrays([pa.array([squeeze(scores.astype(np.float32))], pa.binary()), pa.array([bias])], ["w", "bias"])
 
-    ready = sample.mapInArrow(prepare, "words binary, order binary, label int, turn long")
+    ready = sample.mapInArrow(prepare, "words binary, counts binary, label int, turn long")
     rows = ready.repartition(1).sortWithinPartitions("turn").mapInArrow(learn, "w binary, bias double").collect()
     return (unsqueeze(rows[0]["w"], np.float32), rows[0]["bias"]) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
 
