@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from tessera.functions import vectors as vec
 from tessera.operators import kmeans
 from tessera.operators.linalg import dimension
+from tessera.runtime import ship
 
 TOLERANCE = 1e-2
 #: log-determinants under this count as degenerate
@@ -73,6 +74,7 @@ class Mixture:
 
 def _moments(df: DataFrame, v: str, d: int, k: int, centre: np.ndarray, share) -> np.ndarray:
     """K x (1 + D + D*D): sums of shares, of centred values and of their products; one number more, the log-likelihood."""
+    ship(df.sparkSession)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, loglik = np.zeros((k, 1 + d + d * d)), 0.0
@@ -132,13 +134,19 @@ def log_likelihood(df: DataFrame, mixture: Mixture, v: str = "v", compat: bool =
 
 
 def e_step(df: DataFrame, mixture: Mixture, v: str = "v", compat: bool = False) -> DataFrame:
-    """df with gamma, the responsibilities, as JVM expressions over the model's numbers."""
-    used = [k for k in range(len(mixture.pi)) if mixture.pi[k] > 0]
-    logs = F.array(*(vec.normal_log_density(v, mixture.means[k], mixture.inverse[k], float(mixture.log_det[k]), compat) + math.log(mixture.pi[k]) for k in used))
-    with_logs = df.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
-    total = F.col("_top") + F.ln(vec.total(F.transform("_logs", lambda x: F.exp(x - F.col("_top")))))
-    parts = [F.exp(F.element_at("_logs", used.index(k) + 1) - F.col("_total")) if k in used else F.lit(0.0) for k in range(len(mixture.pi))]
-    return with_logs.withColumn("_total", total).withColumn("gamma", F.array(*parts)).withColumn("log_likelihood", F.col("_total")).drop("_logs", "_top", "_total")
+    """df with gamma, the responsibilities, and log_likelihood: one Arrow pass over the vectors alone."""
+    ship(df.sparkSession)
+
+    @pandas_udf("struct<gamma: array<double>, log_likelihood: double>")
+    def shares(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"gamma": [], "log_likelihood": []})
+        gamma, loglik = mixture.responsibilities(np.stack(vectors.to_numpy()).astype(float), compat)
+        return pd.DataFrame({"gamma": list(gamma), "log_likelihood": loglik})
+
+    kept = [c for c in df.columns if c not in ("gamma", "log_likelihood")]
+    made = df.select(*kept, shares(F.col(v).cast("array<double>")).alias("_shares"))
+    return made.select(*kept, "_shares.gamma", "_shares.log_likelihood")
 
 
 def fit(df: DataFrame, k: int, v: str = "v", label: str = "label", tolerance: float = TOLERANCE, max_iter: int = 200, compat: bool = True) -> tuple[Mixture, float, int]:

@@ -58,18 +58,17 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or our own where it is unset.
 
-    Without the setting a local session uses a temporary folder and a cluster
-    uses a folder in the warehouse, which its executors share.
+    Without the setting a local session uses a temporary folder; a cluster has
+    to name one, as no folder is sure to be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
+    if not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor share")
     if sc.applicationId not in _fallback:
-        if sc.master.startswith("local[") or sc.master == "local":
-            _fallback[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        else:
-            _fallback[sc.applicationId] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
+        _fallback[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     return _fallback[sc.applicationId]
 
 

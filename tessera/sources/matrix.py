@@ -13,7 +13,7 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) of a dense matrix file: N D, then N rows of D numbers. More or fewer numbers raise."""
+    """(id, v) of a dense matrix file: N D, then N rows of D numbers. Fewer numbers raise; what follows them is left to read_labels()."""
     f = _fields(spark, path).select("fields", F.element_at("fields", 1).cast("long").alias("n"), F.element_at("fields", 2).cast("int").alias("d"))
     numbers = F.transform(F.slice("fields", F.lit(3), F.size("fields")), lambda x: x.cast("double"))
     full = F.when(F.size("fields") - 2 >= F.col("n") * F.col("d"), numbers).otherwise(F.raise_error(F.lit("the matrix is shorter than its header says")).cast("array<double>"))
