@@ -60,7 +60,8 @@ def rule_verdicts(rows: DataFrame, rules: DataFrame) -> DataFrame:
     # the host itself, then without its first label, and so on
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = rows.select("host").distinct().withColumn("at", F.explode(names)).join(of_host, "at")
-    found = asked.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("own")), False).alias("fits"))
+    # written, so that the join below shuffles both sides and Spark can split a host that holds most rows
+    found = Scratch(rows.sparkSession, "rules").write(asked.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("own")), False).alias("fits")), "found")
     first = F.element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), 1)
     out = rows.join(found, "host", "left").withColumn("first", F.when(F.size(F.filter("fits", lambda r: F.col("path").startswith(r["path"]))) > 0, first))
     return out.withColumn("rule", F.col("first.rule")).withColumn("rule_verdict", F.col("first.verdict")).drop("first", "fits")
