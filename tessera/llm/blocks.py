@@ -99,15 +99,29 @@ def _write(scratch: Scratch, df: DataFrame, batches: Callable[[Iterator[pa.Recor
     return scratch.write_dealt(df.mapInArrow(run, "block_id long, size long, blob binary"), name, "block_id", tables)
 
 
-def pack(scratch: Scratch, docs: DataFrame, column: str, sizes: Sizes = Sizes(), name: str = "blocks", negative: bool = False) -> DataFrame:
+def pack(scratch: Scratch, docs: DataFrame, column: str, sizes: Sizes = Sizes(), name: str = "blocks", negative: bool = False, fill: bool = False) -> DataFrame:
     """(block_id, size, blob): every row and column of docs, in blocks that stay as written.
 
-    Ids are random; negative ones tell one table's blocks from another's.
+    Ids are random; negative ones tell one table's blocks from another's. With
+    fill a block goes on over Arrow batches until it is full, so that more of
+    its keys are repeats.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            yield from slices(batch, column, sizes.block_bytes)
+            if not fill:
+                yield from slices(batch, column, sizes.block_bytes)
+                continue
+            for part in slices(batch, column, max(sizes.block_bytes // 8, 1)):
+                n = part.column(part.schema.get_field_index(column)).nbytes
+                if held and size + n > sizes.block_bytes:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return _write(scratch, docs, cut, name, negative)
 
@@ -161,7 +175,7 @@ Question = Callable[[pa.RecordBatch], Sequence[tuple[Keys, Sequence[np.ndarray]]
 
 @dataclass
 class Reply:
-    """Of each key that was asked about, in order: its sums over all blocks, and whether this block is the first to ask."""
+    """Of each key that was asked about, in order: its sums over all blocks (empty if the block isn't told), and whether this block is the first to ask."""
 
     sums: list[np.ndarray]
     first: np.ndarray
@@ -171,11 +185,13 @@ class Exchange:
     """Questions of blocks about keys, answered with sums over all blocks.
 
     families: how many buckets the keys of each family have. values: how many
-    numbers go with a key. With cap, sums are answered only up to it.
+    numbers go with a key. With cap, sums are answered only up to it. Blocks with
+    ids above 0 are told the first `shared` sums only (all by default).
     """
 
-    def __init__(self, scratch: Scratch, families: Sequence[int], values: int = 1, cap: int | None = None, sizes: Sizes = Sizes()):
+    def __init__(self, scratch: Scratch, families: Sequence[int], values: int = 1, cap: int | None = None, sizes: Sizes = Sizes(), shared: int | None = None):
         self.scratch, self.families, self.values, self.cap, self.sizes = scratch, tuple(families), values, cap, sizes
+        self.shared = values if shared is None else shared
         self.depth = tuple(self._levels(n) for n in self.families)
         self.schema = "block_id long, place long, reply binary, news long" + "".join(f", sum{i} long" for i in range(values))
         #: messages of each level, as sent
@@ -219,27 +235,27 @@ class Exchange:
         bucket, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         return Keys(key, bucket), [np.concatenate([p[2][i] for p in parts]) for i in range(self.values)], np.cumsum([0, *(len(p[1]) for p in parts)])
 
-    def _answers(self, block_id: pa.Array, place: pa.Array, sums: list[np.ndarray], first: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        """Rows of the answers to several messages, from the sums and firsts of their entries.
+    def _answers(self, block_id: pa.Array, place: pa.Array, sums: list[np.ndarray], first: np.ndarray, at: np.ndarray, level: int) -> pa.RecordBatch:
+        """Rows of the answers to several messages of a level, from the sums and firsts of their entries.
 
         news counts the keys first asked about in a message whose first sum isn't 0; sum0.. are the sums of all its first keys.
         """
         kind = np.uint64 if self.cap is None else np.uint8
         sums = [s if self.cap is None else np.minimum(s, self.cap) for s in sums]
         spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-        replies = [bundle(*(squeeze(s[a:b].astype(kind)) for s in sums), squeeze(np.packbits(first[a:b]))) for a, b in spans]
+        told = [self.shared if level == 1 and i > 0 else self.values for i in block_id.to_pylist()]  # chunks of messages need all
+        replies = [bundle(*(squeeze(s[a:b].astype(kind)) if k < m else b"" for k, s in enumerate(sums)), squeeze(np.packbits(first[a:b]))) for (a, b), m in zip(spans, told, strict=True)]
         parts = [[int((first[a:b] & (sums[0][a:b] > 0)).sum()) for a, b in spans], *([int(s[a:b][first[a:b]].sum()) for a, b in spans] for s in sums)]
         return pa.RecordBatch.from_arrays([block_id, place, pa.array(replies, pa.binary()), *(pa.array(p, pa.int64()) for p in parts)], ["block_id", "place", "reply", "news", *(f"sum{i}" for i in range(self.values))])
 
     def _unpacked(self, batch_replies: list[dict]) -> list[Reply]:
         """Replies by family, in the order of the keys."""
         kind = np.uint64 if self.cap is None else np.uint8
-        out = []
+        out, none = [], [np.zeros(0, kind)]
         for f in range(len(self.families)):
             mine = [unbundle(r["reply"], self.values + 1) for r in sorted((r for r in batch_replies if r["place"] >> _FAMILY == f), key=lambda r: r["place"])]
-            sums = [[unsqueeze(m[i], kind) for m in mine] for i in range(self.values)]
+            sums = [[unsqueeze(m[i], kind) if m[i] else none[0] for m in mine] for i in range(self.values)]
             first = [np.unpackbits(unsqueeze(m[-1], np.uint8), count=len(s)).astype(bool) for m, s in zip(mine, sums[0], strict=True)]
-            none = [np.zeros(0, kind)]
             out.append(Reply([np.concatenate(s or none) for s in sums], np.concatenate(first or [np.zeros(0, bool)])))
         return out
 
@@ -274,18 +290,18 @@ class Exchange:
         deep = [f for f, d in enumerate(self.depth) if d > level]
         parts = []
         if flat:
-            parts.append(self._flat(asked.where(family.isin(flat)) if deep else asked))
+            parts.append(self._flat(asked.where(family.isin(flat)) if deep else asked, level))
         if deep:
             parts.append(self._deep(asked.where(family.isin(deep)) if flat else asked, level))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def _flat(self, asked: DataFrame) -> DataFrame:
+    def _flat(self, asked: DataFrame, level: int) -> DataFrame:
         """Answers of places that are one bucket each."""
 
         def run(table: pa.Table) -> pa.Table:
             keys, values, at = self._gathered(table["keys"].to_pylist())
             block_id, place = (table[c].combine_chunks() for c in ("block_id", "place"))
-            return pa.Table.from_batches([self._answers(block_id, place, [keys.back(keys.sum(v)) for v in values], keys.firsts(), at)])
+            return pa.Table.from_batches([self._answers(block_id, place, [keys.back(keys.sum(v)) for v in values], keys.firsts(), at, level)])
 
         return asked.groupBy("place").applyInArrow(run, self.schema)
 
@@ -327,7 +343,7 @@ class Exchange:
             place = members.column("place")[0].as_py()
             keys, _, at = self._gathered(members.column("keys").to_pylist())
             reply = got[place >> _FAMILY]
-            yield self._answers(members.column("block_id"), members.column("place"), [keys.back(s) for s in reply.sums], keys.firsts() & keys.back(reply.first), at)
+            yield self._answers(members.column("block_id"), members.column("place"), [keys.back(s) for s in reply.sums], keys.firsts() & keys.back(reply.first), at, level)
 
         return self.finish(chunks, answers, last, self.schema)
 

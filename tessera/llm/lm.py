@@ -152,11 +152,11 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", column: str = "t
     held = (F.pmod(F.xxhash64(docs[id_col].cast("string"), docs[column].cast("string")), F.lit(held_out_every)) == 0) & F.coalesce(train, F.lit(False))
     docs = docs.select(docs[id_col].alias("id"), docs[column].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"), held.alias("held"))
     id_type = docs.schema["id"].dataType
-    away = bl.pack(scratch, docs.where("held"), "text", sizes, "held", negative=True)
-    rest = bl.pack(scratch, docs.where("not held"), "text", sizes, "rest")
+    away = bl.pack(scratch, docs.where("held"), "text", sizes, "held", negative=True, fill=True)
+    rest = bl.pack(scratch, docs.where("not held"), "text", sizes, "rest", fill=True)
     size = [(bl.buckets_for(away, k, sizes), bl.buckets_for(rest, k, sizes)) for k in (0.04, 0.13, 0.16)]
     buckets = tuple(a + b for a, b in size)
-    exchange = bl.Exchange(scratch, buckets, values=2, sizes=sizes)
+    exchange = bl.Exchange(scratch, buckets, values=2, sizes=sizes, shared=1)  # own counts matter to the held-out share alone
 
     def question(batch: pa.RecordBatch) -> list[tuple[bl.Keys, list[np.ndarray]]]:
         tokens = _Tokens(batch)
@@ -171,13 +171,13 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", column: str = "t
     found = answers.where(F.shiftright("place", 48) == 0).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("news", "sum0", "sum1"))).first()
     types, n, n_held = (int(x) for x in found)
 
-    def counts(batch: pa.RecordBatch, got: list[bl.Reply]) -> tuple[_Tokens, list[list[np.ndarray]]]:
-        """Of each token, its n-grams' counts in all training texts and in their held-out share."""
+    def counts(batch: pa.RecordBatch, got: list[bl.Reply], some: int = 1) -> tuple[_Tokens, list[list[np.ndarray]]]:
+        """Of each token, its n-grams' counts in all training texts, and with some=2 in their held-out share."""
         tokens = _Tokens(batch)
-        return tokens, [[keys.back(x.astype(np.float64)) for x in r.sums] for keys, r in zip(tokens.keys(buckets), got, strict=True)]
+        return tokens, [[keys.back(x.astype(np.float64)) for x in r.sums[:some]] for keys, r in zip(tokens.keys(buckets), got, strict=True)]
 
     def deleted(batch: pa.RecordBatch, got: list[bl.Reply]) -> Iterator[pa.RecordBatch]:
-        tokens, found = counts(batch, got)
+        tokens, found = counts(batch, got, 2)
         c, f = _estimates(tokens, *(whole - own for whole, own in found), n - n_held)
         yield pa.RecordBatch.from_arrays([pa.array([bl.bundle(squeeze(c.astype(np.uint8)), squeeze(f.T.astype(np.float32).ravel()))], pa.binary())], ["held"])
 
@@ -186,7 +186,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", column: str = "t
     weights = _learn(parts, uniform, rounds)
 
     def last(batch: pa.RecordBatch, got: list[bl.Reply]) -> Iterator[pa.RecordBatch]:
-        tokens, ((one, _), (two, _), (three, _)) = counts(batch, got)
+        tokens, ((one,), (two,), (three,)) = counts(batch, got)
         if not len(tokens.token):
             return
         c, f = _estimates(tokens, one, two, three, n)
