@@ -39,7 +39,7 @@ from tessera.runtime import Scratch
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bytes of text in a block, keys in a bucket, messages of a block at most, keys in a chunk of messages."""
+    """Bytes of text in a block, keys in a bucket, messages of a block at most, keys from which on a chunk takes no more messages."""
 
     block_bytes: int = 3 << 20
     bucket_keys: int = 2_000_000
@@ -318,7 +318,7 @@ class Exchange:
             for batch in batches:
                 for row in batch.to_pylist():
                     n = len(self._entries(row["keys"])[1])
-                    if rows and (row["place"] != rows[0]["place"] or size + n > self.sizes.chunk_keys):
+                    if rows and (row["place"] != rows[0]["place"] or size >= self.sizes.chunk_keys):
                         yield pa.RecordBatch.from_pylist(rows, batch.schema)
                         rows, size = [], 0
                     rows.append(row)
