@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, classifier, decontam, lm, minhash, quality, sharding, substring, toxicity, urls
+from tessera.llm import bpe, classifier, decontam, lm, minhash, quality, secrets, sharding, substring, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = ("assign", "access", "hex")
+    counts = [F.size(secrets.of_kinds(F.col("found"), (k,))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(secrets.of_kinds(F.col("found"), base)).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -112,8 +119,18 @@ QUERIES: dict[str, Query] = {
     "op8_feistel_sharding": op8_feistel_sharding,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op12_secret_ledger": op12_secret_ledger,
 }
 
+#: SQL of every match of each rule in every distinct text: (text, kind, place, start, stop)
+_SPANS = " UNION ALL ".join(
+    f"""SELECT text, '{r.kind}' AS kind, {i} AS place, list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(m) for m in whole[1:i - 1]]), 0) AS start, length(whole[i]) AS size
+FROM (SELECT text, gaps, whole, part, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT text, regexp_split_to_array(text, p) AS gaps, regexp_extract_all(text, p) AS whole, regexp_extract_all(text, p, {r.group}) AS part
+FROM t, (SELECT '{r.pattern.replace("'", "''")}' AS p)) WHERE len(whole) > 0) WHERE length(part[i]) >= {r.least}"""
+    for i, r in enumerate(secrets.RULES)
+)
+
+
 _LISTED = " UNION ALL ".join(f"SELECT '{h}/{lang}/' || i AS form FROM range({LISTED_NUMBERS}) t(i)" for h in LISTED_HOSTS for lang in LISTED_LANGS)
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _QUERY_PARTS = "list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT list_contains([" + ", ".join(f"'{t}'" for t in urls.TRACKING) + "], string_split(x, '=')[1])))"
@@ -152,4 +169,9 @@ h AS (SELECT doc_id, count(DISTINCT x + o) AS n_hit FROM f, range(10) t(o) WHERE
 j AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM f) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "op12_secret_ledger": f"""
+WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), m AS ({_SPANS}),
+s AS (SELECT text, kind, place, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM m),
+g AS (SELECT text, count(*) FILTER (WHERE place = 0) AS a, count(*) FILTER (WHERE place = 1) AS b, count(*) FILTER (WHERE place = 2) AS c, string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM s GROUP BY text)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON g.text = coalesce(d.text, '')""",
 }
