@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, classifier, decontam, lm, minhash, quality, secrets, sharding, substring, toxicity, urls
+from tessera.llm import bpe, classifier, decontam, lm, minhash, quality, secrets, sharding, substring, toxicity, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,10 @@ def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.digest(secrets.of_kinds(F.col("found"), base)).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("found")).alias("spans"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_documents(spark, sf_dir).select("doc_id", "text"), slips=199)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
     "op12_secret_ledger": op12_secret_ledger,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: SQL of every match of each rule in every distinct text: (text, kind, place, start, stop)
@@ -135,6 +140,10 @@ _LISTED = " UNION ALL ".join(f"SELECT '{h}/{lang}/' || i AS form FROM range({LIS
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _QUERY_PARTS = "list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT list_contains([" + ", ".join(f"'{t}'" for t in urls.TRACKING) + "], string_split(x, '=')[1])))"
 
+#: unsigned CRC-32 of the bytes in a list of integers, with the table of its 256 steps made by rule
+_CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM (SELECT unnest(range(256))::BIGINT AS i)"
+_BYTES = "[(list_position(hexes, substr(hex(x), k, 2)) - 1)::BIGINT for k in range(1, 2 * octet_length(encode(x)), 2)]"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -174,4 +183,18 @@ WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), m AS ({_S
 s AS (SELECT text, kind, place, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM m),
 g AS (SELECT text, count(*) FILTER (WHERE place = 0) AS a, count(*) FILTER (WHERE place = 1) AS b, count(*) FILTER (WHERE place = 2) AS c, string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM s GROUP BY text)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON g.text = coalesce(d.text, '')""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE c AS ({_CRC_TABLE}), hx AS (SELECT list(printf('%02X', i) ORDER BY i) AS hexes FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT doc_id, run, times, list_reduce(list_prepend(4294967295, {_BYTES}), lambda a, v: xor(a >> 8, steps[(xor(a, v) & 255) + 1])) AS s FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS x FROM r), c, hx),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM (SELECT *, xor(s, 4294967295) AS h FROM b)),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS cut FROM w, unnest(range(length(word))) t(i)),
+m AS (SELECT DISTINCT word, n, substr(word, 1, i) || chr(1) || substr(word, i + 2) AS hole FROM w, unnest(range(length(word))) t(i)),
+p AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM m x JOIN m y ON x.hole = y.hole AND x.word <> y.word
+UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON w.word = d.cut UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON w.word = d.cut),
+o AS (SELECT word, n, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS best FROM p GROUP BY ALL),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * w.n THEN best END AS form, CASE WHEN top >= 5 * w.n THEN top END::BIGINT AS form_n FROM w LEFT JOIN o ON o.word = w.word),
+l AS (SELECT word, word AS spot, 0 AS step FROM f UNION ALL SELECT l.word, f.form, step + 1 FROM l JOIN f ON f.word = l.spot WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(spot, step) AS root FROM l GROUP BY word) z ON z.word = f.word""",
 }
