@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vec
 from tessera.operators.linalg import gram
+from tessera.operators.svd import svd
 from tessera.runtime import Scratch
 
 TINY = 1e-10
@@ -86,45 +87,40 @@ def loss(a: DataFrame, w: DataFrame, h: DataFrame, k: int) -> float:
 def nndsvd(a: DataFrame, k: int, m: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Non-negative double singular value decomposition (Boutsidis and Gallopoulos 2008) of an m x n matrix.
 
-    The factorisation comes from the Gram matrix of the shorter side, which
-    must be small enough for the driver; the longer side stays a table.
+    Singular vectors stay tables of both sides; 4 k norms reach the driver.
     """
-    if n > m:
-        h, w = nndsvd(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"), k, n, m)
-        return w.select(F.col("j").alias("i"), F.col("h").alias("w")), h.select(F.col("i").alias("j"), F.col("w").alias("h"))
-    spark = a.sparkSession
-    left = a.select("i", F.col("j").alias("ja"), F.col("x").alias("xa"))
-    cells = left.join(a, "i").groupBy("ja", "j").agg(F.sum(F.col("xa") * F.col("x")).alias("g")).collect()
-    g = np.zeros((n, n))
-    for r in cells:
-        g[r["ja"], r["j"]] = r["g"]
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(-values)[:k]
-    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    if v.shape[1] < k:
-        raise ValueError(f"rank {k} is more than the {v.shape[1]} columns")
-    right = spark.createDataFrame([(j, v[j].tolist()) for j in range(n)], "j long, h array<double>")
-    inverse = np.diag(np.where(s > TINY, 1 / np.where(s > TINY, s, 1), 0))
-    rows = spark.range(m).withColumnRenamed("id", "i").join(a_times(a, right, k), "i", "left").select("i", _by_matrix(F.coalesce("p", F.array(*[F.lit(0.0)] * k)), inverse).alias("u"))
-    parts = [F.sum(F.pow(F.greatest(sign * F.element_at("u", c + 1), F.lit(0.0)), 2)) for c in range(k) for sign in (F.lit(1.0), F.lit(-1.0))]
-    norms = np.sqrt([x or 0.0 for x in rows.agg(*(p.alias(f"n{i}") for i, p in enumerate(parts))).first()]).reshape(k, 2)
-    w_cols, h_cols = [], np.zeros((n, k))
+    if k > min(m, n):
+        raise ValueError(f"rank {k} is more than the {min(m, n)} rows or columns")
+    spark, found = a.sparkSession, svd(a, k)
+    rank = len(found.s)
+    left, right = _part_norms(found.u, rank), _part_norms(found.v, rank)
+    w_cols, h_cols = [], []
     for c in range(k):
-        u = F.element_at("u", c + 1)
-        if c == 0:
-            w_cols.append(F.abs(u) * F.lit(float(math.sqrt(s[0]))))
-            h_cols[:, 0] = math.sqrt(s[0]) * np.abs(v[:, 0])
-            continue
-        vp, vn = np.maximum(v[:, c], 0), np.maximum(-v[:, c], 0)
-        terms = norms[c, 0] * np.linalg.norm(vp), norms[c, 1] * np.linalg.norm(vn)
-        up = terms[0] >= terms[1]
-        size, vv, un = (terms[0], vp, norms[c, 0]) if up else (terms[1], vn, norms[c, 1])
-        root = math.sqrt(s[c] * size)
-        w_cols.append(F.greatest(u if up else -u, F.lit(0.0)) * F.lit(float(root / un if un else 0.0)))
-        h_cols[:, c] = root * vv / np.linalg.norm(vv) if vv.any() else 0.0
-    w = rows.select("i", vec.clamp_small(F.array(*w_cols), TINY).alias("w"))
-    h_cols[h_cols < TINY] = 0
-    return w, spark.createDataFrame([(j, h_cols[j].tolist()) for j in range(n)], "j long, h array<double>")
+        u, v = F.element_at("v", c + 1), F.element_at("v", c + 1)
+        if c >= rank:
+            w, h = F.lit(0.0), F.lit(0.0)
+        elif c == 0:
+            w, h = (F.abs(x) * F.lit(math.sqrt(found.s[0])) for x in (u, v))
+        else:
+            products = left[c] * right[c]
+            side = int(products[1] > products[0])
+            root = math.sqrt(found.s[c] * products[side])
+            w, h = (F.greatest(-x if side else x, F.lit(0.0)) * F.lit(float(root / size[c, side] if size[c, side] else 0.0)) for x, size in ((u, left), (v, right)))
+        w_cols.append(w)
+        h_cols.append(h)
+
+    def side_of(vectors: DataFrame, key: str, size: int, columns: list[Column], name: str) -> DataFrame:
+        none = F.array(*[F.lit(0.0)] * rank).cast("array<double>")  # a row or column without entries
+        every = spark.range(size).withColumnRenamed("id", key).join(vectors, key, "left").select(key, F.coalesce("v", none).alias("v"))
+        return every.select(key, vec.clamp_small(F.array(*columns), TINY).alias(name))
+
+    return side_of(found.u, "i", m, w_cols, "w"), side_of(found.v, "j", n, h_cols, "h")
+
+
+def _part_norms(vectors: DataFrame, k: int) -> np.ndarray:
+    """k x 2: the norms of each column's positive and negative part."""
+    parts = [F.sqrt(F.sum(F.pow(F.greatest(sign * F.element_at("v", c + 1), F.lit(0.0)), 2))) for c in range(k) for sign in (F.lit(1.0), F.lit(-1.0))]
+    return np.array([x or 0.0 for x in vectors.agg(*(p.alias(f"n{i}") for i, p in enumerate(parts))).first()] if parts else []).reshape(k, 2)
 
 
 @dataclass

@@ -173,8 +173,9 @@ sum(g * (a - m0) * (b - m1)) / any_value(n) AS c01, sum(g * (b - m1) ** 2) / any
 SELECT k, {_SIX} FROM c"""
 SQL["argmin_criterion"] = "SELECT k::INT AS k FROM (SELECT o_custkey % 50 AS k, count(*) AS ic FROM orders GROUP BY 1) ORDER BY ic, k LIMIT 1"
 
-_P = f"""e AS ({_ALL}), d AS (SELECT a.id AS i, b.id AS j, exp(-{_D2.format("a.v", "b.v")} / (2 * 0.17::DOUBLE * 0.17::DOUBLE)) AS a FROM e a, e b WHERE a.id <> b.id),
-c AS (SELECT i, j, a / sum(a) OVER (PARTITION BY i) AS p FROM d), p AS (SELECT x.i, x.j, (x.p + y.p) / (2 * (SELECT count(*) FROM e)) AS p FROM c x JOIN c y ON x.i = y.j AND x.j = y.i)"""
+_P = f"""e AS ({_ALL}), h AS MATERIALIZED (SELECT a.id AS i, b.id AS j, exp(-{_D2.format("a.v", "b.v")} / (2 * 0.17::DOUBLE * 0.17::DOUBLE)) AS a FROM e a, e b WHERE a.id < b.id),
+d AS (SELECT i, j, a FROM h UNION ALL SELECT j, i, a FROM h), t AS MATERIALIZED (SELECT i, sum(a) AS total FROM d GROUP BY i), c AS (SELECT i, j, a / total AS p FROM d JOIN t USING (i)),
+o AS MATERIALIZED (SELECT h.i, h.j, (a / x.total + a / y.total) / (2 * (SELECT count(*) FROM e)) AS p FROM h JOIN t x ON x.i = h.i JOIN t y ON y.i = h.j), p AS (SELECT i, j, p FROM o UNION ALL SELECT j, i, p FROM o)"""
 _Q = """y AS (SELECT id, v[1] AS a, v[2] AS b FROM e), s AS (SELECT x.id AS i, z.id AS j, (x.a - z.a) ** 2 + (x.b - z.b) ** 2 AS d2, x.a - z.a AS da, x.b - z.b AS db FROM y x, y z WHERE x.id <> z.id),
 q AS (SELECT i, j, d2, da, db, (1 / (1 + d2)) / sum(1 / (1 + d2)) OVER () AS q FROM s)"""
 SQL["tsne_affinity"] = f"WITH {_P} SELECT i, j, {_r('p * 1000')} AS p FROM p"
@@ -202,6 +203,7 @@ SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, {_r("sum(w * v[i] * v[j])")} AS x F
 _SOLD = """s AS (SELECT p_brand, c_mktsegment, sum(l_quantity) AS x FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 a AS (SELECT dense_rank() OVER (ORDER BY p_brand) - 1 AS i, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS j, x FROM s)"""
 SQL["nmf_matrix"] = f"WITH {_SOLD} SELECT i, j, {_r('x')} AS x FROM a"
+SQL["svd_rebuild"] = f"WITH {_SOLD} SELECT i, j, {_r('x', 3)} AS x FROM a"
 SQL["matrix_product"] = f"WITH {_SOLD} SELECT l.i AS i, r.i AS j, {_r('sum(l.x * r.x)', 2)} AS x FROM a l JOIN a r ON l.j = r.j GROUP BY ALL"
 SQL["matrix_elementwise"] = f"WITH {_SOLD} SELECT i, j, {_r('x * x / (x + 1)')} AS x FROM a"
 _WH = f"""{_SOLD}, w AS (SELECT DISTINCT i, r, (1 + (i + r) % 3)::DOUBLE AS w FROM a, range(2) t(r)), h AS (SELECT DISTINCT j, r, (1 + (j + 2 * r) % 4)::DOUBLE AS h FROM a, range(2) t(r)),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing, sequences as sq, vectors as vec
 from tessera.operators import alignment as al
-from tessera.operators import gmm, kmeans, linalg, nmf, ordering, r1pca, tsne
+from tessera.operators import gmm, kmeans, linalg, nmf, ordering, r1pca, svd, tsne
 from tessera.runtime import Scratch, ship
 from tessera.sources import fasta
 
@@ -404,6 +404,15 @@ def matrix_elementwise(spark, sf):
     return linalg.elementwise(a, a, lambda x, y: x * x / (y + 1)).select("i", "j", rounded(F.col("x")).alias("x"))
 
 
+@query
+def svd_rebuild(spark, sf):
+    """The cells of the matrix of quantities from all its singular values and vectors."""
+    a, _, s = quantities(spark, sf)
+    got = svd.svd(a, s.count())
+    each = F.zip_with(F.zip_with("u", "v", lambda x, y: x * y), F.array(*map(F.lit, got.s.tolist())), lambda x, y: x * y)
+    return a.select("i", "j").join(got.u.withColumnRenamed("v", "u"), "i").join(got.v, "j").select("i", "j", rounded(F.aggregate(each, F.lit(0.0), lambda t, x: t + x), 3).alias("x"))
+
+
 @query
 def nmf_products(spark, sf):
     a, w, h = _start(spark, sf)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import nmf, r1pca, tsne
+from tessera.operators import nmf, r1pca, svd, tsne
 
 SQUARES = [(0, 0), (1, 0), (0, 1), (1, 1), (10, 10), (11, 10), (10, 11), (11, 11)]
 A = np.array([[1, 2, 0], [0, 1, 3], [2, 0, 1]], float)
@@ -30,6 +30,34 @@ def test_sigma_and_affinities(points):
     assert tsne.perplexity(tsne.conditional(d, 1e-5)).first()[0] == 1.0  # a row of zeros counts 2 ** 0
 
 
+def test_blocks_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)) + 1e6
+    x[50], x[51] = x[7], x[7] + 1e-4  # equal and almost equal, far from the origin
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 5), (500, None), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = [tuple(r) for r in tsne.pair_distances(df, block=16).collect()]
+    want = [(i, j, float(((x[i] - x[j]) ** 2).sum())) for j in range(120) for i in range(j)]
+    want += [(min(i, 7), max(i, 7), float(((x[i] - x[7]) ** 2).sum())) for i in range(120) if i != 7]
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2] for r in sorted(got)], [r[2] for r in sorted(want)], rtol=1e-6, atol=1e-12)
+    assert tsne.pair_distances(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="vectors of"):
+        tsne.pair_distances(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.schema))
+    monkeypatch.setattr(tsne, "SEQUENTIAL_POINTS", 100)
+    with pytest.raises(ValueError, match="jacobi"):
+        tsne.tsne(df.where("id < 120 and v is not null").dropDuplicates(["id"]))
+
+
+def test_plans_have_no_nested_loops(points):
+    d = tsne.pair_distances(points)
+    y = points.select("id", F.col("v").alias("y"))
+    p, q = tsne.affinities(d, 3.0, 8), tsne.joint_q(y)
+    for df in (d, p, tsne.conditional(d, 3.0), q, tsne.kl(p, q), tsne.gradient(p, q, y)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_q_and_gradient(spark):
     y = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, y array<double>")
     q = {(r["i"], r["j"]): r["q"] for r in tsne.joint_q(y).collect()}
@@ -130,3 +158,53 @@ def test_cross_validation(spark):
     assert folds.count() == 9 and folds.select("i", "j").distinct().count() == 9
     got = nmf.cross_validate(a, 3, 3, ks=(1,), folds=2, max_iter=2, at_once=2).collect()
     assert len(got) == 1 and got[0]["cve"] > 0
+
+
+def cells(spark, m):
+    return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, x double")
+
+
+def dense(df, key, n):
+    rows = {r[key]: r["v"] for r in df.collect()}
+    width = max(map(len, rows.values()), default=0)
+    return np.array([rows.get(i, [0.0] * width) for i in range(n)])
+
+
+def test_svd_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 45)) * (rng.random((60, 45)) > 0.6)
+    m[7] = 0
+    low = rng.normal(size=(30, 2)) @ rng.normal(size=(2, 40))
+    for x, k in ((m, 5), (low, 4)):
+        got = svd.svd(cells(spark, x), k)
+        u, s, vt = np.linalg.svd(x)
+        rank = min(k, np.linalg.matrix_rank(x))
+        assert got.converged and len(got.s) == rank and np.allclose(got.s, s[:rank], rtol=1e-9)
+        left, right = dense(got.u, "i", x.shape[0]), dense(got.v, "j", x.shape[1])
+        assert np.allclose(left.T @ left, np.eye(rank), atol=1e-8) and np.allclose(right.T @ right, np.eye(rank), atol=1e-8)
+        assert np.allclose(left * got.s @ right.T, u[:, :rank] * s[:rank] @ vt[:rank], atol=1e-5)
+
+
+def test_svd_odd_matrices(spark):
+    twice = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (1, 1, 0.0), (1, 2, None)], "i long, j long, x double")
+    assert np.allclose(svd.svd(twice, 2).s, [3.0])
+    assert len(svd.svd(twice.limit(0), 2).s) == 0
+    with pytest.raises(ValueError, match="at least one"):
+        svd.svd(twice, 0)
+
+
+def test_svd_of_many_columns(spark):
+    """100,000 columns: their Gram matrix would have 10^10 cells."""
+    n, rows = 100_000, 400
+    # two blocks of rows and columns apart, so that two values stand out
+    base = spark.range(n * 4).select((F.col("id") % n).alias("j"), (F.pmod(F.xxhash64("id"), F.lit(200)) + F.when(F.col("id") % n < 60_000, 0).otherwise(200)).alias("i"))
+    a = base.groupBy("i", "j").agg(F.count("*").cast("double").alias("x")).cache()
+    got = svd.svd(a, 2, tol=1e-3)
+    table = a.toPandas()
+    m = np.zeros((rows, n), np.float32)
+    m[table["i"], table["j"]] = table["x"]
+    want = np.sqrt(np.sort(np.linalg.eigvalsh(m.astype(float) @ m.T))[::-1][:2])
+    assert np.allclose(got.s, want, rtol=1e-3) and got.v.count() == n
+    w, h = nmf.nndsvd(a, 1, rows, n)
+    assert w.count() == rows and h.count() == n
+    a.unpersist()
