@@ -1,13 +1,16 @@
-"""FASTA and FASTQ readers and the FASTA writer."""
+"""FASTA and FASTQ readers and the FASTA writer; the source that splits FASTQ files is in fastx.py."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.fastx import numbered, read_fastx, records
+
+__all__ = ["fasta_text", "parse_records", "read_fasta", "read_fastx", "tokens", "write_fasta"]
+
 
 def read_fasta(spark: SparkSession, path: str, header: str = "full") -> DataFrame:
     """(file, rec, name, seq) of FASTA files, gzip by extension.
@@ -15,63 +18,26 @@ def read_fasta(spark: SparkSession, path: str, header: str = "full") -> DataFram
     Strict: a file must start with >. The name is the whole header line after
     >, or its first word with header="word". Sequence lines are joined as they
     are: case, blanks and carriage returns stay. rec counts records from 0 in
-    each file. A file is read as one value, so it must fit in an executor's
-    memory; split larger ones. A missing path raises when the path is resolved,
-    an empty file when it is read.
+    each file. Spark splits files between records (lines that start with >); a
+    missing path raises when it is resolved; an empty file has no records.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    checked = F.when(F.col("value").startswith(">"), F.col("value")).otherwise(F.raise_error(F.lit("a FASTA file must start with >")).cast("string"))
-    records = files.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), checked), "\n>")).alias("rec", "body")).where("rec > 0")
+    text = spark.read.option("lineSep", "\n>").text(path)
+    rows = text.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+    records = numbered(rows, "file", "part", "at")
+    opening = F.when(F.col("value").startswith(">"), F.expr("substr(value, 2)")).otherwise(F.raise_error(F.lit("a FASTA file must start with >")).cast("string"))
+    records = records.select("file", "rec", F.when(F.col("rec") == 0, opening).otherwise(F.col("value")).alias("body"))
     name = F.substring_index("body", "\n", 1)
     if header == "word":
         name = F.regexp_extract(name, r"^(\S*)", 1)
     seq = F.when(F.instr("body", "\n") > 0, F.regexp_replace(F.expr("substr(body, instr(body, '\\n') + 1)"), "\n", "")).otherwise(F.lit(""))
-    return records.select("file", (F.col("rec") - 1).cast("long").alias("rec"), name.alias("name"), seq.alias("seq"))
+    return records.select("file", "rec", name.alias("name"), seq.alias("seq"))
 
 
 def parse_records(text: str) -> Iterator[tuple[str, str, str, str | None]]:
-    """(name, comment, seq, qual) of mixed FASTA and FASTQ text.
-
-    Anything before the first > or @ is skipped. Sequence and quality may span
-    lines. A record whose quality differs from its sequence in length raises;
-    empty sequences are records like others.
-    """
-    lines = [x.rstrip("\r") for x in text.split("\n")]
-    at, end = 0, len(lines)
-    while at < end and lines[at][:1] not in (">", "@"):
-        at += 1
-    while at < end:
-        head = lines[at][1:].split(None, 1) if not lines[at][1:2].isspace() else ["", lines[at][1:].strip()]
-        at += 1
-        seq: list[str] = []
-        while at < end and lines[at][:1] not in (">", "@", "+"):
-            seq.append("".join(lines[at].split()))
-            at += 1
-        bases, qual = "".join(seq), None
-        if at < end and lines[at][:1] == "+":
-            at += 1
-            got = ""
-            while at < end and len(got) < len(bases):
-                got += lines[at]
-                at += 1
-            if len(got) != len(bases):
-                raise ValueError(f"quality and sequence of {head[0] if head else ''} differ in length")
-            qual = got
-            while at < end and lines[at][:1] not in (">", "@"):
-                at += 1
-        yield head[0] if head else "", head[1] if len(head) > 1 else "", bases, qual
-
-
-def read_fastx(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rec, name, comment, seq, qual) of FASTA or FASTQ files, gzip by extension; a file is one value."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, i, *r) for f, text in zip(pdf["file"], pdf["value"], strict=True) for i, r in enumerate(parse_records(text))]
-            yield pd.DataFrame(rows, columns=["file", "rec", "name", "comment", "seq", "qual"])
-
-    return files.mapInPandas(run, "file string, rec long, name string, comment string, seq string, qual string")
+    """(name, comment, seq, qual) of mixed FASTA and FASTQ text: see fastx.records()."""
+    lines = ((0, line.rstrip("\r").encode()) for line in text.split("\n"))
+    for _, *parts in records(lines):
+        yield tuple(p if p is None else p.decode() for p in parts)
 
 
 def fasta_text(name: Column, seq: Column) -> Column:
