@@ -6,7 +6,7 @@ cluster by query, whatever side Spark sends, and aligned in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,13 @@ from tessera.runtime import ship
 
 LINEAR = ("t_start", "t_end", "q_start", "q_end", "score")
 AFFINE = ("score", "te", "qe", "score2", "te2", "tb", "qb")
+EXTEND = ("score", "qle", "tle", "gtle", "gscore", "max_off")
+#: a result that a pair doesn't have; cells of all rows of a batch of end-to-end alignments, a byte each
+UNSET, KEPT_CELLS = -(2**31), 64_000_000
 LINEAR_TYPE = "struct<" + ", ".join(f"{c}: int" for c in LINEAR) + ">"
 AFFINE_TYPE = "struct<" + ", ".join(f"{c}: int" for c in AFFINE) + ">"
 GLOBAL_TYPE = "struct<score: int, cigar: string>"
-EXTEND_TYPE = "struct<score: int, qle: int, tle: int, gtle: int, gscore: int, max_off: int>"
+EXTEND_TYPE = "struct<" + ", ".join(f"{c}: int" for c in EXTEND) + ">"
 
 
 def _gaps(gap_open: int, gap_ext: int, ins_open: int | None, ins_ext: int | None) -> tuple[int, int, int, int]:
@@ -31,17 +34,25 @@ def _gaps(gap_open: int, gap_ext: int, ins_open: int | None, ins_ext: int | None
     return gap_open, gap_ext, gap_open if ins_open is None else ins_open, gap_ext if ins_ext is None else ins_ext
 
 
-def _in_batches(t: pd.Series, q: pd.Series, align: Callable[[list[str], list[str]], np.ndarray], width: int) -> np.ndarray:
-    """Rows of results; pairs with a null or empty side stay -2**31."""
-    out = np.full((len(t), width), -(2**31), np.int64)
+def _in_batches(t: pd.Series, q: pd.Series, align: Callable[[list[str], list[str]], np.ndarray], width: int, empty: bool = False, kept: int | None = None) -> np.ndarray:
+    """Rows of results; pairs with a null side, or an empty one unless those are aligned, stay UNSET."""
+    out = np.full((len(t), width), UNSET, np.int64)
     t, q = t.tolist(), q.tolist()
-    good = [i for i, (a, b) in enumerate(zip(t, q, strict=True)) if a and b]
-    for group in k.batches([(len(t[i]), len(q[i])) for i in good]):
+    good = [i for i, (a, b) in enumerate(zip(t, q, strict=True)) if a is not None and b is not None and (empty or a and b)]
+    for group in k.batches([(len(t[i]), len(q[i])) for i in good], kept=kept):
         rows = [good[i] for i in group]
         out[rows] = align([t[i] for i in rows], [q[i] for i in rows])
     return out
 
 
+def _costs(match: int, mismatch: int, scoring: Sequence[Sequence[int]] | None, alphabet: str | None) -> tuple[np.ndarray, k.Coding]:
+    """Scoring matrix and coding. An alphabet needs a matrix with a row for each letter and a last one for all other characters."""
+    coding = k.NUCLEOTIDES if alphabet is None else k.Coding(alphabet)
+    if scoring is None and alphabet is not None:
+        raise ValueError("an alphabet needs a scoring matrix")
+    return coding.checked(np.array(score_matrix(match, mismatch) if scoring is None else scoring)), coding
+
+
 def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5):
     """align_linear(t, q): the best local alignment with a cost for each gap position; null positions at score 0."""
 
@@ -58,49 +69,55 @@ def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5):
     return align_linear
 
 
-def affine_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, ins_open: int | None = None, ins_ext: int | None = None, scoring: list[list[int]] | None = None):
+def affine_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, stop_score: int | None = None):
     """align_affine(t, q): the best local alignment with affine gaps, its runner-up and its starts."""
-    mat = np.array(scoring or score_matrix(match, mismatch))
+    mat, coding = _costs(match, mismatch, scoring, alphabet)
     gaps = _gaps(gap_open, gap_ext, ins_open, ins_ext)
 
     def align(t: list[str], q: list[str]) -> np.ndarray:
-        return k.local_affine(*k.pack(t, k.CODES), *k.pack(q, k.CODES), mat, gaps, min_score, starts, byte_mode)
+        return k.local_affine(*k.pack(t, coding), *k.pack(q, coding), mat, gaps, min_score, starts, byte_mode, stop_score)
 
     @pandas_udf(AFFINE_TYPE)
     def align_affine(t: pd.Series, q: pd.Series) -> pd.DataFrame:
         got = pd.DataFrame(_in_batches(t, q, align, 7), columns=AFFINE).astype("Int32")
-        return got.mask(got == -(2**31))
+        return got.mask(got == UNSET)
 
     return align_affine
 
 
-def global_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, band: int = 1 << 20, ins_open: int | None = None, ins_ext: int | None = None, scoring: list[list[int]] | None = None, cigar: bool = True):
+def global_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, band: int = 1 << 20, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, cigar: bool = True, alphabet: str | None = None):
     """align_global(t, q): the banded end-to-end score and CIGAR."""
-    mat, gaps = np.array(scoring or score_matrix(match, mismatch)), _gaps(gap_open, gap_ext, ins_open, ins_ext)
+    mat, coding = _costs(match, mismatch, scoring, alphabet)
+    gaps = _gaps(gap_open, gap_ext, ins_open, ins_ext)
 
     @pandas_udf(GLOBAL_TYPE)
     def align_global(t: pd.Series, q: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(t, q, strict=True):
-            if a is None or b is None:
-                rows.append((None, None))
-                continue
-            score, runs = k.global_affine(k.pack([b], k.CODES)[0][0], k.pack([a], k.CODES)[0][0], mat, gaps, band, cigar)
-            rows.append((score, "".join(f"{n}{op}" for op, n in runs) if cigar else None))
-        return pd.DataFrame(rows, columns=["score", "cigar"]).astype({"score": "Int32", "cigar": "object"})
+        texts: list[str] = []
+
+        def align(a: list[str], b: list[str]) -> np.ndarray:
+            score, runs = k.global_affine(*k.pack(a, coding), *k.pack(b, coding), mat, gaps, band, cigar)
+            texts.extend(runs or [])
+            return np.stack([score, np.arange(len(texts) - len(score), len(texts))], 1)
+
+        got = _in_batches(t, q, align, 2, empty=True, kept=KEPT_CELLS)
+        score = pd.DataFrame({"score": got[:, 0]}).astype("Int32")
+        return score.mask(score == UNSET).assign(cigar=[texts[at] if cigar and at != UNSET else None for at in got[:, 1].tolist()])
 
     return align_global
 
 
-def extend_udf(h0: int = 1, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, band: int = 100, end_bonus: int = 0, z_drop: int = 0, ins_open: int | None = None, ins_ext: int | None = None, scoring: list[list[int]] | None = None):
+def extend_udf(h0: int = 1, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, band: int = 100, end_bonus: int = 0, z_drop: int = 0, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None):
     """align_extend(t, q): extension of a seed of score h0 along both sequences."""
-    mat, gaps = np.array(scoring or score_matrix(match, mismatch)), _gaps(gap_open, gap_ext, ins_open, ins_ext)
-    names = ["score", "qle", "tle", "gtle", "gscore", "max_off"]
+    mat, coding = _costs(match, mismatch, scoring, alphabet)
+    gaps = _gaps(gap_open, gap_ext, ins_open, ins_ext)
+
+    def align(t: list[str], q: list[str]) -> np.ndarray:
+        return k.extend(*k.pack(t, coding), *k.pack(q, coding), mat, gaps, band, end_bonus, z_drop, h0)
 
     @pandas_udf(EXTEND_TYPE)
     def align_extend(t: pd.Series, q: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 6 if a is None or b is None else k.extend(k.pack([b], k.CODES)[0][0], k.pack([a], k.CODES)[0][0], mat, gaps, band, end_bonus, z_drop, h0) for a, b in zip(t, q, strict=True)]
-        return pd.DataFrame(rows, columns=names).astype("Int32")
+        got = pd.DataFrame(_in_batches(t, q, align, 6, empty=True), columns=EXTEND).astype("Int32")
+        return got.mask(got == UNSET)
 
     return align_extend
 
@@ -136,28 +153,38 @@ def _pairs(targets: DataFrame, queries: DataFrame, name: str, seq: str, spread:
 def align_local_linear(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap: int = 5, name: str = "name", seq: str = "seq", spread: bool = True) -> DataFrame:
     """Every target against every query: t_name, t_start, t_end, q_name, q_start, q_end, score.
 
-    Bytes are compared as they are: case matters and N matches N. Every pair
-    has a row; at score 0 the positions are null.
+    Characters are compared as they are: case matters and N matches N. Every
+    pair has a row; at score 0 the positions are null.
     """
     ship(targets.sparkSession)
     hit = _pairs(targets, queries, name, seq, spread).withColumn("hit", linear_udf(match, mismatch, gap)("t_seq", "q_seq"))
     return hit.select("t_name", "hit.t_start", "hit.t_end", "q_name", "hit.q_start", "hit.q_end", "hit.score")
 
 
-def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int = 0, forward_only: bool = False, byte_mode: bool = False, name: str = "name", seq: str = "seq", spread: bool = True) -> DataFrame:
+def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int = 0, forward_only: bool = False, byte_mode: bool = False, name: str = "name", seq: str = "seq", spread: bool = True, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, complement: tuple[str, str] | None = None, stop_score: int | None = None) -> DataFrame:
     """Every target against every query, on both strands unless forward_only: pairs of at least min_score.
 
     Columns t_name, t_start, t_end, q_name, q_start, q_end, score, score2,
     t_end2, strand. Ends are exclusive; on the reverse strand query positions
     count on the forward one, so the start is the larger. What is unset is -1.
+
+    gap_open and gap_ext cost deletions, and insertions too unless ins_open or
+    ins_ext are given. Letters are nucleotides of either case, any other
+    character one more; with an alphabet, such as that of proteins, its letters,
+    and scoring has a row for each and a last one for all others. The reverse
+    strand swaps letters by `complement` (two strings, nucleotides by default);
+    an alphabet without one has the forward strand only. stop_score ends a pair
+    at the first row that reaches it.
     """
     ship(targets.sparkSession)
     floor = min(min_score, 0xFFFF)
-    strands = ["+"] if forward_only else ["+", "-"]
+    pair = complement or (("ACGTacgt", "TGCAtgca") if alphabet is None else None)
+    strands = ["+"] if forward_only or pair is None else ["+", "-"]
     pairs = _pairs(targets, queries, name, seq, spread).withColumn("strand", F.explode(F.array(*map(F.lit, strands))))
-    turned = F.reverse(F.translate(F.col("q_seq"), "ACGTacgt", "TGCAtgca"))
+    turned = F.reverse(F.translate(F.col("q_seq"), *pair)) if pair else F.col("q_seq")
     pairs = pairs.withColumn("q_used", F.when(F.col("strand") == "+", F.col("q_seq")).otherwise(turned))
-    hit = pairs.withColumn("hit", affine_udf(match, mismatch, gap_open, gap_ext, floor, True, byte_mode)("t_seq", "q_used")).where(F.col("hit.score") >= floor)
+    align = affine_udf(match, mismatch, gap_open, gap_ext, floor, True, byte_mode, ins_open, ins_ext, scoring, alphabet, stop_score)
+    hit = pairs.withColumn("hit", align("t_seq", "q_used")).where(F.col("hit.score") >= floor)
     n, fwd = F.length("q_seq"), F.col("strand") == "+"
     return hit.select(
         "t_name", F.col("hit.tb").alias("t_start"), (F.col("hit.te") + 1).alias("t_end"), "q_name",

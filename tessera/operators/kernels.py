@@ -8,37 +8,64 @@ cost of o + l * e, F[j] = max over k < j of (h[k] + k * e) - o - j * e.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import numpy as np
 
 NEVER = -(1 << 28)
-#: fixed values: the letters A, C, G and T of either case are 0 to 3, every other byte 4
-CODES = np.full(256, 4, np.uint8)
-for _i, _letter in enumerate(b"ACGT"):
-    CODES[_letter] = CODES[_letter + 32] = _i
-COMPLEMENT = np.array([3, 2, 1, 0, 4], np.uint8)
-
-
-def pack(seqs: Sequence[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Padded code matrix and lengths; bytes themselves, or through a table."""
-    raw = [np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in seqs]
-    n = np.array([len(r) for r in raw], np.int64)
-    out = np.zeros((len(raw), int(n.max(initial=0))), np.uint8)
-    for i, r in enumerate(raw):
-        out[i, : len(r)] = r if table is None else table[r]
+
+
+class Coding:
+    """Letters of an alphabet as the numbers 0, 1, ..; every other character as the next one.
+
+    With either_case a letter stands for both of its cases.
+    """
+
+    def __init__(self, letters: str, either_case: bool = True):
+        if len(set(letters)) != len(letters):
+            raise ValueError("a letter occurs twice in the alphabet")
+        self.size = len(letters) + 1
+        code = {ord(v): k for k, c in enumerate(letters) for v in ((c.lower(), c.upper()) if either_case else (c,)) if len(v) == 1}
+        self.points = np.array(sorted(code), np.uint32)
+        self.codes = np.array([code[p] for p in sorted(code)], np.int32)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        if not len(self.points):
+            return np.zeros(len(points), np.int32)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, self.codes[at], np.int32(self.size - 1))
+
+    def checked(self, mat: np.ndarray) -> np.ndarray:
+        if mat.shape != (self.size, self.size):
+            raise ValueError(f"a scoring matrix of {self.size} x {self.size} is needed: a row for each letter and one for all others")
+        return mat
+
+
+#: the letters A, C, G and T of either case are 0 to 3, every other character 4
+NUCLEOTIDES = Coding("ACGT")
+
+
+def pack(seqs: Sequence[str], coding: Coding | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Padded matrix and lengths, in code points: those themselves, or through a coding."""
+    n = np.array([len(s) for s in seqs], np.int64)
+    points = np.frombuffer("".join(seqs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = points.astype(np.int32) if coding is None else coding(points)
+    out = np.zeros((len(seqs), int(n.max(initial=0))), np.int32)
+    out[np.arange(out.shape[1]) < n[:, None]] = flat
     return out, n
 
 
-def batches(lengths: Sequence[tuple[int, int]], cells: int = 4_000_000) -> Iterator[np.ndarray]:
-    """Indexes of pairs in groups of similar shape, a row of each group bounded in cells."""
+def batches(lengths: Sequence[tuple[int, int]], cells: int = 4_000_000, kept: int | None = None) -> Iterator[np.ndarray]:
+    """Indexes of pairs in groups of similar shape, a row of each group bounded in cells; with `kept`, all its rows together too."""
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i][0], lengths[i][1]))
     group: list[int] = []
+    wide = 0
     for i in order:
-        wide = max([lengths[i][1], *(lengths[j][1] for j in group[:1])]) + 1
-        if group and ((len(group) + 1) * wide > cells // 64 or lengths[i][0] > 2 * lengths[group[0]][0] + 16):
+        rows, wide = lengths[i][0], max(wide, lengths[i][1] + 1)
+        more = len(group) + 1
+        if group and (more * wide > cells // 64 or rows > 2 * lengths[group[0]][0] + 16 or kept is not None and more * wide * rows > kept):
             yield np.array(group)
-            group = []
+            group, wide = [], lengths[i][1] + 1
         group.append(i)
     if group:
         yield np.array(group)
@@ -84,16 +111,26 @@ def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
     return best
 
 
-def _affine_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row maximum and first query index of it, row by row; rows past a target's end give NEVER."""
+def _affine_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int]) -> Generator[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray | None, None]:
+    """(pairs, row maximum, first query index of it), row by row.
+
+    A mask sent back says which of these pairs go on; the others leave the
+    batch, as do pairs whose target has ended.
+    """
     od, ed, oi, ei = (np.int32(x) for x in gaps)
     mat = mat.astype(np.int32)
-    b, m, n = len(tn), t.shape[1], q.shape[1]
+    pairs, n = np.arange(len(tn)), q.shape[1]
     col = np.arange(n, dtype=np.int32)
     inside = col < qn[:, None]
-    h = np.zeros((b, n + 1), np.int32)
-    e = np.zeros((b, n), np.int32)
-    for i in range(m):
+    h = np.zeros((len(tn), n + 1), np.int32)
+    e = np.zeros((len(tn), n), np.int32)
+    going = tn > 0
+    for i in range(t.shape[1]):
+        going &= tn > i
+        if not going.all():
+            pairs, t, tn, q, inside, h, e = (x[going] for x in (pairs, t, tn, q, inside, h, e))
+        if not len(pairs):
+            return
         diag = h[:, :-1] + np.where(inside, mat[t[:, i : i + 1], q], np.int32(NEVER))
         new = np.maximum(np.maximum(diag, e), 0)
         run = np.maximum.accumulate(new + ei * col, 1)
@@ -102,9 +139,10 @@ def _affine_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
         new = np.where(inside, np.maximum(new, f), 0)
         e = np.maximum(np.maximum(e - ed, new - od - ed), 0)
         h[:, 1:] = new
-        j = new.argmax(1) if n else np.zeros(b, np.int64)
-        top = new[np.arange(b), j] if n else np.zeros(b, np.int64)
-        yield np.where(i < tn, top, NEVER), j
+        j = new.argmax(1) if n else np.zeros(len(pairs), np.int64)
+        top = new[np.arange(len(pairs)), j] if n else np.zeros(len(pairs), np.int64)
+        told = yield pairs, top, j
+        going = np.ones(len(pairs), bool) if told is None else told
 
 
 def _reversed_prefix(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -113,41 +151,55 @@ def _reversed_prefix(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), 1), 0).astype(x.dtype) if x.shape[1] else x
 
 
-def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], min_score: int | None = 0, starts: bool = True, byte_mode: bool = False) -> np.ndarray:
+def _best_rows(rows: Generator, b: int, stop: np.ndarray, each: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair the largest row maximum, its first row and query index; a pair that reaches its `stop` ends there."""
+    score, te, qe = np.zeros(b, np.int64), np.full(b, -1), np.zeros(b, np.int64)
+    told, i = None, 0
+    while True:
+        try:
+            pairs, top, j = rows.send(told)
+        except StopIteration:
+            return score, te, qe
+        if each:
+            each(i, pairs, top)
+        up = top > score[pairs]
+        score[pairs[up]], te[pairs[up]], qe[pairs[up]] = top[up], i, j[up]
+        told, i = ~(up & (top >= stop[pairs])), i + 1
+
+
+def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, stop_score: int | None = None) -> np.ndarray:
     """(score, te, qe, score2, te2, tb, qb) of each pair; what is unset is -1.
 
     te is the first target row with the largest score, qe the first query
     index of it. With min_score, the second-best score is that of the best row
     maximum of at least min_score outside te +- ceil(score / best match); rows
     next to each other merge into the better one. Starts come from aligning
-    the reversed prefixes, and stay unset under min_score. In byte mode scores
-    saturate at 255, as 8-bit lanes do.
+    the reversed prefixes, and stay unset under min_score. A pair ends at the
+    first row with a new best score of stop_score or more: what follows isn't
+    seen. In byte mode scores saturate at 255, as 8-bit lanes do.
     """
-    b = len(tn)
-    score, te, qe = np.zeros(b, np.int64), np.full(b, -1), np.zeros(b, np.int64)
-    at = np.arange(b)
-    m = t.shape[1]
+    b, m = len(tn), t.shape[1]
     entry_score, entry_row, entries = np.full((b, m + 1), -1), np.full((b, m + 1), -2), np.zeros(b, np.int64)
     shift = -int(mat.min())
-    stopped = np.zeros(b, bool)
-    for i, (top, j) in enumerate(_affine_rows(t, tn, q, qn, mat, gaps)):
-        live = ~stopped & (top > NEVER)
-        if min_score is not None:
-            hit = live & (top >= min_score)
-            last = np.maximum(entries - 1, 0)
-            fresh = hit & ((entries == 0) | (entry_row[at, last] + 1 != i))
-            entry_score[at[fresh], entries[fresh]], entry_row[at[fresh], entries[fresh]] = top[fresh], i
-            better = hit & ~fresh & (entry_score[at, last] < top)
-            entry_score[at[better], last[better]], entry_row[at[better], last[better]] = top[better], i
-            entries += fresh
-        up = live & (top > score)
-        score[up], te[up], qe[up] = top[up], i, j[up]
-        if byte_mode:
-            stopped |= up & (score + shift >= 255)
+
+    def record(i: int, pairs: np.ndarray, top: np.ndarray) -> None:
+        hit = top >= min_score
+        at, top = pairs[hit], top[hit]
+        last = np.maximum(entries[at] - 1, 0)
+        fresh = (entries[at] == 0) | (entry_row[at, last] + 1 != i)
+        new = at[fresh]
+        entry_score[new, entries[new]], entry_row[new, entries[new]] = top[fresh], i
+        better = ~fresh & (entry_score[at, last] < top)
+        entry_score[at[better], last[better]], entry_row[at[better], last[better]] = top[better], i
+        entries[new] += 1
+
+    limit = min(255 - shift if byte_mode else 1 << 60, 1 << 60 if stop_score is None else stop_score)
+    score, te, qe = _best_rows(_affine_rows(t, tn, q, qn, mat, gaps), b, np.full(b, limit), record if min_score is not None else None)
     full = (score + shift >= 255) & byte_mode
     score, qe = np.where(full, 255, score), np.where(full, -1, qe)
     score2, te2 = np.full(b, -1), np.full(b, -1)
     if min_score is not None:
+        at = np.arange(b)
         reach = -(-score // int(mat.max()))
         away = (np.arange(m + 1) < entries[:, None]) & ((entry_row < (te - reach)[:, None]) | (entry_row > (te + reach)[:, None])) & ~full[:, None]
         rest = np.where(away, entry_score, -1)
@@ -158,129 +210,175 @@ def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
     wanted = ~full if min_score is None else ~full & (score >= min_score)
     if starts and wanted.any():
         w = np.flatnonzero(wanted)
-        back_score, back_te, back_qe = np.zeros(len(w), np.int64), np.full(len(w), -1), np.zeros(len(w), np.int64)
-        for i, (top, j) in enumerate(_affine_rows(_reversed_prefix(t[w], te[w] + 1), te[w] + 1, _reversed_prefix(q[w], qe[w] + 1), qe[w] + 1, mat, gaps)):
-            up = top > back_score
-            back_score[up], back_te[up], back_qe[up] = top[up], i, j[up]
+        # the way back ends where it reaches the score
+        back = _affine_rows(_reversed_prefix(t[w], te[w] + 1), te[w] + 1, _reversed_prefix(q[w], qe[w] + 1), qe[w] + 1, mat, gaps)
+        back_score, back_te, back_qe = _best_rows(back, len(w), score[w])
         same = back_score == score[w]
         tb[w[same]], qb[w[same]] = (te[w] - back_te)[same], (qe[w] - back_qe)[same]
     return np.stack([score, te, qe, score2, te2, tb, qb], 1)
 
 
-def extend(q: np.ndarray, t: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], band: int, end_bonus: int, z_drop: int, h0: int) -> tuple[int, int, int, int, int, int]:
-    """(score, qle, tle, gtle, gscore, max_off) of extending a seed of score h0 through both sequences.
+def _windows(lengths: np.ndarray, i: int) -> int:
+    """How many of some pairs, longest targets first, have a row i."""
+    return int(np.searchsorted(-lengths, -i))
+
+
+def extend(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], band: int, end_bonus: int, z_drop: int, h0: int) -> np.ndarray:
+    """(score, qle, tle, gtle, gscore, max_off) of extending a seed of score h0 through both sequences of each pair.
 
     Gaps open from the diagonal score only, and a diagonal score of 0 can't
     start again. The band shrinks to what the best possible score can pay for
     (end_bonus counts there alone). z_drop ends the extension when the score
     falls that far below the best, less the gap between them. Ties: last query
-    index in a row, first row overall, last row for the end-to-end score.
+    index in a row, first row overall, last row for the end-to-end score. Pairs
+    that end leave the batch.
     """
     if h0 <= 0:
         raise ValueError("the seed's score must be positive")
     od, ed, oi, ei = gaps
-    n, best_match = len(q), int(mat.max())
+    mat = mat.astype(np.int64)
+    b, width, best_match = len(tn), q.shape[1], int(mat.max())
+    bands = np.full(b, band)
     for o, e in ((oi, ei), (od, ed)):
-        band = min(band, max(int((n * best_match + end_bonus - o) / e + 1.0), 1))
-    # h[j]: score left of query position j in the row above; e[j]: gap in the query that reaches position j
-    col = np.arange(n + 1)
-    h = np.where(col == 0, h0, np.maximum(h0 - oi - ei * col, 0)).astype(np.int64)
-    e = np.zeros(n + 1, np.int64)
-    best, at_i, at_j, end_row, end_score, off = h0, -1, -1, -1, -1, 0
-    lo, hi = 0, n
-    for i, base in enumerate(t):
-        lo, hi = max(lo, i - band), min(hi, i + band + 1, n)
-        first = max(h0 - od - ed * (i + 1), 0) if lo == 0 else 0
-        if lo < hi:
-            span = col[lo:hi]
-            diag = np.where(h[lo:hi] > 0, h[lo:hi] + mat[base, q[lo:hi]], 0)
-            f = np.zeros(len(span), np.int64)
-            # an opening gap pays its first base too: openings under 0 count as 0
-            open_f = np.maximum(diag - oi - ei, 0)
-            f[1:] = np.maximum.accumulate(open_f + ei * (span + 1))[:-1] - ei * span[1:]
-            row = np.maximum(np.maximum(diag, e[lo:hi]), f)
-            e[lo:hi] = np.maximum(e[lo:hi] - ed, np.maximum(diag - od - ed, 0))
-            h[lo], h[lo + 1 : hi + 1] = first, row
-            top = int(row.max())
-            j = int(lo + len(row) - 1 - row[::-1].argmax())
-            last = int(row[-1])
+        bands = np.minimum(bands, np.maximum(((qn * best_match + end_bonus - o) / e + 1.0).astype(np.int64), 1))
+    out = np.tile(np.array([h0, 0, 0, 0, -1, 0], np.int64), (b, 1))
+    col = np.arange(width + 1)
+    # h[:, j]: score left of query position j in the row above; e[:, j]: gap in the query that reaches position j
+    h = np.tile(np.where(col == 0, h0, np.maximum(h0 - oi - ei * col, 0)), (b, 1))
+    e = np.zeros((b, width + 1), np.int64)
+    live = np.flatnonzero(tn > 0)
+    h, e = h[live], e[live]
+    lo, hi = np.zeros(len(live), np.int64), qn[live].astype(np.int64)
+    best, at_i, at_j = np.full(len(live), h0), np.full(len(live), -1), np.full(len(live), -1)
+    end_row, end_score, off = np.full(len(live), -1), np.full(len(live), -1), np.zeros(len(live), np.int64)
+    i = 0
+    while len(live):
+        n, rows = qn[live], np.arange(len(live))
+        lo, hi = np.maximum(lo, i - bands[live]), np.minimum(np.minimum(hi, i + bands[live] + 1), n)
+        first = np.where(lo == 0, max(h0 - od - ed * (i + 1), 0), 0)
+        # columns that any pair uses; one more, as a row's values go one to the right
+        left, right = int(lo.min()), int(hi.max())
+        c = col[left : right + 1]
+        inside = (c[:-1] >= lo[:, None]) & (c[:-1] < hi[:, None])
+        above = h[:, left:right]
+        diag = np.where(inside & (above > 0), above + mat[t[live, i][:, None], q[live, left:right]], 0)
+        # an opening gap pays its first base too: openings under 0 count as 0
+        reach = np.maximum.accumulate(np.where(inside, np.maximum(diag - oi - ei, 0) + ei * c[1:], NEVER), 1)
+        f = np.zeros_like(diag)
+        f[:, 1:] = np.maximum(reach[:, :-1] - ei * c[1:-1], 0)
+        f = np.where(inside & (c[:-1] > lo[:, None]), f, 0)
+        row = np.where(inside, np.maximum(np.maximum(diag, e[:, left:right]), f), -1)
+        e[:, left:right] = np.where(inside, np.maximum(e[:, left:right] - ed, np.maximum(diag - od - ed, 0)), e[:, left:right])
+        wide = lo < hi
+        shifted = h[:, left + 1 : right + 1]
+        h[:, left + 1 : right + 1] = np.where(inside, row, shifted)
+        h[rows, np.where(wide, lo, hi)] = first
+        e[rows, hi] = 0
+        if row.shape[1]:
+            back = row.shape[1] - 1 - row[:, ::-1].argmax(1)
+            top, j = np.where(wide, row[rows, back], 0), np.where(wide, back + left, -1)
+            last = np.where(wide, row[rows, np.maximum(hi - 1 - left, 0)], first)
         else:
-            top, j, last = 0, -1, first
-            h[hi] = first
-        e[hi] = 0
-        if max(lo, hi) == n and last >= end_score:
-            end_row, end_score = i, last
-        if top == 0:
-            break
-        if top > best:
-            best, at_i, at_j = top, i, j
-            off = max(off, abs(j - i))
-        elif z_drop > 0:
-            gap = (i - at_i) - (j - at_j)
-            if best - top - (gap * ed if gap > 0 else -gap * ei) > z_drop:
-                break
-        alive = np.flatnonzero((h[lo : hi + 1] != 0) | (e[lo : hi + 1] != 0)) + lo
-        inner = alive[alive < hi]
-        lo = int(inner[0]) if len(inner) else hi
-        alive = alive[alive >= lo]
-        hi = min((int(alive[-1]) if len(alive) else lo - 1) + 2, n)
-    return best, at_j + 1, at_i + 1, end_row + 1, end_score, off
-
-
-def global_affine(q: np.ndarray, t: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], band: int, cigar: bool = True) -> tuple[int, list[tuple[str, int]]]:
-    """Score and CIGAR runs of the banded end-to-end alignment.
+            top, j, last = np.zeros(len(live), np.int64), np.full(len(live), -1), first
+        ends = (np.maximum(lo, hi) == n) & (last >= end_score)
+        end_row, end_score = np.where(ends, i, end_row), np.where(ends, last, end_score)
+        up = top > best
+        gap = (i - at_i) - (j - at_j)
+        dropped = (z_drop > 0) & ~up & (best - top - np.where(gap > 0, gap * ed, -gap * ei) > z_drop)
+        off = np.where(up, np.maximum(off, np.abs(j - i)), off)
+        best, at_i, at_j = np.where(up, top, best), np.where(up, i, at_i), np.where(up, j, at_j)
+        # the next row goes from the first cell that isn't empty to two past the last
+        alive = (h[:, left : right + 1] != 0) | (e[:, left : right + 1] != 0)
+        alive &= (c >= lo[:, None]) & (c <= hi[:, None])
+        inner = alive & (c < hi[:, None])
+        lo = np.where(inner.any(1), inner.argmax(1) + left, hi)
+        alive &= c >= lo[:, None]
+        final = np.where(alive.any(1), right - alive[:, ::-1].argmax(1), lo - 1)
+        hi = np.minimum(final + 2, n)
+        i += 1
+        over = (top == 0) | dropped | (tn[live] <= i)
+        if over.any():
+            done = live[over]
+            out[done] = np.stack([best, at_j + 1, at_i + 1, end_row + 1, end_score, off], 1)[over]
+            keep = ~over
+            live, h, e, lo, hi = live[keep], h[keep], e[keep], lo[keep], hi[keep]
+            best, at_i, at_j, end_row, end_score, off = (x[keep] for x in (best, at_i, at_j, end_row, end_score, off))
+    return out
+
+
+def global_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], band: int, cigar: bool = True) -> tuple[np.ndarray, list[str] | None]:
+    """Score and CIGAR of the banded end-to-end alignment of each pair.
 
     Gaps open from the diagonal score only, so an insertion never touches a
     deletion. Of equal scores, diagonal comes before deletion, deletion before
-    insertion, and opening a gap before extending one.
+    insertion, and opening a gap before extending one. A pair whose end lies
+    outside the band has no score above NEVER.
     """
     od, ed, oi, ei = gaps
-    n, m = len(q), len(t)
-    col = np.arange(n + 1)
-    h = np.where(col == 0, 0, np.where(col <= band, -(oi + ei * col), NEVER)).astype(np.int64)
-    e = np.full(n + 1, NEVER, np.int64)
-    kinds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(m):
-        lo, hi = max(i - band, 0), min(i + band + 1, n)
+    order = np.argsort(-tn, kind="stable")
+    t, tn, q, qn = t[order], tn[order], q[order], qn[order]
+    mat = mat.astype(np.int64)
+    b, width = len(tn), q.shape[1]
+    col = np.arange(width + 1)
+    h = np.tile(np.where(col == 0, 0, np.where(col <= band, -(oi + ei * col), NEVER)), (b, 1))
+    e = np.full((b, width + 1), NEVER, np.int64)
+    score = h[np.arange(b), qn]
+    steps: list[tuple[int, np.ndarray]] = []
+    for i in range(int(tn.max(initial=0))):
+        m = _windows(tn, i)  # pairs whose target has a row i come first
+        lo, hi = max(i - band, 0), min(i + band + 1, int(qn[:m].max()))
         first = -(od + ed * (i + 1)) if lo == 0 else NEVER
         if lo < hi:
-            span = col[lo:hi]
-            diag = h[lo:hi] + mat[t[i], q[lo:hi]]
+            c = col[lo:hi]
+            inside = c < qn[:m, None]
+            diag = np.where(inside, h[:m, lo:hi] + mat[t[:m, i][:, None], q[:m, lo:hi]], NEVER)
             open_f = diag - oi - ei
-            f = np.full(len(span), NEVER, np.int64)
-            f[1:] = np.maximum.accumulate(open_f + ei * (span + 1))[:-1] - ei * span[1:]
-            f[1:] = np.maximum(f[1:], NEVER - ei * (span[1:] - lo))
-            best = np.maximum(diag, e[lo:hi])
-            row = np.maximum(best, f)
+            f = np.full_like(diag, NEVER)
+            f[:, 1:] = np.maximum(np.maximum.accumulate(open_f + ei * (c + 1), 1)[:, :-1] - ei * c[1:], NEVER - ei * (c[1:] - lo))
+            above = e[:m, lo:hi]
+            best = np.maximum(diag, above)
             if cigar:
-                kind = np.where(best < f, 2, np.where(diag >= e[lo:hi], 0, 1)).astype(np.int8)
-                kinds.append((lo, kind, e[lo:hi] - ed > diag - od - ed, f - ei > open_f))
-            e[lo:hi] = np.maximum(e[lo:hi] - ed, diag - od - ed)
-            h[lo], h[lo + 1 : hi + 1] = first, row
-        else:
-            kinds.append((lo, np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool)))
-            h[hi] = first
-        e[hi] = NEVER
-    score = int(h[n])
-    runs: list[tuple[str, int]] = []
-
-    def add(op: str, size: int) -> None:
-        if runs and runs[-1][0] == op:
-            runs[-1] = (op, runs[-1][1] + size)
-        else:
-            runs.append((op, size))
-
-    if cigar:
-        i, j, state = m - 1, min(m - 1 + band + 1, n) - 1, 0
-        while i >= 0 and j >= 0:
-            lo, kind, e_on, f_on = kinds[i]
-            k = j - lo
-            # in a gap, the cell it came to tells whether the gap goes on
-            state = int(kind[k]) if state == 0 else 1 if state == 1 and e_on[k] else 2 if state == 2 and f_on[k] else 0
-            add("MDI"[state], 1)
-            i, j = i - (state != 2), j - (state != 1)
-        if i >= 0:
-            add("D", i + 1)
-        if j >= 0:
-            add("I", j + 1)
-    return score, runs[::-1]
+                # the move in two bits, and whether a deletion or an insertion that comes here goes on
+                kind = np.where(best < f, 2, np.where(diag >= above, 0, 1)) | (above - ed > diag - od - ed) << 2 | (f - ei > open_f) << 3
+                steps.append((lo, kind.astype(np.uint8)))
+            e[:m, lo:hi] = np.where(inside, np.maximum(above - ed, diag - od - ed), NEVER)
+            h[:m, lo + 1 : hi + 1] = np.where(inside, np.maximum(best, f), h[:m, lo + 1 : hi + 1])
+            h[:m, lo] = first
+        elif cigar:
+            steps.append((lo, np.zeros((m, 0), np.uint8)))
+        short = np.flatnonzero(qn[:m] <= lo)  # no cell of the band: the end is out of reach, or the query empty
+        h[short, qn[short]] = first
+        ending = slice(_windows(tn, i + 1), m)
+        score[ending] = h[np.arange(ending.start, m), qn[ending]]
+    back = np.argsort(order, kind="stable")
+    return score[back], [_runs(x) for x in _paths(steps, tn, qn, band)[back]] if cigar else None
+
+
+def _paths(steps: list[tuple[int, np.ndarray]], tn: np.ndarray, qn: np.ndarray, band: int) -> np.ndarray:
+    """Of each pair its moves from the end to the start (0 both, 1 the target, 2 the query), filled up with 3; all pairs walk together."""
+    i, j, state = tn - 1, np.minimum(tn + band, qn) - 1, np.zeros(len(tn), np.int64)
+    moves = []
+    while (live := (i >= 0) | (j >= 0)).any():
+        move = np.where(i < 0, 2, 1)  # at the edge only one sequence is left
+        for row in np.unique(i[live & (i >= 0) & (j >= 0)]).tolist():
+            lo, kind = steps[row]
+            at = np.flatnonzero((i == row) & (j >= 0))
+            cell = j[at] - lo
+            known = (cell >= 0) & (cell < kind.shape[1])  # a path from outside the band goes up to it
+            at, cell = at[known], cell[known]
+            k = kind[at, cell]
+            s = state[at]
+            move[at] = np.where(s == 0, k & 3, np.where((s == 1) & (k & 4 > 0), 1, np.where((s == 2) & (k & 8 > 0), 2, 0)))
+        state = np.where((i >= 0) & (j >= 0), move, state)
+        moves.append(np.where(live, move, 3).astype(np.int8))
+        i, j = i - (live & (move != 2)), j - (live & (move != 1))
+    return np.stack(moves, 1) if moves else np.zeros((len(tn), 0), np.int8)
+
+
+def _runs(path: np.ndarray) -> str:
+    """CIGAR text of a path that was walked from its end."""
+    path = path[path < 3][::-1]
+    if not len(path):
+        return ""
+    start = np.flatnonzero(np.diff(path, prepend=-1))
+    return "".join(f"{n}{'MDI'[k]}" for k, n in zip(path[start].tolist(), np.diff(np.append(start, len(path))).tolist(), strict=True))

@@ -1,9 +1,11 @@
 """Goldens, and cell-by-cell recurrences written independently."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+import scalar_kernels as scalar
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import score_matrix
@@ -100,8 +102,8 @@ def test_affine_matches_cells_and_keeps_scores_reversed():
     mat = np.array(score_matrix())
     for gaps in ((5, 2, 5, 2), (1, 1, 2, 1), (0, 1, 0, 1), (4, 3, 2, 5)):
         pairs = [(rand(rng, 1, 40), rand(rng, 1, 40)) for _ in range(120)]
-        t, tn = k.pack([t for t, _ in pairs], k.CODES)
-        q, qn = k.pack([q for _, q in pairs], k.CODES)
+        t, tn = k.pack([t for t, _ in pairs], k.NUCLEOTIDES)
+        q, qn = k.pack([q for _, q in pairs], k.NUCLEOTIDES)
         for floor in (0, 3):
             got = k.local_affine(t, tn, q, qn, mat, gaps, floor)
             want = [slow_affine(t[i, : tn[i]].tolist(), q[i, : qn[i]].tolist(), mat.tolist(), *gaps, floor) for i in range(len(pairs))]
@@ -114,7 +116,7 @@ def test_affine_matches_cells_and_keeps_scores_reversed():
 
 
 def test_byte_mode_saturates():
-    t, tn = k.pack(["ACGT" * 80], k.CODES)
+    t, tn = k.pack(["ACGT" * 80], k.NUCLEOTIDES)
     got = k.local_affine(t, tn, t, tn, np.array(score_matrix()), (5, 2, 5, 2), 0, byte_mode=True)[0]
     assert got[0] == 255 and got[2] == -1
     assert k.local_affine(t, tn, t, tn, np.array(score_matrix()), (5, 2, 5, 2), 0)[0][0] == 320
@@ -155,17 +157,26 @@ def price(runs, t, q, mat, od, ed, oi, ei):
     return total
 
 
+def one_global(q, t, mat, gaps, band, cigar=True):
+    score, text = k.global_affine(t[None], np.array([len(t)]), q[None], np.array([len(q)]), mat, gaps, band, cigar)
+    return int(score[0]), [(op, int(n)) for n, op in re.findall(r"(\d+)([MDI])", text[0])] if cigar else None
+
+
+def one_extend(q, t, *more):
+    return tuple(k.extend(t[None], np.array([len(t)]), q[None], np.array([len(q)]), *more)[0].tolist())
+
+
 def test_global_scores_and_paths():
     rng = random.Random(3)
     mat = np.array(score_matrix())
     for gaps in ((5, 2, 5, 2), (1, 1, 3, 2), (4, 1, 4, 1)):
         for _ in range(120):
-            t, q = (k.pack([rand(rng, 1, 25)], k.CODES)[0][0] for _ in range(2))
-            score, runs = k.global_affine(q, t, mat, gaps, 1000)
+            t, q = (k.pack([rand(rng, 1, 25)], k.NUCLEOTIDES)[0][0] for _ in range(2))
+            score, runs = one_global(q, t, mat, gaps, 1000)
             assert score == slow_global(t.tolist(), q.tolist(), mat.tolist(), *gaps)
             assert score == price(runs, t, q, mat, *gaps)
-            assert k.global_affine(q, t, mat, gaps, 1000, cigar=False)[0] == score
-    assert k.global_affine(*(k.pack([s], k.CODES)[0][0] for s in ("ACCAGGA", "ACCATTGGA")), mat, (1, 1, 1, 1), 50)[1] == [("M", 4), ("D", 2), ("M", 3)]
+            assert one_global(q, t, mat, gaps, 1000, cigar=False)[0] == score
+    assert one_global(*(k.pack([s], k.NUCLEOTIDES)[0][0] for s in ("ACCAGGA", "ACCATTGGA")), mat, (1, 1, 1, 1), 50)[1] == [("M", 4), ("D", 2), ("M", 3)]
 
 
 def slow_extend(q, t, mat, od, ed, oi, ei, h0, trim):
@@ -203,20 +214,101 @@ def test_extension():
     rng = random.Random(5)
     mat = np.array(score_matrix(2, 3))
     for _ in range(400):
-        q = k.pack([rand(rng, 1, 20, "ACG")], k.CODES)[0][0]
-        t = k.pack([rand(rng, 1, 24, "ACG")], k.CODES)[0][0]
+        q = k.pack([rand(rng, 1, 20, "ACG")], k.NUCLEOTIDES)[0][0]
+        t = k.pack([rand(rng, 1, 24, "ACG")], k.NUCLEOTIDES)[0][0]
         gaps = rng.choice([(5, 2, 5, 2), (2, 1, 2, 1), (1, 2, 3, 1)])
         h0 = rng.randrange(1, 30)
-        got = k.extend(q, t, mat, gaps, 10**6, 10**6, 0, h0)
+        got = one_extend(q, t, mat, gaps, 10**6, 10**6, 0, h0)
         assert got == slow_extend(q.tolist(), t.tolist(), mat.tolist(), *gaps, h0, True)
         assert got[0] <= slow_extend(q.tolist(), t.tolist(), mat.tolist(), *gaps, h0, False)[0]
-    a = k.pack(["ACGTACGT"], k.CODES)[0][0]
-    assert k.extend(a, a, np.array(score_matrix()), (5, 2, 5, 2), 100, 0, 0, 10) == (18, 8, 8, 8, 18, 0)
-    far = k.pack(["ACGTCCCCCCCCCCACGTACGTACGTACGT"], k.CODES)[0][0]
-    near = k.pack(["ACGTGGGGGGGGGGACGTACGTACGTACGT"], k.CODES)[0][0]
-    assert k.extend(near, far, np.array(score_matrix()), (5, 2, 5, 2), 100, 0, 8, 40)[2] == 4
+    a = k.pack(["ACGTACGT"], k.NUCLEOTIDES)[0][0]
+    assert one_extend(a, a, np.array(score_matrix()), (5, 2, 5, 2), 100, 0, 0, 10) == (18, 8, 8, 8, 18, 0)
+    far = k.pack(["ACGTCCCCCCCCCCACGTACGTACGTACGT"], k.NUCLEOTIDES)[0][0]
+    near = k.pack(["ACGTGGGGGGGGGGACGTACGTACGTACGT"], k.NUCLEOTIDES)[0][0]
+    assert one_extend(near, far, np.array(score_matrix()), (5, 2, 5, 2), 100, 0, 8, 40)[2] == 4
     with pytest.raises(ValueError):
-        k.extend(a, a, mat, (5, 2, 5, 2), 100, 0, 0, 0)
+        one_extend(a, a, mat, (5, 2, 5, 2), 100, 0, 0, 0)
+
+
+def test_batches_equal_single_pairs():
+    rng = random.Random(11)
+    for mat, gaps in ((np.array(score_matrix()), (5, 2, 5, 2)), (np.array(score_matrix(2, 3)), (1, 2, 3, 1)), (np.array(score_matrix(1, 1)), (0, 1, 2, 1))):
+        pairs = [(rand(rng, 0, 40), rand(rng, 0, 40)) for _ in range(80)]
+        for _ in range(80):  # related pairs: few edits
+            t = list(rand(rng, 1, 40))
+            q = [c for c in t if rng.random() > 0.1]
+            for _ in range(rng.randrange(4)):
+                q.insert(rng.randrange(len(q) + 1), rng.choice("ACGT"))
+            pairs.append(("".join(t), "".join(q)))
+        t, tn = k.pack([t for t, _ in pairs], k.NUCLEOTIDES)
+        q, qn = k.pack([q for _, q in pairs], k.NUCLEOTIDES)
+        for band in (1, 4, 1000):
+            score, text = k.global_affine(t, tn, q, qn, mat, gaps, band)
+            for i in range(len(pairs)):
+                if abs(tn[i] - qn[i]) <= band:
+                    want, runs = scalar.global_affine(q[i, : qn[i]], t[i, : tn[i]], mat, gaps, band)
+                    assert (score[i], text[i]) == (want, "".join(f"{n}{op}" for op, n in runs)), (pairs[i], band)
+                else:
+                    assert score[i] <= scalar.NEVER // 2
+        for band, bonus, drop, h0 in ((100, 0, 0, 5), (3, 5, 0, 20), (100, 0, 4, 12), (8, 2, 1, 40)):
+            got = k.extend(t, tn, q, qn, mat, gaps, band, bonus, drop, h0)
+            want = [scalar.extend(q[i, : qn[i]], t[i, : tn[i]], mat, gaps, band, bonus, drop, h0) for i in range(len(pairs))]
+            assert [tuple(r) for r in got.tolist()] == want
+
+
+def test_udfs_of_odd_pairs(spark):
+    df = spark.createDataFrame([("ACGT", "ACGT"), ("ACGT", None), (None, "A"), ("", "ACG"), ("ACG", ""), ("", "")], "t string, q string")
+    got = df.select(al.global_udf()("t", "q").alias("g"), al.extend_udf(h0=3)("t", "q").alias("x"), al.global_udf(cigar=False)("t", "q").alias("s")).collect()
+    assert [(r.g.score, r.g.cigar) for r in got] == [(4, "4M"), (None, None), (None, None), (-11, "3I"), (-11, "3D"), (0, "")]
+    assert [r.s.score for r in got] == [4, None, None, -11, -11, 0] and all(r.s.cigar is None for r in got)
+    assert [r.x.score for r in got] == [7, None, None, 3, 3, 3]
+
+
+def test_stop_score():
+    rng = random.Random(12)
+    mat, gaps = np.array(score_matrix()), (5, 2, 5, 2)
+    pairs = [(rand(rng, 30, 60), rand(rng, 10, 30)) for _ in range(60)]
+    t, tn = k.pack([t for t, _ in pairs], k.NUCLEOTIDES)
+    q, qn = k.pack([q for _, q in pairs], k.NUCLEOTIDES)
+    whole = k.local_affine(t, tn, q, qn, mat, gaps, 2)
+    for stop in (2, 4, 6, 1000):
+        got = k.local_affine(t, tn, q, qn, mat, gaps, 2, stop_score=stop)
+        for i in range(len(pairs)):
+            # the same as a target that ends with the first row of a score of stop or more
+            ends = next((m for m in range(1, tn[i] + 1) if k.local_affine(t[i : i + 1, :m], np.array([m]), q[i : i + 1], qn[i : i + 1], mat, gaps, 2)[0, 0] >= stop), tn[i])
+            assert (got[i] == k.local_affine(t[i : i + 1, :ends], np.array([ends]), q[i : i + 1], qn[i : i + 1], mat, gaps, 2)[0]).all()
+    assert (got == whole).all()
+    golden = k.local_affine(*k.pack(["TTACGTTTACGTACGT"], k.NUCLEOTIDES), *k.pack(["ACGTACGT"], k.NUCLEOTIDES), mat, gaps, 1, stop_score=4)[0].tolist()
+    assert golden[:3] == [4, 4, 6] and golden[5:] == [1, 3]
+
+    def rows(stops):
+        seen = []
+        k._best_rows(k._affine_rows(t, tn, q, qn, mat, gaps), len(pairs), np.full(len(pairs), stops), lambda i, pairs, top: seen.append(len(pairs)))
+        return sum(seen)
+
+    assert rows(3) < rows(5) < rows(1 << 60) == tn.sum()
+
+
+def test_any_characters_and_alphabets(spark):
+    rng = random.Random(13)
+    pairs = [("".join(rng.choices("中文字é?aß🦀", k=rng.randint(1, 12))), "".join(rng.choices("中文字é?aß🦀", k=rng.randint(1, 12)))) for _ in range(60)]
+    df = spark.createDataFrame([*pairs, ("中", "文")], "t string, q string")
+    for r in df.select("t", "q", al.linear_udf()("t", "q").alias("u"), al.linear_score_expression(F.col("t"), F.col("q")).alias("fold")).collect():
+        assert r.u.score == r.fold
+    letters = "ARND"
+    mat = [[4, -1, -2, -2, -5], [-1, 5, 0, -2, -5], [-2, 0, 6, 1, -5], [-2, -2, 1, 6, -5], [-5] * 5]
+    hits = al.align_local_affine(df.sparkSession.createDataFrame([("t", "xxARNDRNxx")], "name string, seq string"), df.sparkSession.createDataFrame([("q", "arndn")], "name string, seq string"), scoring=mat, alphabet=letters, gap_open=3, gap_ext=1, ins_open=9, ins_ext=1, min_score=1).collect()
+    # A R N D match, then R is deleted for N: 4 + 5 + 6 + 6 - 4 + 6
+    assert [(r.score, r.t_start, r.t_end, r.q_start, r.q_end, r.strand) for r in hits] == [(23, 2, 8, 0, 5, "+")]
+    turned = al.align_local_affine(df.sparkSession.createDataFrame([("t", "xxARNDRNxx")], "name string, seq string"), df.sparkSession.createDataFrame([("q", "arndn")], "name string, seq string"), scoring=mat, alphabet=letters, gap_open=9, gap_ext=1, ins_open=3, ins_ext=1, min_score=1).collect()
+    assert turned[0].score == 21
+    assert al.global_udf(scoring=mat, alphabet=letters).func is not None
+    with pytest.raises(ValueError, match="5 x 5"):
+        al.affine_udf(scoring=[[1]], alphabet=letters)
+    with pytest.raises(ValueError, match="scoring"):
+        al.affine_udf(alphabet=letters)
+    with pytest.raises(ValueError, match="twice"):
+        k.Coding("AA")
 
 
 def test_jvm_fold_and_sql_functions(spark):
