@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.sources import fasta, fastx
+from tessera.sources import fasta, fastx, matrix
 
 
 def read(path, size):
@@ -107,3 +107,49 @@ def test_strict_fasta_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     (tmp_path / "none.fa").write_text("")
     assert fasta.read_fasta(spark, str(tmp_path / "none.fa")).count() == 0
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "700")
+    spark.conf.set(names[1], "10")
+    yield
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("layout", ["rows", "header apart", "any lines"])
+def test_matrix_over_many_splits(spark, tmp_path, small_splits, layout):
+    rng = random.Random(10)
+    n, d, ks = 120, 7, 3
+    rows = [[round(rng.uniform(-9, 9), 3) for _ in range(d)] for _ in range(n)]
+    labels = [[rng.randrange(k) for _ in range(n)] for k in range(1, ks + 1)]
+    numbers = [str(x) for r in rows for x in r] + [str(x) for b in labels for x in b]
+    if layout == "any lines":
+        text = f" {n}"
+        for x in [str(d), *numbers]:
+            text += rng.choice([" ", "\t", "\n", "\n\n  ", " "]) + x
+    else:
+        head = f"{n}\n{d}\n" if layout == "header apart" else f"{n} {d}\n"
+        text = head + "".join(" ".join(map(str, r)) + "\n" for r in rows) + "".join(" ".join(map(str, b)) + "\n" for b in labels)
+    path = tmp_path / "m.txt"
+    path.write_text(text + " 0 0")  # a block that isn't whole
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+    got = matrix.read_matrix(spark, str(path)).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(n)) and [r.v for r in got] == rows
+    found = {(r.k, r.id): r.label for r in matrix.read_labels(spark, str(path)).collect()}
+    assert found == {(k + 1, i): x for k, b in enumerate(labels) for i, x in enumerate(b)}
+    plan = matrix.read_matrix(spark, str(path))._jdf.queryExecution().toString()
+    assert "wholetext" not in plan.lower()
+
+
+def test_matrix_errors(spark, tmp_path):
+    path = tmp_path / "m.txt"
+    path.write_text("0 3\n")
+    assert matrix.read_matrix(spark, str(path)).count() == 0 and matrix.read_labels(spark, str(path)).count() == 0
+    path.write_text("2 1\n5\n6\n0 0\n1 9\n")
+    assert matrix.read_matrix(spark, str(path)).count() == 2
+    with pytest.raises(Exception, match="out of range"):
+        matrix.read_labels(spark, str(path)).collect()
