@@ -71,6 +71,24 @@ class Mixture:
         rows = [(k, float(self.pi[k]), self.means[k].tolist(), self.cov[k].tolist(), float(self.log_det[k])) for k in range(len(self.pi))]
         return spark.createDataFrame(rows, "k int, pi double, mean array<double>, cov array<array<double>>, log_det double")
 
+    def long_table(self, spark) -> DataFrame:
+        """(part, k, i, j, x): pi, log_det, mean (i) and cov (i, j) of each component."""
+        rows = [row for k in range(len(self.pi)) for row in (("pi", k, None, None, float(self.pi[k])), ("log_det", k, None, None, float(self.log_det[k])))]
+        rows += [("mean", k, i, None, x) for k, mean in enumerate(self.means.tolist()) for i, x in enumerate(mean)]
+        rows += [("cov", k, i, j, x) for k, cov in enumerate(self.cov.tolist()) for i, row in enumerate(cov) for j, x in enumerate(row)]
+        return spark.createDataFrame(rows, "part string, k int, i long, j long, x double")
+
+
+#: a dump leaves out responsibilities that aren't larger
+LEAST_SHARE = 1e-5
+
+
+def dump(df: DataFrame, mixture: Mixture, id_col: str = "id", v: str = "v", compat: bool = False) -> DataFrame:
+    """(part, k, i, j, x): the model's numbers, and of each sample (i, its id) the responsibilities over LEAST_SHARE, as "gamma"."""
+    shares = e_step(df.select(F.col(id_col).cast("long").alias("i"), F.col(v).alias("v")), mixture, compat=compat)
+    gamma = shares.select(F.lit("gamma").alias("part"), "i", F.posexplode("gamma").alias("k", "x")).where(F.col("x") > LEAST_SHARE)
+    return mixture.long_table(df.sparkSession).union(gamma.select("part", "k", "i", F.lit(None).cast("long").alias("j"), "x"))
+
 
 def _moments(df: DataFrame, v: str, d: int, k: int, centre: np.ndarray, share) -> np.ndarray:
     """K x (1 + D + D*D): sums of shares, of centred values and of their products; one number more, the log-likelihood."""
@@ -92,8 +110,8 @@ def _moments(df: DataFrame, v: str, d: int, k: int, centre: np.ndarray, share) -
         yield pd.DataFrame({"cell": np.arange(len(flat)), "x": flat})
 
     out = np.zeros(k * (1 + d + d * d) + 1)
-    for r in df.mapInPandas(partial, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
-        out[r["cell"]] = r["x"]
+    got = df.mapInPandas(partial, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    out[got["cell"].to_numpy()] = got["x"].to_numpy()
     return out
 
 
@@ -178,30 +196,32 @@ def information_criterion(loglik: float, k: int, d: int, n: int, criterion: str
     return n_parameters(k, d) * (math.log(n) if criterion == "bic" else 2) - 2 * loglik
 
 
-def select(df: DataFrame, labels: DataFrame | None = None, ks: Iterable[int] = range(1, 51), criterion: str = "aic", id_col: str = "id", v: str = "v", compat: bool = True, at_once: int = 4) -> DataFrame:
-    """(k, ic, is_best) for each number of components.
+def select(df: DataFrame, labels: DataFrame | None = None, ks: Iterable[int] = range(1, 51), criterion: str = "aic", id_col: str = "id", v: str = "v", compat: bool = True, at_once: int = 4, max_iter: int = 200, start_turns: int = 100) -> DataFrame:
+    """(k, ic, is_best, converged) for each number of components.
 
-    labels holds (k, id, label); where it is missing, k-means from the first k
-    samples gives them. The fits run side by side as jobs of one session, so a
+    labels holds (k, id, label); where it is missing, at most start_turns turns
+    of k-means from the first k samples give them. A fit that max_iter ended is
+    not converged. The fits run side by side as jobs of one session, so a
     few large K don't hold up the others.
     """
     spark = df.sparkSession
     points = df.select(F.col(id_col).alias("id"), F.col(v).cast("array<double>").alias("v")).persist()
     n, d = points.count(), dimension(points)
 
-    def one(k: int) -> tuple[int, float]:
+    def one(k: int) -> tuple[int, float, bool]:
         if labels is None:
-            centroids, _ = kmeans.fit(points, k, 100)
+            centroids, _ = kmeans.fit(points, k, start_turns)
             start = kmeans.assign(points, centroids)
         else:
             start = points.join(labels.where(F.col("k") == k).select("id", "label"), "id")
-        return k, information_criterion(fit(start, k, compat=compat)[1], k, d, n, criterion)
+        _, loglik, rounds = fit(start, k, compat=compat, max_iter=max_iter)
+        return k, information_criterion(loglik, k, d, n, criterion), rounds < max_iter
 
     with ThreadPoolExecutor(at_once) as pool:
         got = list(pool.map(one, ks))
     points.unpersist()
     best = min(got, key=lambda x: (x[1], x[0]), default=(None,))[0]
-    return spark.createDataFrame([(k, float(ic), k == best) for k, ic in got], "k int, ic double, is_best boolean")
+    return spark.createDataFrame([(k, float(ic), k == best, done) for k, ic, done in got], "k int, ic double, is_best boolean, converged boolean")
 
 
 def best_k(table: DataFrame) -> Column:

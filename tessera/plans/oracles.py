@@ -62,14 +62,10 @@ SELECT id, {_r("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm,
 SQL["log_sum_exp"] = f"SELECT id, {_r('ln(list_sum(list_transform(range(1, 65), lambda i: i / 2080 * exp(v[i]))))')} AS lse FROM ({_ALL})"
 
 
-def _rates() -> str:
-    sql = f"SELECT id, v, 100.0::DOUBLE AS rate, 0.0::DOUBLE AS bar FROM ({_ALL})"
-    for i in range(1, 5):
-        sql = f"SELECT id, v, CASE WHEN v[{i}] * bar > 0 THEN rate + 100 WHEN v[{i}] * bar < 0 THEN rate * 0.5::DOUBLE ELSE rate END AS rate, 0.5::DOUBLE * v[{i}] + 0.5::DOUBLE * bar AS bar FROM ({sql})"
-    return f"SELECT id, {_r('rate')} AS rate, {_r('bar')} AS bar FROM ({sql})"
-
-
-SQL["adaptive_rates"] = _rates()
+SQL["adaptive_rates"] = f"""
+WITH RECURSIVE r AS (SELECT id, v, 1 AS i, 100.0::DOUBLE AS rate, 0.0::DOUBLE AS bar FROM ({_ALL}) UNION ALL
+SELECT id, v, i + 1, CASE WHEN v[i] * bar > 0 THEN rate + 100 WHEN v[i] * bar < 0 THEN rate * 0.5::DOUBLE ELSE rate END, 0.5::DOUBLE * v[i] + 0.5::DOUBLE * bar FROM r WHERE i <= len(v))
+SELECT id, {_r("rate")} AS rate, {_r("bar")} AS bar FROM r WHERE i = len(v) + 1"""
 
 _CODES = "translate(regexp_replace({0}, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgtN', '012301234')"
 _DNA = "regexp_replace(upper({0}), '[^ACGT]', '', 'g')"
@@ -78,9 +74,10 @@ SQL["seq_revcomp"] = f"""
 WITH s AS (SELECT item_id, {_DNA.format("text")} AS s FROM benchmark)
 SELECT item_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, reverse(translate(s, 'ACGT', '3210')) AS rc_codes, reverse(s[1:10]) || s[11:] AS prefix FROM s"""
 SQL["match_scores"] = """
-WITH s AS (SELECT doc_id, text[1:1] AS a, text[2:2] AS b FROM documents)
-SELECT doc_id, CASE WHEN a = b THEN 1 ELSE -3 END AS score,
-CASE WHEN NOT regexp_matches(a, '^[ACGTacgt]$') OR NOT regexp_matches(b, '^[ACGTacgt]$') THEN 0 WHEN upper(a) = upper(b) THEN 1 ELSE -3 END AS coded FROM s"""
+WITH s AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
+p AS (SELECT doc_id, list_transform(list_zip(c[1:len(c) - 1], c[2:]), lambda z: [CASE WHEN z[1] = z[2] THEN 1 ELSE -3 END,
+CASE WHEN NOT regexp_matches(z[1], '^[ACGTacgt]$') OR NOT regexp_matches(z[2], '^[ACGTacgt]$') THEN 0 WHEN upper(z[1]) = upper(z[2]) THEN 1 ELSE -3 END]) AS x FROM s)
+SELECT doc_id, coalesce(list_sum(list_transform(x, lambda y: y[1])), 0)::BIGINT AS score, coalesce(list_sum(list_transform(x, lambda y: y[2])), 0)::BIGINT AS coded FROM p"""
 
 
 def _hash() -> str:
@@ -171,6 +168,17 @@ SQL["gmm_em_1iter"] = f"""WITH {_G}, w AS (SELECT k, sum(g) AS n, sum(g * a) / s
 c AS (SELECT k, any_value(n) / (SELECT count(*) FROM e) AS pi, any_value(m0) AS m0, any_value(m1) AS m1, sum(g * (a - m0) ** 2) / any_value(n) AS c00,
 sum(g * (a - m0) * (b - m1)) / any_value(n) AS c01, sum(g * (b - m1) ** 2) / any_value(n) AS c11 FROM g JOIN w USING (k) GROUP BY k)
 SELECT k, {_SIX} FROM c"""
+SQL["gmm_dump"] = f"""WITH {_G}, l AS (SELECT 'pi' AS part, k, NULL::BIGINT AS i, NULL::BIGINT AS j, pi AS x FROM m UNION ALL SELECT 'log_det', k, NULL, NULL, ln(c00 * c11 - c01 * c01) FROM m
+UNION ALL SELECT 'mean', k, 0, NULL, m0 FROM m UNION ALL SELECT 'mean', k, 1, NULL, m1 FROM m UNION ALL SELECT 'cov', k, 0, 0, c00 FROM m UNION ALL SELECT 'cov', k, 0, 1, c01 FROM m
+UNION ALL SELECT 'cov', k, 1, 0, c01 FROM m UNION ALL SELECT 'cov', k, 1, 1, c11 FROM m UNION ALL SELECT 'gamma', k, id, NULL, g FROM g WHERE g > 1e-5)
+SELECT part, k::INT AS k, i, j, {_r("x")} AS x FROM l"""
+# a component of up to 64 rows has no inverse; given tables have those, or some 200 rows each
+SQL["gmm_mstep_all"] = f"""WITH e AS ({_ALL}), n AS (SELECT label AS k, count(*) AS n FROM e GROUP BY label),
+m AS (SELECT label AS k, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY ALL),
+c AS (SELECT label AS k, i, j, covar_pop(v[i], v[j]) AS c FROM e, range(1, 65) t(i), range(1, 65) u(j) GROUP BY ALL),
+l AS (SELECT 'pi' AS part, k, NULL::BIGINT AS i, NULL::BIGINT AS j, n / (SELECT count(*) FROM e) AS x FROM n UNION ALL SELECT 'mean', k, i - 1, NULL, m FROM m
+UNION ALL SELECT 'cov', k, i - 1, j - 1, CASE WHEN n > 64 THEN c WHEN i = j THEN 1 ELSE 0 END FROM c JOIN n USING (k))
+SELECT part, k::INT AS k, i, j, {_r("x")} AS x FROM l"""
 SQL["argmin_criterion"] = "SELECT k::INT AS k FROM (SELECT o_custkey % 50 AS k, count(*) AS ic FROM orders GROUP BY 1) ORDER BY ic, k LIMIT 1"
 
 _P = f"""e AS ({_ALL}), h AS MATERIALIZED (SELECT a.id AS i, b.id AS j, exp(-{_D2.format("a.v", "b.v")} / (2 * 0.17::DOUBLE * 0.17::DOUBLE)) AS a FROM e a, e b WHERE a.id < b.id),

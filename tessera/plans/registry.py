@@ -1,8 +1,9 @@
 """Named queries over the driver's tables: one or more for each operator.
 
-Vectors are the embeddings as doubles, the whole of them but for mixtures, which
-are fitted in the plane of the first two coordinates (with 64, the clusters of
-the given tables have singular covariances, and every model is the same).
+Vectors are the embeddings as doubles. Mixtures are fitted in all their
+coordinates (gmm_mstep_all, gmm_fit, gmm_select_k, gmm_select_labels); the other
+mixture queries are of the plane of the first two, where SQL can check every
+number.
 Sequences are the letters A, C, G and T of a whole text. Results are rounded to six
 decimals, with +0.0 so that -0.0 doesn't show.
 """
@@ -112,12 +113,15 @@ def log_sum_exp(spark, sf):
 
 @query
 def adaptive_rates(spark, sf):
-    rate, bar = F.lit(100.0), F.lit(0.0)
-    df = embeddings(spark, sf)
-    for i in range(4):
-        df = df.withColumn(f"r{i}", vec.adapt_rate(rate, bar, F.element_at("v", i + 1))[0]).withColumn(f"b{i}", vec.adapt_rate(rate, bar, F.element_at("v", i + 1))[1])
-        rate, bar = F.col(f"r{i}"), F.col(f"b{i}")
-    return df.select("id", rounded(rate).alias("rate"), rounded(bar).alias("bar"))
+    """The rate and the averaged gradient after every coordinate of a vector, taken as gradients."""
+    start = F.struct(F.lit(100.0).alias("rate"), F.lit(0.0).alias("bar"))
+
+    def step(s: Column, g: Column) -> Column:
+        rate, bar = vec.adapt_rate(s["rate"], s["bar"], g)
+        return F.struct(rate.alias("rate"), bar.alias("bar"))
+
+    done = embeddings(spark, sf).select("id", F.aggregate("v", start, step).alias("s"))
+    return done.select("id", rounded(F.col("s.rate")).alias("rate"), rounded(F.col("s.bar")).alias("bar"))
 
 
 @query
@@ -133,10 +137,15 @@ def seq_revcomp(spark, sf):
 
 @query
 def match_scores(spark, sf):
-    a, b = F.substring("text", 1, 1), F.substring("text", 2, 1)
-    i = table(spark, sf, "documents").select("doc_id", sq.match_score(a, b).alias("score"), sq.encode(a).cast("int").alias("x"), sq.encode(b).cast("int").alias("y"))
+    """Of each text the sums of plain and coded scores of all neighbouring characters."""
     flat = F.array(*(F.lit(v) for row in sq.score_matrix() for v in row))
-    return i.select("doc_id", "score", F.element_at(flat, F.coalesce(F.col("x") * 5 + F.col("y"), F.lit(24)) + 1).alias("coded"))
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    docs = table(spark, sf, "documents").select("doc_id", letters.alias("c")).select("doc_id", "c", F.transform("c", lambda c: sq.encode(c).cast("int")).alias("n"))
+    docs = docs.select("doc_id", *(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))).alias(f"{x}1") for x in "cn"), *(F.slice(x, 2, F.size(x)).alias(f"{x}2") for x in "cn"))
+    plain = F.zip_with("c1", "c2", lambda a, b: sq.match_score(a, b))
+    coded = F.zip_with("n1", "n2", lambda a, b: F.element_at(flat, a * 5 + b + 1))
+    total = [F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y).alias(name) for x, name in ((plain, "score"), (coded, "coded"))]
+    return docs.select("doc_id", *total)
 
 
 @query
@@ -270,15 +279,38 @@ def gmm_em_1iter(spark, sf):
     return out.select("k", *(rounded(F.col(c)).alias(c) for c in out.columns[1:]))
 
 
+@query
+def gmm_dump(spark, sf):
+    """The whole model in long form, responsibilities included."""
+    df, m = _mixture(spark, sf)
+    return gmm.dump(df, m).select("part", "k", "i", "j", rounded(F.col("x")).alias("x"))
+
+
+@query
+def gmm_mstep_all(spark, sf):
+    """The mixture of the given labels in all coordinates; a component of no more rows than coordinates is degenerate."""
+    df = embeddings(spark, sf)
+    m = gmm.m_step_labels(df, 10)
+    return m.long_table(spark).where("part in ('pi', 'mean', 'cov')").select("part", "k", "i", "j", rounded(F.col("x")).alias("x"))
+
+
 @query
 def gmm_fit(spark, sf):
-    m, _, _ = gmm.fit(embeddings(spark, sf, 2), 10)
+    m, _, _ = gmm.fit(embeddings(spark, sf), 10, max_iter=10)
     return m.table(spark)
 
 
 @query
 def gmm_select_k(spark, sf):
-    return gmm.select(embeddings(spark, sf, 4).drop("label"), ks=range(1, 5))
+    return gmm.select(embeddings(spark, sf).drop("label"), ks=range(1, 7), max_iter=10, start_turns=3)
+
+
+@query
+def gmm_select_labels(spark, sf):
+    """The choice of K from labels that are given: label modulo K."""
+    df = embeddings(spark, sf)
+    labels = df.select(F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k"), "id", "label").select("k", "id", (F.col("label") % F.col("k")).alias("label"))
+    return gmm.select(df.drop("label"), labels, ks=range(1, 9), max_iter=10)
 
 
 @query

@@ -72,6 +72,19 @@ def test_likelihood_never_falls(spark):
     assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False))
 
 
+def test_dump(spark):
+    x = [[0.0, 0.0], [0.2, 0.1], [0.1, 0.3], [9.0, 9.0], [9.2, 9.1], [9.1, 8.8]]
+    df = spark.createDataFrame([(i + 10, v, i // 3) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    m = gmm.m_step_labels(df, 2)
+    got = {(r.part, r.k, r.i, r.j): r.x for r in gmm.dump(df, m).collect()}
+    gamma = {key: v for key, v in got.items() if key[0] == "gamma"}
+    assert set(gamma) == {("gamma", i // 3, i + 10, None) for i in range(6)} and all(abs(v - 1) < 1e-4 for v in gamma.values())
+    assert got["pi", 1, None, None] == 0.5 and np.isclose(got["cov", 0, 0, 1], m.cov[0, 0, 1]) and len(got) == 2 * (2 + 2 + 4) + 6
+    table = gmm.select(df.drop("label"), df.selectExpr("2 as k", "id", "label"), ks=[2], max_iter=1)
+    assert [r.converged for r in table.collect()] == [False]
+    assert gmm.select(df.drop("label"), df.selectExpr("2 as k", "id", "label"), ks=[2]).first().converged
+
+
 def test_negative_form(spark):
     bad = gmm.Mixture(np.array([1.0]), np.zeros((1, 1)), np.eye(1)[None], -np.eye(1)[None], np.zeros(1))
     assert bad.log_densities(np.ones((1, 1)))[0, 0] == -np.inf
