@@ -7,14 +7,14 @@ class table, and hashed all at once from prefix sums of a polynomial modulo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -233,9 +233,14 @@ def unsqueeze(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(b.reshape(w, -1).T).view(dtype).ravel() if len(b) else np.zeros(0, dtype)
 
 
-def unmatched(docs: DataFrame, rows: DataFrame, id_col: str, column: str, how: str = "left_anti") -> DataFrame:
-    """docs without (or with "left_semi" only with) what `rows` (id, row_key) names: an id, null equal to null, and a text's xxhash64."""
+def row_key(text: Column, *also: Column) -> Column:
+    """A 64-bit hash of a text and of further columns, null or not."""
+    return F.xxhash64(text.cast("string"), *(part for c in also for part in (c.cast("string"), c.isNull())))
+
+
+def unmatched(docs: DataFrame, rows: DataFrame, id_col: str, column: str, how: str = "left_anti", also: Sequence[str] = ()) -> DataFrame:
+    """docs without (or with "left_semi" only with) what `rows` (id, row_key) names: an id, null equal to null, and row_key() of a text and of the columns in `also`."""
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in (f"gone{i}" for i in range(len(taken) + 1)) if not any(c.startswith(n) for c in taken))
     rows = rows.select(F.col("id").alias(f"{name}_id"), F.col("row_key").alias(f"{name}_key")).distinct()
-    return docs.join(rows, docs[id_col].eqNullSafe(F.col(f"{name}_id")) & (F.xxhash64(docs[column].cast("string")) == F.col(f"{name}_key")), how)
+    return docs.join(rows, docs[id_col].eqNullSafe(F.col(f"{name}_id")) & (row_key(docs[column], *(docs[c] for c in also)) == F.col(f"{name}_key")), how)
