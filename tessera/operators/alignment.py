@@ -53,11 +53,16 @@ def _costs(match: int, mismatch: int, scoring: Sequence[Sequence[int]] | None, a
     return coding.checked(np.array(score_matrix(match, mismatch) if scoring is None else scoring)), coding
 
 
-def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5):
-    """align_linear(t, q): the best local alignment with a cost for each gap position; null positions at score 0."""
+def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5, score: k.Score | None = None):
+    """align_linear(t, q): the best local alignment with a cost for each gap position; null positions at score 0.
+
+    score takes arrays of target and query code points that broadcast, and
+    gives whole numbers; by default match and mismatch.
+    """
+    score = score or k.equality(match, mismatch)
 
     def align(t: list[str], q: list[str]) -> np.ndarray:
-        return k.local_linear(*k.pack(t), *k.pack(q), match, mismatch, gap)
+        return k.local_linear(*k.pack(t), *k.pack(q), score, gap)
 
     @pandas_udf(LINEAR_TYPE)
     def align_linear(t: pd.Series, q: pd.Series) -> pd.DataFrame:
@@ -69,13 +74,13 @@ def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5):
     return align_linear
 
 
-def affine_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, stop_score: int | None = None):
+def affine_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, stop_score: int | None = None, lanes: str = "auto"):
     """align_affine(t, q): the best local alignment with affine gaps, its runner-up and its starts."""
     mat, coding = _costs(match, mismatch, scoring, alphabet)
     gaps = _gaps(gap_open, gap_ext, ins_open, ins_ext)
 
     def align(t: list[str], q: list[str]) -> np.ndarray:
-        return k.local_affine(*k.pack(t, coding), *k.pack(q, coding), mat, gaps, min_score, starts, byte_mode, stop_score)
+        return k.local_affine(*k.pack(t, coding), *k.pack(q, coding), mat, gaps, min_score, starts, byte_mode, stop_score, lanes)
 
     @pandas_udf(AFFINE_TYPE)
     def align_affine(t: pd.Series, q: pd.Series) -> pd.DataFrame:
@@ -150,18 +155,18 @@ def _pairs(targets: DataFrame, queries: DataFrame, name: str, seq: str, spread:
     return q.crossJoin(t)
 
 
-def align_local_linear(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap: int = 5, name: str = "name", seq: str = "seq", spread: bool = True) -> DataFrame:
+def align_local_linear(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap: int = 5, name: str = "name", seq: str = "seq", spread: bool = True, score: k.Score | None = None) -> DataFrame:
     """Every target against every query: t_name, t_start, t_end, q_name, q_start, q_end, score.
 
     Characters are compared as they are: case matters and N matches N. Every
-    pair has a row; at score 0 the positions are null.
+    pair has a row; at score 0 the positions are null. score: see linear_udf().
     """
     ship(targets.sparkSession)
-    hit = _pairs(targets, queries, name, seq, spread).withColumn("hit", linear_udf(match, mismatch, gap)("t_seq", "q_seq"))
+    hit = _pairs(targets, queries, name, seq, spread).withColumn("hit", linear_udf(match, mismatch, gap, score)("t_seq", "q_seq"))
     return hit.select("t_name", "hit.t_start", "hit.t_end", "q_name", "hit.q_start", "hit.q_end", "hit.score")
 
 
-def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int = 0, forward_only: bool = False, byte_mode: bool = False, name: str = "name", seq: str = "seq", spread: bool = True, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, complement: tuple[str, str] | None = None, stop_score: int | None = None) -> DataFrame:
+def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: int = 2, min_score: int = 0, forward_only: bool = False, byte_mode: bool = False, name: str = "name", seq: str = "seq", spread: bool = True, ins_open: int | None = None, ins_ext: int | None = None, scoring: Sequence[Sequence[int]] | None = None, alphabet: str | None = None, complement: tuple[str, str] | None = None, stop_score: int | None = None, lanes: str = "auto") -> DataFrame:
     """Every target against every query, on both strands unless forward_only: pairs of at least min_score.
 
     Columns t_name, t_start, t_end, q_name, q_start, q_end, score, score2,
@@ -174,7 +179,8 @@ def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, m
     and scoring has a row for each and a last one for all others. The reverse
     strand swaps letters by `complement` (two strings, nucleotides by default);
     an alphabet without one has the forward strand only. stop_score ends a pair
-    at the first row that reaches it.
+    at the first row that reaches it. lanes: the width of scores, see
+    kernels.local_affine().
     """
     ship(targets.sparkSession)
     floor = min(min_score, 0xFFFF)
@@ -183,7 +189,7 @@ def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, m
     pairs = _pairs(targets, queries, name, seq, spread).withColumn("strand", F.explode(F.array(*map(F.lit, strands))))
     turned = F.reverse(F.translate(F.col("q_seq"), *pair)) if pair else F.col("q_seq")
     pairs = pairs.withColumn("q_used", F.when(F.col("strand") == "+", F.col("q_seq")).otherwise(turned))
-    align = affine_udf(match, mismatch, gap_open, gap_ext, floor, True, byte_mode, ins_open, ins_ext, scoring, alphabet, stop_score)
+    align = affine_udf(match, mismatch, gap_open, gap_ext, floor, True, byte_mode, ins_open, ins_ext, scoring, alphabet, stop_score, lanes)
     hit = pairs.withColumn("hit", align("t_seq", "q_used")).where(F.col("hit.score") >= floor)
     n, fwd = F.length("q_seq"), F.col("strand") == "+"
     return hit.select(

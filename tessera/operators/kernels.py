@@ -71,7 +71,16 @@ def batches(lengths: Sequence[tuple[int, int]], cells: int = 4_000_000, kept: in
         yield np.array(group)
 
 
-def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, match: int, mismatch: int, gap: int) -> np.ndarray:
+#: scores of target characters against query characters, code points that broadcast
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def equality(match: int, mismatch: int) -> Score:
+    """match for equal characters, -mismatch for others."""
+    return lambda t, q: np.where(t == q, np.int32(match), np.int32(-mismatch))
+
+
+def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, score: Score, gap: int) -> np.ndarray:
     """(target start, end, query start, end, score) of each pair's best local alignment.
 
     The end is the first cell in row-major order with the largest score; the
@@ -85,9 +94,9 @@ def local_linear(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
     oi = np.zeros((b, n + 1), np.int32)
     oj = np.tile(col, (b, 1))
     best = np.zeros((b, 5), np.int64)
-    match, mismatch, gap = np.int32(match), np.int32(mismatch), np.int32(gap)
+    gap = np.int32(gap)
     for i in range(1, m + 1):
-        s = np.where(t[:, i - 1 : i] == q, match, -mismatch)
+        s = np.asarray(score(t[:, i - 1 : i], q), np.int32)
         diag = np.where(inside, h[:, :-1] + s, np.int32(NEVER))
         up = h - gap
         top = np.maximum(up, 0)
@@ -145,29 +154,87 @@ def _affine_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
         going = np.ones(len(pairs), bool) if told is None else told
 
 
+#: scores that 8 and 16 bits hold; a pair that comes near the end of one is aligned again in the next
+LANES = {"int8": np.int8, "int16": np.int16, "int32": np.int32}
+
+
+def _fits(lane: type, mat: np.ndarray, gaps: tuple[int, int, int, int]) -> bool:
+    """Whether no cost alone exceeds a lane."""
+    most = np.iinfo(lane).max
+    return max(gaps[0] + gaps[1], gaps[2] + gaps[3], int(np.abs(mat).max())) < most
+
+
+def _narrow_rows(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], lane: type) -> Generator[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray | None, None]:
+    """_affine_rows() in lanes of 8 or 16 bits, while no score exceeds the lane less the best match.
+
+    Every query's scores against each letter are looked up once, and a gap in
+    the query is found in steps that double, so that no number grows with the
+    position.
+    """
+    od, ed, oi, ei = gaps
+    most, n = int(np.iinfo(lane).max), q.shape[1]
+    pairs = np.arange(len(tn))
+    inside = (np.arange(n) < qn[:, None]).astype(lane)
+    profile = np.ascontiguousarray(np.where(inside > 0, mat.astype(lane)[:, q], np.iinfo(lane).min).transpose(1, 0, 2))
+    h = np.zeros((len(tn), n + 1), lane)
+    e = np.zeros((len(tn), n), lane)
+    going = tn > 0
+    for i in range(t.shape[1]):
+        going &= tn > i
+        if not going.all():
+            pairs, t, tn, inside, profile, h, e = (x[going] for x in (pairs, t, tn, inside, profile, h, e))
+        if not len(pairs):
+            return
+        rows = np.arange(len(pairs))
+        new = h[:, :-1] + profile[rows, t[:, i]]
+        np.maximum(new, e, out=new)
+        np.maximum(new, 0, out=new)
+        f = np.zeros_like(new)
+        np.maximum(new[:, :-1] - lane(oi + ei), 0, out=f[:, 1:])
+        step = 1
+        while step < n and ei * step < most:
+            np.maximum(f[:, step:], f[:, :-step] - lane(ei * step), out=f[:, step:])
+            step *= 2
+        np.maximum(new, f, out=new)
+        new *= inside
+        e = np.maximum(np.maximum(e - lane(ed), new - lane(od + ed)), 0)
+        h[:, 1:] = new
+        j = new.argmax(1) if n else np.zeros(len(pairs), np.int64)
+        top = new[rows, j].astype(np.int64) if n else np.zeros(len(pairs), np.int64)
+        told = yield pairs, top, j
+        going = np.ones(len(pairs), bool) if told is None else told
+
+
+def _rows(lane: type, t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int]) -> Generator:
+    return _affine_rows(t, tn, q, qn, mat, gaps) if lane is np.int32 else _narrow_rows(t, tn, q, qn, mat, gaps, lane)
+
+
 def _reversed_prefix(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Each row's first n codes in reverse; the rest is padding."""
     at = n[:, None] - 1 - np.arange(x.shape[1])
     return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), 1), 0).astype(x.dtype) if x.shape[1] else x
 
 
-def _best_rows(rows: Generator, b: int, stop: np.ndarray, each: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair the largest row maximum, its first row and query index; a pair that reaches its `stop` ends there."""
+def _best_rows(rows: Generator, b: int, stop: np.ndarray, each: Callable[[int, np.ndarray, np.ndarray], None] | None = None, ceiling: int = 1 << 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair the largest row maximum, its first row and query index, and whether it left above the ceiling; a pair that reaches its `stop` ends there."""
     score, te, qe = np.zeros(b, np.int64), np.full(b, -1), np.zeros(b, np.int64)
+    above = np.zeros(b, bool)
     told, i = None, 0
     while True:
         try:
             pairs, top, j = rows.send(told)
         except StopIteration:
-            return score, te, qe
+            return score, te, qe, above
         if each:
             each(i, pairs, top)
         up = top > score[pairs]
         score[pairs[up]], te[pairs[up]], qe[pairs[up]] = top[up], i, j[up]
-        told, i = ~(up & (top >= stop[pairs])), i + 1
+        ended = up & (top >= stop[pairs])
+        above[pairs] = ~ended & (top > ceiling)
+        told, i = ~(ended | above[pairs]), i + 1
 
 
-def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, stop_score: int | None = None) -> np.ndarray:
+def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], min_score: int | None = 0, starts: bool = True, byte_mode: bool = False, stop_score: int | None = None, lanes: str = "auto") -> np.ndarray:
     """(score, te, qe, score2, te2, tb, qb) of each pair; what is unset is -1.
 
     te is the first target row with the largest score, qe the first query
@@ -176,8 +243,27 @@ def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
     next to each other merge into the better one. Starts come from aligning
     the reversed prefixes, and stay unset under min_score. A pair ends at the
     first row with a new best score of stop_score or more: what follows isn't
-    seen. In byte mode scores saturate at 255, as 8-bit lanes do.
+    seen. In byte mode scores saturate at 255.
+
+    lanes: the width that scores are computed in, "int8", "int16" or "int32";
+    pairs whose score outgrows it are aligned again in the next. "auto" starts
+    with the narrowest that holds every cost, and gives the same results.
     """
+    if lanes != "auto" and lanes not in LANES:
+        raise ValueError(f"lanes must be auto or one of {', '.join(LANES)}")
+    names = list(LANES)[0 if lanes == "auto" else list(LANES).index(lanes) :]
+    out, left = np.zeros((len(tn), 7), np.int64), np.arange(len(tn))
+    for lane in (LANES[n] for n in names):
+        if not len(left) or lane is not np.int32 and not _fits(lane, mat, gaps):
+            continue
+        got, above = _local_affine(lane, t[left], tn[left], q[left], qn[left], mat, gaps, min_score, starts, byte_mode, stop_score)
+        out[left[~above]] = got[~above]
+        left = left[above]
+    return out
+
+
+def _local_affine(lane: type, t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, mat: np.ndarray, gaps: tuple[int, int, int, int], min_score: int | None, starts: bool, byte_mode: bool, stop_score: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """local_affine() in one width, and which pairs outgrew it."""
     b, m = len(tn), t.shape[1]
     entry_score, entry_row, entries = np.full((b, m + 1), -1), np.full((b, m + 1), -2), np.zeros(b, np.int64)
     shift = -int(mat.min())
@@ -194,7 +280,8 @@ def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
         entries[new] += 1
 
     limit = min(255 - shift if byte_mode else 1 << 60, 1 << 60 if stop_score is None else stop_score)
-    score, te, qe = _best_rows(_affine_rows(t, tn, q, qn, mat, gaps), b, np.full(b, limit), record if min_score is not None else None)
+    ceiling = 1 << 60 if lane is np.int32 else int(np.iinfo(lane).max) - max(int(mat.max()), 0)
+    score, te, qe, above = _best_rows(_rows(lane, t, tn, q, qn, mat, gaps), b, np.full(b, limit), record if min_score is not None else None, ceiling)
     full = (score + shift >= 255) & byte_mode
     score, qe = np.where(full, 255, score), np.where(full, -1, qe)
     score2, te2 = np.full(b, -1), np.full(b, -1)
@@ -207,15 +294,15 @@ def local_affine(t: np.ndarray, tn: np.ndarray, q: np.ndarray, qn: np.ndarray, m
         found = rest[at, pick] > -1
         score2[found], te2[found] = rest[at, pick][found], entry_row[at, pick][found]
     tb, qb = np.full(b, -1), np.full(b, -1)
-    wanted = ~full if min_score is None else ~full & (score >= min_score)
+    wanted = ~full & ~above & (True if min_score is None else score >= min_score)
     if starts and wanted.any():
         w = np.flatnonzero(wanted)
         # the way back ends where it reaches the score
-        back = _affine_rows(_reversed_prefix(t[w], te[w] + 1), te[w] + 1, _reversed_prefix(q[w], qe[w] + 1), qe[w] + 1, mat, gaps)
-        back_score, back_te, back_qe = _best_rows(back, len(w), score[w])
+        back = _rows(lane, _reversed_prefix(t[w], te[w] + 1), te[w] + 1, _reversed_prefix(q[w], qe[w] + 1), qe[w] + 1, mat, gaps)
+        back_score, back_te, back_qe, _ = _best_rows(back, len(w), score[w])
         same = back_score == score[w]
         tb[w[same]], qb[w[same]] = (te[w] - back_te)[same], (qe[w] - back_qe)[same]
-    return np.stack([score, te, qe, score2, te2, tb, qb], 1)
+    return np.stack([score, te, qe, score2, te2, tb, qb], 1), above
 
 
 def _windows(lengths: np.ndarray, i: int) -> int:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -66,7 +67,7 @@ def test_linear_matches_cells():
     rng = random.Random(1)
     for costs in ((1, 3, 5), (2, 1, 1), (5, 4, 2), (1, 1, 1)):
         pairs = [(rand(rng, 1, 30, "ACG"), rand(rng, 1, 30, "ACG")) for _ in range(150)]
-        got = k.local_linear(*k.pack([t for t, _ in pairs]), *k.pack([q for _, q in pairs]), *costs)
+        got = k.local_linear(*k.pack([t for t, _ in pairs]), *k.pack([q for _, q in pairs]), k.equality(*costs[:2]), costs[2])
         assert [tuple(r) for r in got.tolist()] == [slow_linear(t, q, *costs) for t, q in pairs]
 
 
@@ -289,6 +290,50 @@ def test_stop_score():
     assert rows(3) < rows(5) < rows(1 << 60) == tn.sum()
 
 
+def test_lanes_agree_and_narrow_ones_are_faster():
+    rng = random.Random(14)
+    same = "".join(rng.choices("ACGT", k=320))
+    pairs = [(rand(rng, 1, 60), rand(rng, 1, 60)) for _ in range(40)] + [(rand(rng, 100, 300), rand(rng, 100, 300)) for _ in range(20)]
+    pairs += [(same, same), (same[:150], same), (same[:126], same[:126]), (same[:127], same[:127]), ("", "A"), ("A", "")]
+    t, tn = k.pack([t for t, _ in pairs], k.NUCLEOTIDES)
+    q, qn = k.pack([q for _, q in pairs], k.NUCLEOTIDES)
+    for mat, gaps in ((np.array(score_matrix()), (5, 2, 5, 2)), (np.array(score_matrix(120, 100)), (3, 1, 4, 0)), (np.array(score_matrix(2, 3)), (200, 1, 5, 2))):
+        for more in ({}, {"stop_score": 9}, {"byte_mode": True}):
+            want = k.local_affine(t, tn, q, qn, mat, gaps, 3, lanes="int32", **more)
+            for lanes in ("auto", "int8", "int16"):
+                assert (k.local_affine(t, tn, q, qn, mat, gaps, 3, lanes=lanes, **more) == want).all()
+    assert k.local_affine(t, tn, q, qn, np.array(score_matrix(120, 100)), (3, 1, 4, 0), 3)[:, 0].max() > 2**15
+    with pytest.raises(ValueError, match="lanes"):
+        k.local_affine(t, tn, q, qn, mat, gaps, lanes="int64")
+    t, tn = k.pack(["".join(rng.choices("ACGT", k=300)) for _ in range(200)], k.NUCLEOTIDES)
+    q, qn = k.pack(["".join(rng.choices("ACGT", k=300)) for _ in range(200)], k.NUCLEOTIDES)
+
+    def seconds(lanes):
+        began = time.perf_counter()
+        k.local_affine(t, tn, q, qn, np.array(score_matrix()), (5, 2, 5, 2), 3, lanes=lanes)
+        return time.perf_counter() - began
+
+    narrow, wide = (min(seconds(x) for _ in range(3)) for x in ("int8", "int32"))
+    print(f"int8 {narrow:.3f} s, int32 {wide:.3f} s")
+    assert narrow < wide
+
+
+def test_scoring_function(spark):
+    rng = random.Random(15)
+    df = spark.createDataFrame([(rand(rng, 1, 20), rand(rng, 1, 20)) for _ in range(30)], "t string, q string")
+
+    def transitions(t, q):
+        """A and G, and C and T, half match."""
+        kind = np.isin(t, [ord("A"), ord("G")]) == np.isin(q, [ord("A"), ord("G")])
+        return np.where(t == q, 2, np.where(kind, 1, -3))
+
+    mine = al.linear_udf(score=lambda t, q: np.where(t == q, 1, -3))
+    got = df.select(al.linear_udf()("t", "q").alias("a"), mine("t", "q").alias("b"), al.linear_udf(score=transitions)("t", "q").alias("c")).collect()
+    assert all(r.a == r.b for r in got) and any(r.c.score > 2 * r.a.score for r in got)
+    one = df.sparkSession.createDataFrame([("x", "AGAG")], "name string, seq string"), df.sparkSession.createDataFrame([("y", "GGGG")], "name string, seq string")
+    assert al.align_local_linear(*one, score=transitions).first().score == 6
+
+
 def test_any_characters_and_alphabets(spark):
     rng = random.Random(13)
     pairs = [("".join(rng.choices("中文字é?aß🦀", k=rng.randint(1, 12))), "".join(rng.choices("中文字é?aß🦀", k=rng.randint(1, 12)))) for _ in range(60)]
