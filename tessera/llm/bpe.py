@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks as bl
-from tessera.llm.core import buffers, mix64, slices, squeeze, unsqueeze
+from tessera.llm.core import buffers, mix64, resident, slices, squeeze, unsqueeze
 from tessera.runtime import Scratch, ship
 
 #: one byte in so many ends a chunk, on average; bytes the rolling hash sees
@@ -233,6 +233,9 @@ def _codec(spec: str) -> Codec:
     return Codec(spec)
 
 
+resident("bpe", _codec.cache_clear)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", ids: bool = True, sizes: bl.Sizes = bl.Sizes(), made: Accumulator | None = None) -> DataFrame:
     """docs with ids (array of int, if asked for), n_tokens, ids_sha256 and decoded_sha256 of each text.
 

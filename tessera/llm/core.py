@@ -7,7 +7,8 @@ class table, and hashed all at once from prefix sums of a polynomial modulo
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -233,6 +234,28 @@ def unsqueeze(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(b.reshape(w, -1).T).view(dtype).ravel() if len(b) else np.zeros(0, dtype)
 
 
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def resident(owner: str, clear: Callable[[], None]) -> None:
+    """Name what an operator keeps in a Python worker from task to task, and how it is let go."""
+    _resident[owner] = clear
+
+
+def make_room(owner: str | None = None) -> None:
+    """Let go what operators other than the owner keep in this worker, and give freed memory back.
+
+    Workers live on from query to query, so that models of earlier stages would
+    stay in memory beside those of the next.
+    """
+    for other, clear in _resident.items():
+        if other != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def row_key(text: Column, *also: Column) -> Column:
     """A 64-bit hash of a text and of further columns, null or not."""
     return F.xxhash64(text.cast("string"), *(part for c in also for part in (c.cast("string"), c.isNull())))

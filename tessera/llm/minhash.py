@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.core import Words, buffers, mix64, slices, span_hash, squeeze, unmatched, unsqueeze, window_hash
+from tessera.llm.core import Words, buffers, make_room, mix64, slices, span_hash, squeeze, unmatched, unsqueeze, window_hash
 from tessera.llm.urls import BlockedBloom
 from tessera.runtime import Scratch, ship
 
@@ -98,6 +98,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(id, row_key, n, nid, sig, sketch) of each row: nid names its set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 values, cut = shingle_sets(part.column("text"), width)
