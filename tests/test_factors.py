@@ -88,6 +88,32 @@ def test_find_sigma_in_spark(points, monkeypatch):
     assert tsne.find_sigma(tsne.pair_distances(points), 3) == (tsne.LOW_SIGMA + 50.000005) / 2
 
 
+@pytest.fixture
+def many(spark, monkeypatch):
+    """300 points with an embedding, in blocks of some 32."""
+    monkeypatch.setattr(tsne, "SMALL", 32)
+    monkeypatch.setattr(tsne, "TILE", 500)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 6)), rng.normal(size=(300, 2))
+    return x, y, spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(300)], "id long, v array<double>, y array<double>").cache()
+
+
+def _written(monkeypatch):
+    """The names of tables that t-SNE writes from here on."""
+    names, write = [], tsne.Scratch.write
+    monkeypatch.setattr(tsne.Scratch, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    return names
+
+
+def test_pairs_are_not_written(many, monkeypatch):
+    x, y, df = many
+    names = _written(monkeypatch)
+    assert tsne.pair_distances(df).count() == tsne.joint_q(df).count() / 2 == 300 * 299 / 2
+    q = tsne.pairs_to_matrix([(r["i"], r["j"], r["q"]) for r in tsne.joint_q(df).collect()], 300)
+    a = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2)) - np.eye(300)
+    assert np.allclose(q, a / a.sum(), rtol=1e-12) and not names
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
