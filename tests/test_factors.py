@@ -114,6 +114,16 @@ def test_pairs_are_not_written(many, monkeypatch):
     assert np.allclose(q, a / a.sum(), rtol=1e-12) and not names
 
 
+def test_affinities_of_points(many, monkeypatch):
+    x, _, df = many
+    want = tsne.pairs_to_matrix(map(tuple, tsne.affinities(tsne.pair_distances(df).cache(), 1.1, 300).collect()), 300)
+    names = _written(monkeypatch)
+    got = tsne.point_affinities(df, 1.1, 300).collect()
+    assert len(got) == 300 * 299 and np.allclose(tsne.pairs_to_matrix(map(tuple, got), 300), want, rtol=1e-9, atol=0) and not names
+    none = tsne.point_affinities(df, 1e-5, 300).collect()  # a row of zeros stays
+    assert len(none) == 300 * 299 and not any(r["p"] for r in none)
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
