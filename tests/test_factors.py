@@ -124,6 +124,17 @@ def test_affinities_of_points(many, monkeypatch):
     assert len(none) == 300 * 299 and not any(r["p"] for r in none)
 
 
+def test_divergence_and_gradient_of_points(many, monkeypatch):
+    _, _, df = many
+    p, q = tsne.point_affinities(df, 1.1, 300).cache(), tsne.joint_q(df).cache()
+    kl = tsne.kl(p, q).first()[0]
+    want = {r["i"]: r["grad"] for r in tsne.gradient(p, q, df).collect()}
+    names = _written(monkeypatch)
+    assert abs(tsne.point_kl(df, 1.1, 300).first()[0] - kl) < 1e-11
+    got = {r["i"]: r["grad"] for r in tsne.point_gradient(df, 1.1, 300).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-9, atol=1e-14) for i in want) and not names
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
