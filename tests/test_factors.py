@@ -135,6 +135,15 @@ def test_divergence_and_gradient_of_points(many, monkeypatch):
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-9, atol=1e-14) for i in want) and not names
 
 
+def test_perplexity_of_points(many):
+    _, _, df = many
+    d = tsne.pair_distances(df).cache()
+    for sigma in (0.02, 0.3, 1.1, 40.0):
+        assert abs(tsne.point_perplexity(df, sigma).first()[0] - tsne.perplexity(tsne.conditional(d, sigma)).first()[0]) < 1e-9
+    assert tsne.point_perplexity(df, 1e-5).first()[0] == 1.0
+    assert tsne.point_perplexity(df.limit(1), 1.0).first()[0] is None
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
