@@ -144,6 +144,17 @@ def test_perplexity_of_points(many):
     assert tsne.point_perplexity(df.limit(1), 1.0).first()[0] is None
 
 
+def test_sigma_of_points(many, points, monkeypatch):
+    x, _, df = many
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    asked, looked = [], tsne._perplexities
+    monkeypatch.setattr(tsne, "_perplexities", lambda cells, sigmas: asked.append(sigmas) or looked(cells, sigmas))
+    assert tsne.point_sigma(df, 10.0) == tsne.find_sigma_local(d2, 10.0)
+    assert len(asked) < 16  # a bisection takes 30
+    monkeypatch.setattr(tsne, "SIGMA_WIDTH", 30.0)
+    assert tsne.point_sigma(points, 3) == tsne.find_sigma(tsne.pair_distances(points), 3)
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
