@@ -85,6 +85,29 @@ def test_dump(spark):
     assert gmm.select(df.drop("label"), df.selectExpr("2 as k", "id", "label"), ks=[2]).first().converged
 
 
+def test_labels_are_joined_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) + 4 * (np.arange(60) % 2)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    labels = spark.range(60).selectExpr("explode(array(1, 2, 3)) as k", "id").selectExpr("k", "id", "cast(id % k as int) as label")
+    one = {k: gmm.information_criterion(gmm.fit(df.join(labels.where(f"k = {k}"), "id"), k, max_iter=4)[1], k, 3, 60) for k in (1, 2)}
+    plans, moments = [], gmm._moments
+    monkeypatch.setattr(gmm, "_moments", lambda df, *rest: plans.append((df._jdf.queryExecution().optimizedPlan().toString(), df.columns)) or moments(df, *rest))
+    got = {r["k"]: r["ic"] for r in gmm.select(df, labels, ks=(1, 2), max_iter=4).collect()}
+    assert got.keys() == one.keys() and all(abs(got[k] - one[k]) < 1e-8 for k in one)
+    assert plans and not any("Join" in p for p, _ in plans)
+    assert sum("label" in c for _, c in plans) == 2  # the first step of each fit alone reads labels
+
+
+def test_log_densities_take_a_product_a_component():
+    rng = np.random.default_rng(4)
+    x, a = rng.normal(size=(50, 6)), rng.normal(size=(3, 6, 6))
+    cov = a @ a.transpose(0, 2, 1) + np.eye(6)
+    m = gmm.Mixture.of(np.ones(3) / 3, rng.normal(size=(3, 6)), cov)
+    want = [[-0.5 * (m.log_det[k] + 6 * np.log(2 * np.pi) + (r - m.means[k]) @ m.inverse[k] @ (r - m.means[k])) for k in range(3)] for r in x]
+    assert np.allclose(m.log_densities(x), want, rtol=1e-12)
+
+
 def test_negative_form(spark):
     bad = gmm.Mixture(np.array([1.0]), np.zeros((1, 1)), np.eye(1)[None], -np.eye(1)[None], np.zeros(1))
     assert bad.log_densities(np.ones((1, 1)))[0, 0] == -np.inf
