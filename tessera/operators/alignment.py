@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -199,6 +200,35 @@ def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, m
     )
 
 
+def neighbour_scores(df: DataFrame, key: str, text: str = "text", match: int = 1, mismatch: int = 3) -> DataFrame:
+    """(key, score, coded) of each text: the sums of plain and of coded scores of all neighbouring characters; 0 without any.
+
+    Plain scores compare code points; coded ones are those of nucleotides of
+    either case, all other characters being ambiguous.
+    """
+    ship(df.sparkSession)
+    code = np.full(129, 4)
+    for n, letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
+        code[[ord(x) for x in letters]] = n
+    scores = np.array(score_matrix(match, mismatch))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            edge = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+            chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            left, right = chars[:-1], chars[1:]
+            coded = code[np.minimum(chars, 128)]
+            sums = []
+            for each in (np.where(left == right, match, -mismatch), scores[coded[:-1], coded[1:]]):
+                upto = np.concatenate([[0], np.cumsum(each)])  # of the pairs that begin before a character
+                sums.append(np.where(edge[1:] > edge[:-1], upto[np.maximum(edge[1:] - 1, 0)] - upto[np.minimum(edge[:-1], len(upto) - 1)], 0))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x.astype(np.int64)) for x in sums)], [key, "score", "coded"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(key, rows.schema["key"].dataType), T.StructField("score", T.LongType()), T.StructField("coded", T.LongType())]))
+
+
 def linear_score_expression(t: F.Column, q: F.Column, match: int = 1, mismatch: int = 3, gap: int = 5):
     """The local score alone, as a fold over the target in the JVM: for short sequences."""
     letters = F.split(q, "")

@@ -381,3 +381,20 @@ def test_all_pairs_filters_and_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n
+
+
+def test_neighbour_scores(spark):
+    texts = ["", None, "A", "AaCC", "gGtT xx", "", "\u00e9\u00e9A\U0001f600\U0001f600", "TTTT", None, "A\nA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = al.neighbour_scores(df, "id")
+    matrix, codes = score_matrix(), ["ACGT".find(c.upper()) % 5 for c in map(chr, range(128))]
+
+    def code(c):
+        return codes[ord(c)] if ord(c) < 128 else 4
+
+    want = []
+    for i, x in enumerate(texts):
+        pairs = list(zip(x or "", (x or "")[1:], strict=False))
+        want.append((i, sum(1 if a == b else -3 for a, b in pairs), sum(matrix[code(a)][code(b)] for a, b in pairs)))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
