@@ -60,10 +60,10 @@ def linear_udf(match: int = 1, mismatch: int = 3, gap: int = 5, score: k.Score |
     score takes arrays of target and query code points that broadcast, and
     gives whole numbers; by default match and mismatch.
     """
-    score = score or k.equality(match, mismatch)
 
     def align(t: list[str], q: list[str]) -> np.ndarray:
-        return k.local_linear(*k.pack(t), *k.pack(q), score, gap)
+        sides = *k.pack(t), *k.pack(q)
+        return k.local_linear_equal(*sides, match, mismatch, gap) if score is None else k.local_linear(*sides, score, gap)
 
     @pandas_udf(LINEAR_TYPE)
     def align_linear(t: pd.Series, q: pd.Series) -> pd.DataFrame:

@@ -398,3 +398,36 @@ def test_neighbour_scores(spark):
         want.append((i, sum(1 if a == b else -3 for a, b in pairs), sum(matrix[code(a)][code(b)] for a, b in pairs)))
     assert sorted(map(tuple, got.collect())) == want
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_linear_ends_then_origins(monkeypatch):
+    """The narrow pass and the stretch give what the whole matrix gives, and the whole is not walked."""
+    rng = np.random.default_rng(8)
+    cells, whole = [], k.local_linear
+    monkeypatch.setattr(k, "local_linear", lambda t, tn, q, *rest: cells.append(t.shape[1] * q.shape[1]) or whole(t, tn, q, *rest))
+    for letters, (match, mismatch, gap) in (("ACGT", (1, 3, 5)), ("AC", (1, 1, 1)), ("AC", (2, 1, 1)), ("A\u00e9\U0001f600", (3, 2, 4)), ("AC", (5, 0, 2)), ("AC\0", (1, 3, 5))):
+        t = ["".join(rng.choice(list(letters), rng.integers(1, 40))) for _ in range(200)]
+        q = ["".join(rng.choice(list(letters), rng.integers(1, 300))) for _ in range(200)]
+        q[:50] = [a[:60] + x[5:-3] + a[60:90] + x[-9:] for x, a in zip(t[:50], q[:50], strict=True)]
+        sides = *k.pack(t), *k.pack(q)
+        cells.clear()
+        assert (k.local_linear_equal(*sides, match, mismatch, gap) == whole(*sides, k.equality(match, mismatch), gap)).all()
+        assert gap < match * 2 or len(cells) == 1 and cells[0] < 39 * 120
+    assert (k.local_linear_equal(*k.pack(["AAAA"]), *k.pack(["TTT"]), 1, 3, 5) == 0).all()
+    assert (k.local_linear_equal(*k.pack(["A" * 9000]), *k.pack(["A" * 40]), 5, 3, 5) == whole(*k.pack(["A" * 9000]), *k.pack(["A" * 40]), k.equality(5, 3), 5)).all()
+
+
+def test_paths_of_long_targets(monkeypatch):
+    """A long target's paths are looked for near their ends, unless they can come from further away."""
+    rng = np.random.default_rng(9)
+    cells, whole = [], k.local_linear
+    monkeypatch.setattr(k, "local_linear", lambda t, tn, q, *rest: cells.append((len(tn), t.shape[1], q.shape[1])) or whole(t, tn, q, *rest))
+    for letters, costs in (("ACGT", (1, 3, 5)), ("AC", (1, 1, 1)), ("ACG", (2, 2, 3))):
+        t = ["".join(rng.choice(list(letters), 500)) for _ in range(60)]
+        q = ["".join(rng.choice(list(letters), rng.integers(1, 300))) for _ in range(60)]
+        q[:20] = [a[:30] + x[100:160] + x[162 : 162 + 10 * i] + a[30:60] for i, (x, a) in enumerate(zip(t[:20], q[:20], strict=True))]
+        sides = *k.pack(t), *k.pack(q)
+        cells.clear()
+        assert (k.local_linear_equal(*sides, *costs) == whole(*sides, k.equality(*costs[:2]), costs[2])).all()
+        if letters == "ACGT":
+            assert max(cells)[0] >= 30 and max(cells)[1:] == k.NEAR
