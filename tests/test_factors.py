@@ -155,6 +155,14 @@ def test_sigma_of_points(many, points, monkeypatch):
     assert tsne.point_sigma(points, 3) == tsne.find_sigma(tsne.pair_distances(points), 3)
 
 
+def test_many_points_are_embedded(points, monkeypatch):
+    few = tsne.tsne(points, target=3, seed=3, max_iter=2, mode="auto").orderBy("id").collect()
+    assert few == tsne.tsne(points, target=3, seed=3, max_iter=2).orderBy("id").collect()
+    monkeypatch.setattr(tsne, "SEQUENTIAL_POINTS", 7)
+    got = tsne.tsne(points, target=3, seed=3, max_iter=2, mode="auto").orderBy("id").collect()
+    assert len(got) == 8 and got != few and np.isfinite([r["y"] for r in got]).all()
+
+
 def test_robust_components(spark):
     x = [(3, 0.1), (2, -0.2), (-1, 0.1), (-2, 0.3), (0.5, 5)]
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>").cache()
