@@ -13,8 +13,10 @@ Candidates pass a bit sketch first. Then the sets themselves, made from the
 whole texts, confirm each link: the best link of each node in the first round,
 in later rounds only links between components that are still apart.
 
+In a crowded region a text hands on its nearest candidate, so that the region
+hangs together, and its best one: the others are left to the exact join below.
 A walk that met enough similar texts may have left a link behind. The texts of
-every region where that can be (one tree, one prefix of the least depth) are
+every region where either can be (one tree, one prefix of the least depth) are
 joined once more, exactly, by prefix filtering (Chaudhuri, Ganti and Kaushik
 2006): with shingles in one order for all texts, the rarest first, two texts
 similar enough share a shingle among the first n - ceil(similarity * n) + 1 of
@@ -152,15 +154,15 @@ def _agree(x: np.ndarray) -> np.ndarray:
 def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
     """Candidate links within each sorted partition, and its outermost rows (kind 1) for the seams."""
     least, sure = _gate(similarity)
-    head = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("agree", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("nid", pa.binary()), ("sketch", pa.binary()), ("n", pa.int64())])
+    head = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("agree", pa.int32()), ("crowded", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("nid", pa.binary()), ("sketch", pa.binary()), ("n", pa.int64())])
 
     def seam(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         for b in rows.to_batches():
-            none = [pa.nulls(b.num_rows, head.field(k).type) for k in (1, 2, 3)]
+            none = [pa.nulls(b.num_rows, head.field(k).type) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int32)), *none, *b.columns], schema=head)
 
     def links(t: pa.Table, new: int) -> pa.RecordBatch:
-        """Links of the last `new` rows to rows before them."""
+        """Links of the last `new` rows to rows before them; of a row in a crowded region the nearest and the best."""
         tree = t["tree"].to_numpy()
         key = _rows_of(t["key"], 2 * DEPTH)[:, : 2 * MIN_DEPTH].copy()
         sk = _rows_of(t["sketch"], PERMS // 4).copy().view(np.uint64)
@@ -180,12 +182,19 @@ def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
             met[live[ok]] += np.where(agree[ok] >= sure, WANT // SURE, 1)
             live = live[met[live] < WANT]
         i, j, agree = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[], [], []]))
+        i, j = i.astype(int), j.astype(int)
+        run = np.cumsum(np.append(False, (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(1)))
+        crowded = np.bincount(run)[run[i]] > SURE + 1  # a region's rows here are no more than it has
+        handed = ~crowded
+        for order in (np.lexsort((i - j, i)), np.lexsort((i - j, -agree, i))):
+            handed[order[np.flatnonzero(np.diff(i[order], prepend=-1))]] = True
+        i, j, agree, crowded = (x[handed] for x in (i, j, agree, crowded))
         nid = _rows_of(t["nid"], 16)
-        u, v = nid[i.astype(int)], nid[j.astype(int)]
+        u, v = nid[i], nid[j]
         swap = np.array([a.tobytes() > b.tobytes() for a, b in zip(u, v, strict=True)], bool).reshape(-1, 1)
         a, b = np.where(swap, v, u), np.where(swap, u, v)
-        rest = [pa.nulls(len(a), head.field(k).type) for k in range(4, 9)]
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), _binary(a), _binary(b), pa.array(agree.astype(np.int32)), *rest], schema=head)
+        rest = [pa.nulls(len(a), head.field(k).type) for k in range(5, 10)]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), _binary(a), _binary(b), pa.array(agree.astype(np.int32)), pa.array(crowded.astype(np.int32)), *rest], schema=head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -201,11 +210,11 @@ def _neighbours(ordered: DataFrame, similarity: float) -> DataFrame:
         if tail is not None:
             yield from seam(tail.combine_chunks())
 
-    return ordered.mapInArrow(run, "kind int, a binary, b binary, agree int, tree int, key binary, nid binary, sketch binary, n long")
+    return ordered.mapInArrow(run, "kind int, a binary, b binary, agree int, crowded int, tree int, key binary, nid binary, sketch binary, n long")
 
 
 def _candidates(scratch: Scratch, nodes: DataFrame, similarity: float, partitions: int) -> DataFrame:
-    """(a, b, agree): candidate links of the forest, a < b, each once."""
+    """(a, b, agree, crowded): candidate links of the forest, a < b, each once; crowded: met in a region that is left to the exact join."""
     order = ["tree", "key", "nid"]
     ordered = _forest(nodes).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     found = scratch.write(_neighbours(ordered, similarity), "neighbours")
@@ -218,7 +227,7 @@ def _candidates(scratch: Scratch, nodes: DataFrame, similarity: float, partition
         if partitions > 1:
             found = scratch.write(found, f"seams-{partitions}")
         pairs = pairs.union(found.where("kind = 0"))
-    return scratch.write(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    return scratch.write(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), (F.max("crowded") == 1).alias("crowded")), "pairs")
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
@@ -387,8 +396,10 @@ def _rest(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int, par
     dealt = rows.select("grp", *whole, F.explode(F.concat(*parts)).alias("c")).select("grp", "c.kind", "c.x", "c.y", "c.side", *whole)
     cell = ["grp", "kind", "x", "y"]
     found = _across(dealt.repartition(partitions, *cell).sortWithinPartitions(*cell), percent)
-    once = found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.first("low").alias("low"), F.first("high").alias("high"))
-    out = scratch.write(once.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    none = F.lit(None)
+    told = found.withColumn("tried", F.lit(0)).union(pairs.select("a", "b", none.cast("int"), none.cast("long"), none.cast("long"), F.lit(1)))
+    once = told.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("tried").alias("tried"))
+    out = scratch.write(once.where("tried = 0").drop("tried"), "rest")
     scratch.drop("rarest", "groups-apart")
     return out
 
@@ -502,24 +513,26 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).union(dense).distinct()
     sets = sets_of(wanted, "sets")
     in_a, in_b = (dense.select(F.col("nid").alias(x), F.lit(True).alias(f"dense_{x}")) for x in "ab")
-    pairs = pairs.join(in_a, "a", "left").join(in_b, "b", "left")
-    pairs = scratch.write(pairs.select("a", "b", "agree", F.coalesce(F.col("dense_a") & F.col("dense_b"), F.lit(False)).alias("dense")), "pairs-marked")
+    alone = pairs.where("not crowded").join(in_a, "a", "left").join(in_b, "b", "left")
+    alone = alone.select("a", "b", "agree", "crowded", F.coalesce(F.col("dense_a") & F.col("dense_b"), F.lit(False)).alias("dense"))
+    pairs = scratch.write(alone.union(pairs.where("crowded").withColumn("dense", F.lit(True))), "pairs-marked")
 
     first = scratch.write(best(pairs.withColumn("at", F.col("a")).union(pairs.withColumn("at", F.col("b"))), "at"), "first")
     links = scratch.write(_confirm(first, sets, percent, partitions), "links-0")
     roots = scratch.write(components(scratch, links, "cc0"), "roots-0")
-    tried = apart(pairs.join(first, ["a", "b"], "left_anti"), roots).where("not dense or (root_a is not null and root_b is not null)")
+    tried = apart(pairs, roots).where("not dense or (root_a is not null and root_b is not null)").join(first, ["a", "b"], "left_anti")
     second = scratch.write(best(tried.withColumn("low", F.least(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))).withColumn("high", F.greatest(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))), "low", "high"), "second")
     roots = merged(roots, second, 1)
-    tried = pairs.where("not dense").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    roots = merged(roots, apart(tried, roots), 2)
+    tried = apart(pairs.where("not dense"), roots).select("a", "b")
+    roots = merged(roots, tried.join(first.union(second), ["a", "b"], "left_anti"), 2)
 
     # dense sets with a neighbour in another component, in a region or in a pair not looked at
     tagged = scratch.write(dense.join(nodes.select("nid", "sig", "sketch", "n"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left"), "tagged")
     named = F.coalesce("root", "nid")
     regions = _regions(tagged.withColumn("root", named))
     mixed = scratch.write(regions.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where((F.col("low") < F.col("high")) & (F.col("size") > SURE + 1)).select("grp"), "regions-mixed")
-    skipped = apart(pairs.where("dense").join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), roots)
+    # a crowded region is among those, and a crowded pair that is apart makes it mixed
+    skipped = apart(pairs.where("dense and not crowded"), roots).select("a", "b").join(first.union(second), ["a", "b"], "left_anti")
     some = regions.join(mixed, "grp", "left_semi").select("nid").union(skipped.select("a")).union(skipped.select("b")).distinct()
     some = scratch.write(sets.join(some, "nid", "left_semi").join(tagged.drop("sig"), "nid"), "sets-mixed")
     if some.take(1):
@@ -528,7 +541,7 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
         # the best candidate between two components first: where it links them, the others need no look
         third = scratch.write(best(rest, "low", "high"), "third")
         roots = merged(roots, third, 3)
-        roots = merged(roots, apart(rest.join(third, ["a", "b"], "left_anti"), roots), 4)
+        roots = merged(roots, apart(rest, roots).join(third, ["a", "b"], "left_anti"), 4)
 
     named = nodes.select("nid", F.col("rep.id").alias("id")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     named = scratch.write(named, "named")

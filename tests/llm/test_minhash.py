@@ -5,10 +5,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import minhash
 from tessera.llm.components import components
 from tessera.llm.minhash import drop_near_duplicates, near_duplicates, packed, unpacked
-from tessera.runtime import Scratch
+from tessera.runtime import Scratch, ship
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -156,3 +158,21 @@ def test_components(spark, at_once):
         a, b = find(a), find(b)
         top[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in top if any(x in p and p[0] != p[1] for p in chain + extra)}
+
+
+def test_near_copies_hand_on_few_candidates(spark):
+    """Of one large group of near copies a text hands on two candidates a tree at most, and the group is one component."""
+    ship(spark)
+    rng = random.Random(12)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    scratch = Scratch(spark, "t")
+    nodes = scratch.write(minhash._sketches(docs.withColumn("row_key", F.xxhash64("text")), 4), "nodes")
+    pairs = minhash._candidates(scratch, nodes, 0.8, 8)
+    assert 15 * len(rows) < pairs.count() < 32 * len(rows) and pairs.where("not crowded").count() < len(rows)
+    assert sorted(tuple(r)[:4] for r in near_duplicates(docs.withColumnRenamed("id", "doc_id"), width=4).collect()) == brute(rows)
