@@ -23,7 +23,9 @@ similar enough share a shingle among the first n - ceil(similarity * n) + 1 of
 each, and so early in the shorter one that the rest can still hold the overlap
 (Xiao et al. 2008). What thousands of texts have in common comes last in that
 order, so a region of texts just below the threshold gives no candidates. Only
-confirmed links spare a comparison.
+confirmed links spare a comparison. A text hands on its best candidate in a cell
+of that join; what these links leave apart meets with its whole sets in the
+cell, which hands on links alone: no table grows with the pairs of a group.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ SEAMS = 256
 SURE, WANT = 2, 6
 #: rows in a block of a group's comparison, and texts on either side of a cell of confirmations
 BLOCK, CELL = 256, 128
+#: what names a cell of the exact join: a shingle, one of two kinds of pairs, and a block of either side
+CELL_KEY = ("grp", "kind", "x", "y")
 #: cells of the sketch of shingle frequencies, a power of two; its errors change the order, not the result
 FREQUENCY_CELLS = 1 << 22
 #: of 128 two-bit minima, those that agree at a similarity of 0.8: 108.8, deviation 4.0
@@ -309,53 +313,108 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("shingles", "root", "nid", "sketch", "n").mapInArrow(run, "grp long, root long, nid binary, sketch binary, n long, left long, early int")
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by CELL_KEY, in tables that cut no cell."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        both = (new if kept is None else pa.concat_tables([kept, new])).combine_chunks()
+        cell = np.stack([both[c].to_numpy() for c in CELL_KEY], 1)
+        other = np.flatnonzero((cell != cell[-1]).any(1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield both.slice(0, cut).combine_chunks()
+        kept = both.slice(cut)
+    if kept is not None:
+        yield kept.combine_chunks()
+
+
+def _met(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, agree): candidate links between components, as numbers of a cell's left rows (side 0) and right ones, a block of left rows at a time."""
+    least, _ = _gate(percent / 100)
+    cell = np.stack([t[c].to_numpy() for c in CELL_KEY], 1)
+    side, root, n, rest = (t[c].to_numpy() for c in ("side", "root", "n", "left"))
+    sk = _rows_of(t["sketch"], PERMS // 4).copy().view(np.uint64)
+    edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+        for k in range(0, len(left), BLOCK):
+            i, j = left[k : k + BLOCK, None], right[None]
+            # the overlap that a link needs must fit in what is left of both orders
+            ok = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j]))
+            at, to = np.nonzero(ok)
+            u, v = left[k + at], right[to]
+            agree = _agree(sk[u] ^ sk[v])
+            found = agree >= least
+            if found.any():
+                yield u[found], v[found], agree[found]
+
+
+def _ends(t: pa.Table, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """(a, b), a < b, of rows u and v."""
+    nid = _rows_of(t["nid"], 16)
+    high, low = nid.copy().view(">u8").astype(np.uint64).T
+    first = (high[u] < high[v]) | ((high[u] == high[v]) & (low[u] < low[v]))
+    return pa.RecordBatch.from_arrays([_binary(nid[np.where(first, u, v)]), _binary(nid[np.where(first, v, u)])], ["a", "b"])
+
+
 def _across(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree, low, high): candidate links between components, from rows sorted by cell (grp, kind, x, y).
+    """(a, b): of each left row of a cell its best candidate in another component, if it has any there."""
 
-    A cell's left rows (side 0) meet its right ones.
-    """
-    least, _ = _gate(percent / 100)
-    names = ("grp", "kind", "x", "y")
-
-    def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = np.stack([t[c].to_numpy() for c in names], 1)
-        side, root, n, rest = (t[c].to_numpy() for c in ("side", "root", "n", "left"))
-        nid, sk = _rows_of(t["nid"], 16), _rows_of(t["sketch"], PERMS // 4).copy().view(np.uint64)
-        high, low = nid.copy().view(">u8").astype(np.uint64).T
-        edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
-            for k in range(0, len(left), BLOCK):
-                i, j = left[k : k + BLOCK, None], right[None]
-                # the overlap that a link needs must fit in what is left of both orders
-                ok = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (n[i] + n[j]))
-                at, to = np.nonzero(ok)
-                u, v = left[k + at], right[to]
-                agree = _agree(sk[u] ^ sk[v])
-                u, v, agree = (z[agree >= least] for z in (u, v, agree))
-                if len(u):
-                    first = (high[u] < high[v]) | ((high[u] == high[v]) & (low[u] < low[v]))
-                    a, b = nid[np.where(first, u, v)], nid[np.where(first, v, u)]
-                    roots = np.sort(np.stack([root[u], root[v]]), 0)
-                    yield pa.RecordBatch.from_arrays([_binary(a), _binary(b), pa.array(agree.astype(np.int32)), pa.array(roots[0]), pa.array(roots[1])], ["a", "b", "agree", "low", "high"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches):
+            for u, v, agree in _met(t, percent):
+                order = np.lexsort((-agree, u))
+                best = order[np.flatnonzero(np.diff(u[order], prepend=-1))]
+                yield _ends(t, u[best], v[best])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _open_rows(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a candidate in another component in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            both = (new if kept is None else pa.concat_tables([kept, new])).combine_chunks()
-            cell = np.stack([both[c].to_numpy() for c in names], 1)
-            other = np.flatnonzero((cell != cell[-1]).any(1))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield from cells(both.slice(0, cut).combine_chunks())
-            kept = both.slice(cut)
-        if kept is not None:
-            yield from cells(kept.combine_chunks())
+        for t in _whole_cells(batches):
+            found = np.zeros(t.num_rows, bool)
+            for u, v, _ in _met(t, percent):
+                found[u] = found[v] = True
+            yield from t.filter(pa.array(found)).to_batches()
 
-    return dealt.mapInArrow(run, "a binary, b binary, agree int, low long, high long")
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def _links_in_cells(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the components of a cell as all its links do, from rows with their sets.
+
+    Every candidate of a cell is looked at where both sets are, so no pair is
+    written, and a cell gives fewer links than it has rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches):
+            root, n = t["root"].to_numpy(), t["n"].to_numpy()
+            for u, v, _ in _met(t, percent):
+                rows, number = np.unique(np.concatenate([u, v]), return_inverse=True)
+                sets = [unpacked(raw) for raw in t["shingles"].take(pa.array(rows)).to_pylist()]
+                same = _same(sets, number[: len(u)], number[len(u) :])
+                top: dict[int, int] = {}
+                some = []
+                for k in np.flatnonzero(100 * same >= percent * (n[u] + n[v] - same)).tolist():
+                    x, y = int(root[u[k]]), int(root[v[k]])
+                    while (up := top.get(x, x)) != x:
+                        x = up
+                    while (up := top.get(y, y)) != y:
+                        y = up
+                    if x != y:
+                        top[x] = y
+                        some.append(k)
+                if some:
+                    yield _ends(t, u[some], v[some])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def _blocks(kind: int, on_left: Column, on_right: Column) -> list[Column]:
@@ -375,33 +434,31 @@ def _blocks(kind: int, on_left: Column, on_right: Column) -> list[Column]:
     return [left.otherwise(F.array()), right.otherwise(F.array())]
 
 
-def _rest(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(a, b, agree, low, high): candidates between components (low < high) among some sets, without those in pairs.
+def _root_number(root: str) -> Column:
+    """A component's number, from its root or the set itself."""
+    return F.conv(F.hex(F.substring(F.coalesce(root, "nid"), 1, 7)), 16, 10).cast("long")
 
-    sets: (nid, shingles, root, sketch, n). They meet by the shingles of their
-    prefixes. Of the sets that share one, at least one of a pair is outside the
-    largest component and at least one has the shingle early: both kinds are cut
-    into blocks, and so is what they have to meet; block meets block.
+
+def _dealt(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """Rows of _rarest() in cells where those of different components meet, if they share a shingle.
+
+    Of the sets that share one, at least one of a pair is outside the largest
+    component and at least one has the shingle early: both kinds are cut into
+    blocks, and so is what they have to meet; block meets block.
     """
-    root = F.conv(F.hex(F.substring(F.coalesce("root", "nid"), 1, 7)), 16, 10).cast("long")
-    rows = scratch.write(_rarest(sets.withColumn("root", root), percent), "rarest")
     sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("k"), F.sum("early").alias("e")).groupBy("grp").agg(F.sum("k").alias("k"), F.sum("e").alias("e"), F.max(F.struct("k", "root", "e")).alias("most"))
     odd_early = F.col("e") - F.col("most.e")
     counts = {"lines1": odd_early, "cols1": F.col("k"), "lines2": F.col("k") - F.col("most.k") - odd_early, "cols2": F.col("e")}
     groups = sizes.where((F.col("k") > F.col("most.k")) & (F.col("e") > 0)).select("grp", F.col("most.root").alias("main"), *(F.ceil(c / BLOCK).alias(name) for name, c in counts.items()))
-    rows = rows.join(scratch.write(groups, "groups-apart"), "grp")
+    rows = rows.join(scratch.write(groups, name), "grp")
     odd, early = F.col("root") != F.col("main"), F.col("early") == 1
     parts = _blocks(1, odd & early, F.lit(True)) + _blocks(2, odd & ~early, early)
     whole = ["root", "nid", "sketch", "n", "left"]
-    dealt = rows.select("grp", *whole, F.explode(F.concat(*parts)).alias("c")).select("grp", "c.kind", "c.x", "c.y", "c.side", *whole)
-    cell = ["grp", "kind", "x", "y"]
-    found = _across(dealt.repartition(partitions, *cell).sortWithinPartitions(*cell), percent)
-    none = F.lit(None)
-    told = found.withColumn("tried", F.lit(0)).union(pairs.select("a", "b", none.cast("int"), none.cast("long"), none.cast("long"), F.lit(1)))
-    once = told.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("tried").alias("tried"))
-    out = scratch.write(once.where("tried = 0").drop("tried"), "rest")
-    scratch.drop("rarest", "groups-apart")
-    return out
+    return rows.select("grp", *whole, F.explode(F.concat(*parts)).alias("c")).select("grp", "c.kind", "c.x", "c.y", "c.side", *whole)
+
+
+def _by_cell(dealt: DataFrame, partitions: int) -> DataFrame:
+    return dealt.repartition(partitions, *CELL_KEY).sortWithinPartitions(*CELL_KEY)
 
 
 def _same(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -495,14 +552,17 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
         root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         return some.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b")
 
-    def merged(roots: DataFrame, some: DataFrame, k: int) -> DataFrame:
-        """The components with some pairs' confirmed links."""
-        more = scratch.write(_confirm(scratch.write(some.select("a", "b"), f"open-{k}"), sets, percent, partitions), f"links-{k}")
+    def merged(roots: DataFrame, links: DataFrame, k: int) -> DataFrame:
+        """The components with more links."""
+        more = scratch.write(links, f"links-{k}")
         if not more.take(1):
             return roots
         star = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         return scratch.write(components(scratch, star.union(more), f"cc{k}"), f"roots-{k}")
 
+    def confirmed(some: DataFrame, k: int) -> DataFrame:
+        return _confirm(scratch.write(some.select("a", "b"), f"open-{k}"), sets, percent, partitions)
+
     def best(some: DataFrame, *between: str) -> DataFrame:
         return some.groupBy(*between).agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
@@ -522,9 +582,9 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
     roots = scratch.write(components(scratch, links, "cc0"), "roots-0")
     tried = apart(pairs, roots).where("not dense or (root_a is not null and root_b is not null)").join(first, ["a", "b"], "left_anti")
     second = scratch.write(best(tried.withColumn("low", F.least(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))).withColumn("high", F.greatest(F.coalesce("root_a", "a"), F.coalesce("root_b", "b"))), "low", "high"), "second")
-    roots = merged(roots, second, 1)
+    roots = merged(roots, confirmed(second, 1), 1)
     tried = apart(pairs.where("not dense"), roots).select("a", "b")
-    roots = merged(roots, tried.join(first.union(second), ["a", "b"], "left_anti"), 2)
+    roots = merged(roots, confirmed(tried.join(first.union(second), ["a", "b"], "left_anti"), 2), 2)
 
     # dense sets with a neighbour in another component, in a region or in a pair not looked at
     tagged = scratch.write(dense.join(nodes.select("nid", "sig", "sketch", "n"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left"), "tagged")
@@ -536,12 +596,17 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
     some = regions.join(mixed, "grp", "left_semi").select("nid").union(skipped.select("a")).union(skipped.select("b")).distinct()
     some = scratch.write(sets.join(some, "nid", "left_semi").join(tagged.drop("sig"), "nid"), "sets-mixed")
     if some.take(1):
-        done = first.union(second)
-        rest = _rest(scratch, some, done, percent, partitions)
-        # the best candidate between two components first: where it links them, the others need no look
-        third = scratch.write(best(rest, "low", "high"), "third")
-        roots = merged(roots, third, 3)
-        roots = merged(roots, apart(rest, roots).join(third, ["a", "b"], "left_anti"), 4)
+        rows_of = scratch.write(_rarest(some.withColumn("root", _root_number("root")), percent), "rarest")
+        # the best candidates first: where they link two components, the others need no look
+        near = _across(_by_cell(_dealt(scratch, rows_of, "groups-3"), partitions), percent).distinct()
+        roots = merged(roots, confirmed(near.join(first.union(second), ["a", "b"], "left_anti"), 3), 3)
+        # what is still apart meets once more, with its sets
+        now = roots.select(F.col("node").alias("nid"), F.col("root").alias("now"))
+        moved = scratch.write(rows_of.drop("root").join(now, "nid", "left").withColumn("root", _root_number("now")).drop("now"), "rarest-moved")
+        left = scratch.write(_open_rows(_by_cell(_dealt(scratch, moved, "groups-4"), partitions), percent), "apart")
+        scratch.drop("rarest", "rarest-moved")
+        if left.take(1):
+            roots = merged(roots, _links_in_cells(_by_cell(left.join(some.select("nid", "shingles"), "nid"), partitions), percent), 4)
 
     named = nodes.select("nid", F.col("rep.id").alias("id")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     named = scratch.write(named, "named")

@@ -176,3 +176,53 @@ def test_near_copies_hand_on_few_candidates(spark):
     pairs = minhash._candidates(scratch, nodes, 0.8, 8)
     assert 15 * len(rows) < pairs.count() < 32 * len(rows) and pairs.where("not crowded").count() < len(rows)
     assert sorted(tuple(r)[:4] for r in near_duplicates(docs.withColumnRenamed("id", "doc_id"), width=4).collect()) == brute(rows)
+
+
+def cell_rows(texts, main):
+    """Rows of one cell, width 1: texts before main on the left, each a component of its own, the others one component on the right."""
+    rows = []
+    for i, s in enumerate(texts):
+        values = np.array(sorted(s), np.uint64)
+        sketch = np.zeros(32, np.uint8).tobytes()
+        rows.append((7, 1, 0, 0, int(i >= main), i if i < main else -1, i.to_bytes(16, "big"), sketch, len(s), len(s), packed(values)))
+    return rows
+
+
+CELL_ROWS = "grp long, kind int, x long, y long, side int, root long, nid binary, sketch binary, n long, left long, shingles binary"
+
+
+@pytest.mark.parametrize("group", [100, 200])
+def test_a_cell_of_the_exact_join_hands_on_no_pairs(spark, group):
+    """40 texts that are apart from a group: a row each, however large the group is; their links connect what all pairs do."""
+    ship(spark)
+    rng = random.Random(group)
+    base = list(range(1, 101))
+    texts = [frozenset(rng.sample(base, 100 - k % 30) + [1000 * i + j for j in range(1, 5)]) for i, k in enumerate(range(1, 41 + group))]
+    dealt = spark.createDataFrame(cell_rows(texts, 40), CELL_ROWS).coalesce(1)
+    near = minhash._across(dealt.drop("shingles"), 80).collect()
+    assert 0 < len(near) <= 40
+    assert minhash._open_rows(dealt, 80).count() <= 40 + group
+
+    def joined(pairs):
+        top = {i: i if i < 40 else 40 for i in range(len(texts))}
+        for a, b in pairs:
+            x, y = top[a], top[b]
+            top = {k: y if v == x else v for k, v in top.items()}
+        return len(set(top.values()))
+
+    links = [tuple(int.from_bytes(x, "big") for x in r) for r in minhash._links_in_cells(dealt, 80).collect()]
+    similar = [(i, j) for i in range(40) for j in range(40, len(texts)) if 100 * (n := len(texts[i] & texts[j])) >= 80 * (len(texts[i]) + len(texts[j]) - n)]
+    assert len(links) <= 40 and set(links) <= set(similar)
+    assert joined(links) == joined(similar) < 41
+
+
+def test_what_the_best_candidates_leave_is_found(spark, monkeypatch):
+    """Without any best candidate the cells alone find the same components."""
+    rows = template(random.Random(10), 320, 50, 87)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "_across", lambda dealt, percent: dealt.where("false").selectExpr("nid a", "nid b"))
+    monkeypatch.setattr(minhash, "_candidates", lambda scratch, nodes, *rest: nodes.where("false").selectExpr("nid a", "nid b", "0 agree", "false crowded"))
+    monkeypatch.setattr(minhash, "_regions", lambda nodes: nodes.selectExpr("0L grp", *[c for c in ("nid", "root") if c in nodes.columns]))
+    got = sorted(tuple(r)[:4] for r in near_duplicates(docs, width=1).collect())
+    assert got == brute(rows, width=1)
+    assert sum(not r[3] for r in got) == 50
