@@ -439,7 +439,7 @@ def _root_number(root: str) -> Column:
     return F.conv(F.hex(F.substring(F.coalesce(root, "nid"), 1, 7)), 16, 10).cast("long")
 
 
-def _dealt(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+def _dealt(scratch: Scratch, rows: DataFrame, table: str) -> DataFrame:
     """Rows of _rarest() in cells where those of different components meet, if they share a shingle.
 
     Of the sets that share one, at least one of a pair is outside the largest
@@ -450,7 +450,7 @@ def _dealt(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     odd_early = F.col("e") - F.col("most.e")
     counts = {"lines1": odd_early, "cols1": F.col("k"), "lines2": F.col("k") - F.col("most.k") - odd_early, "cols2": F.col("e")}
     groups = sizes.where((F.col("k") > F.col("most.k")) & (F.col("e") > 0)).select("grp", F.col("most.root").alias("main"), *(F.ceil(c / BLOCK).alias(name) for name, c in counts.items()))
-    rows = rows.join(scratch.write(groups, name), "grp")
+    rows = rows.join(scratch.write(groups, table), "grp")
     odd, early = F.col("root") != F.col("main"), F.col("early") == 1
     parts = _blocks(1, odd & early, F.lit(True)) + _blocks(2, odd & ~early, early)
     whole = ["root", "nid", "sketch", "n", "left"]
@@ -597,14 +597,15 @@ def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
     some = scratch.write(sets.join(some, "nid", "left_semi").join(tagged.drop("sig"), "nid"), "sets-mixed")
     if some.take(1):
         rows_of = scratch.write(_rarest(some.withColumn("root", _root_number("root")), percent), "rarest")
+        met = scratch.write(_open_rows(_by_cell(_dealt(scratch, rows_of, "groups-apart"), partitions), percent), "met")
+        scratch.drop("rarest", "groups-apart")
         # the best candidates first: where they link two components, the others need no look
-        near = _across(_by_cell(_dealt(scratch, rows_of, "groups-3"), partitions), percent).distinct()
+        near = _across(_by_cell(met, partitions), percent).distinct()
         roots = merged(roots, confirmed(near.join(first.union(second), ["a", "b"], "left_anti"), 3), 3)
         # what is still apart meets once more, with its sets
         now = roots.select(F.col("node").alias("nid"), F.col("root").alias("now"))
-        moved = scratch.write(rows_of.drop("root").join(now, "nid", "left").withColumn("root", _root_number("now")).drop("now"), "rarest-moved")
-        left = scratch.write(_open_rows(_by_cell(_dealt(scratch, moved, "groups-4"), partitions), percent), "apart")
-        scratch.drop("rarest", "rarest-moved")
+        moved = met.drop("root").join(now, "nid", "left").withColumn("root", _root_number("now")).select(met.columns)
+        left = scratch.write(_open_rows(_by_cell(moved, partitions), percent), "apart")
         if left.take(1):
             roots = merged(roots, _links_in_cells(_by_cell(left.join(some.select("nid", "shingles"), "nid"), partitions), percent), 4)
 
