@@ -35,12 +35,13 @@ def _gaps(gap_open: int, gap_ext: int, ins_open: int | None, ins_ext: int | None
     return gap_open, gap_ext, gap_open if ins_open is None else ins_open, gap_ext if ins_ext is None else ins_ext
 
 
-def _in_batches(t: pd.Series, q: pd.Series, align: Callable[[list[str], list[str]], np.ndarray], width: int, empty: bool = False, kept: int | None = None) -> np.ndarray:
-    """Rows of results; pairs with a null side, or an empty one unless those are aligned, stay UNSET."""
+def _in_batches(t: pd.Series, q: pd.Series, align: Callable[[list[str], list[str]], np.ndarray], width: int, empty: bool = False, kept: int | None = None, wide: bool = False) -> np.ndarray:
+    """Rows of results; pairs with a null side, or an empty one unless those are aligned, stay UNSET. wide: align lets a pair go where its target ends."""
     out = np.full((len(t), width), UNSET, np.int64)
     t, q = t.tolist(), q.tolist()
     good = [i for i, (a, b) in enumerate(zip(t, q, strict=True)) if a is not None and b is not None and (empty or a and b)]
-    for group in k.batches([(len(t[i]), len(q[i])) for i in good], kept=kept):
+    lengths = [(len(t[i]), len(q[i])) for i in good]
+    for group in k.wide_batches(lengths) if wide else k.batches(lengths, kept=kept):
         rows = [good[i] for i in group]
         out[rows] = align([t[i] for i in rows], [q[i] for i in rows])
     return out
@@ -85,7 +86,7 @@ def affine_udf(match: int = 1, mismatch: int = 3, gap_open: int = 5, gap_ext: in
 
     @pandas_udf(AFFINE_TYPE)
     def align_affine(t: pd.Series, q: pd.Series) -> pd.DataFrame:
-        got = pd.DataFrame(_in_batches(t, q, align, 7), columns=AFFINE).astype("Int32")
+        got = pd.DataFrame(_in_batches(t, q, align, 7, wide=True), columns=AFFINE).astype("Int32")
         return got.mask(got == UNSET)
 
     return align_affine

@@ -431,3 +431,37 @@ def test_paths_of_long_targets(monkeypatch):
         assert (k.local_linear_equal(*sides, *costs) == whole(*sides, k.equality(*costs[:2]), costs[2])).all()
         if letters == "ACGT":
             assert max(cells)[0] >= 30 and max(cells)[1:] == k.NEAR
+
+
+def test_gaps_cell_by_cell_and_a_short_way_back(monkeypatch):
+    """Narrow lanes give what 32 bits give, whether gaps are computed cell by cell or row by row; the way back holds no more of a query than the path can."""
+    rng = random.Random(31)
+    pairs = []
+    for _ in range(300):
+        q = rand(rng, 1, 500, "AACGT")
+        at, part = rng.randrange(len(q)), rng.randrange(5, 30)
+        t = q[at : at + part] + rand(rng, 0, 4, "ACGT") + q[at + part + rng.randrange(0, 3) : at + 2 * part]
+        pairs.append((rand(rng, 1, 12) + t, q))
+    packed = [*k.pack([t for t, _ in pairs], k.NUCLEOTIDES), *k.pack([q for _, q in pairs], k.NUCLEOTIDES)]
+    for scores, gaps in (((1, 3), (5, 2, 5, 2)), ((2, 2), (3, 1, 4, 2)), ((1, 1), (1, 1, 0, 1)), ((1, 4), (6, 1, 2, 1))):
+        mat = np.array(score_matrix(*scores))
+        want = k.local_affine(*packed, mat, gaps, 6, lanes="int32")
+        for sparse in (0, 10**9, 32):
+            monkeypatch.setattr(k, "SPARSE", sparse)
+            assert (k.local_affine(*packed, mat, gaps, 6) == want).all()
+            assert (k.local_affine(*packed, mat, gaps, 6, lanes="int16", stop_score=9) == k.local_affine(*packed, mat, gaps, 6, lanes="int32", stop_score=9)).all()
+    widths, rows = [], k._rows
+    monkeypatch.setattr(k, "_rows", lambda lane, t, tn, q, *rest: widths.append(q.shape[1]) or rows(lane, t, tn, q, *rest))
+    one = [*k.pack(["ACGTTGCAAC"] * 3, k.NUCLEOTIDES), *k.pack(["T" * 400 + "ACGTTGCAAC"] * 3, k.NUCLEOTIDES)]
+    assert k.local_affine(*one, np.array(score_matrix(1, 3)), (5, 2, 5, 2), 6)[0].tolist() == [10, 9, 409, -1, -1, 0, 400]
+    assert widths == [410, 10]
+
+
+def test_wide_batches_hold_every_pair_once():
+    rng = random.Random(4)
+    lengths = [(rng.randrange(1, 90), rng.randrange(1, 3000)) for _ in range(2000)]
+    groups = list(k.wide_batches(lengths))
+    assert sorted(i for g in groups for i in g.tolist()) == list(range(2000))
+    for g in groups:
+        wide = [lengths[i][1] for i in g]
+        assert len(g) * (max(wide) + 1) <= k.WIDE_ROW and max(wide) + 1 <= 1.25 * min(wide) + 16
