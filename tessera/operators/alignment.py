@@ -1,7 +1,9 @@
 """Sequence alignment operators over DataFrames.
 
-All-pairs alignment is a product by definition. Pairs are dealt over the
-cluster by query, whatever side Spark sends, and aligned in Arrow batches.
+All-pairs alignment is a product by definition. Queries are dealt over the
+cluster, packed into blocks, and every block of queries meets every block of
+targets: one target after another is aligned with all queries of a block at
+once. Costs that blocks don't take are for pairs, aligned in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -157,6 +160,58 @@ def _pairs(targets: DataFrame, queries: DataFrame, name: str, seq: str, spread:
     return q.crossJoin(t)
 
 
+def _blocks(df: DataFrame, name: str, seq: str, prefix: str) -> DataFrame:
+    """(names, seqs) with a prefix, as arrays of some STRIP letters in all; empty sequences are skipped."""
+    rows = df.select(F.col(name).alias("name"), F.col(seq).cast("string").alias("seq")).where(F.length("seq") > 0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                letters = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64))
+                cut = np.flatnonzero(np.diff((letters - 1) // k.STRIP, prepend=-1))
+                edges = pa.array(np.append(cut, batch.num_rows).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, c) for c in batch.columns], [f"{prefix}names", f"{prefix}seqs"])
+
+    return rows.mapInArrow(pack, T.StructType([T.StructField(f"{prefix}names", T.ArrayType(rows.schema["name"].dataType)), T.StructField(f"{prefix}seqs", T.ArrayType(T.StringType()))]))
+
+
+def _over_blocks(targets: DataFrame, queries: DataFrame, name: str, seq: str, spread: bool, align: Callable[[list[str], list[str]], list[tuple[np.ndarray, list[pa.Array]]]], columns: str) -> DataFrame:
+    """(t_name, q_name, columns) of what align gives of targets and queries: pairs, target by target, that it keeps, and their columns."""
+    q = queries
+    if spread:  # a small file is one partition; the blocks would stay in it
+        q = q.repartition(max(4 * q.sparkSession.sparkContext.defaultParallelism, 8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q_names, q_seqs, t_names, t_seqs = (batch.column(c)[at].values for c in range(4))
+                for kept, made in align(t_seqs.to_pylist(), q_seqs.to_pylist()):
+                    names = [t_names.take(pa.array(kept // len(q_names))), q_names.take(pa.array(kept % len(q_names)))]
+                    yield pa.RecordBatch.from_arrays(names + made, fields.names)
+
+    q, t = _blocks(q, name, seq, "q_"), _blocks(targets, name, seq, "t_")
+    types = [T.StructField("t_name", t.schema["t_names"].dataType.elementType), T.StructField("q_name", q.schema["q_names"].dataType.elementType)]
+    fields = T.StructType(types + T._parse_datatype_string(columns).fields)
+    return q.crossJoin(t).mapInArrow(run, fields)
+
+
+def _int32(x: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(x.astype(np.int32), mask=null)
+
+
+def linear_scores(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap: int = 5, name: str = "name", seq: str = "seq", spread: bool = True) -> DataFrame:
+    """(t_name, q_name, score) of align_local_linear(), without looking for positions."""
+    if match <= 0 or mismatch < 0 or gap <= 0:
+        return align_local_linear(targets, queries, match, mismatch, gap, name, seq, spread).select("t_name", "q_name", "score")
+    ship(targets.sparkSession)
+
+    def align(t: list[str], q: list[str]) -> list[tuple[np.ndarray, list[pa.Array]]]:
+        got = k.linear_block(t, q, match, mismatch, gap, False)
+        return [(np.arange(len(got)), [_int32(got[:, 4])])]
+
+    return _over_blocks(targets, queries, name, seq, spread, align, "score int")
+
+
 def align_local_linear(targets: DataFrame, queries: DataFrame, match: int = 1, mismatch: int = 3, gap: int = 5, name: str = "name", seq: str = "seq", spread: bool = True, score: k.Score | None = None) -> DataFrame:
     """Every target against every query: t_name, t_start, t_end, q_name, q_start, q_end, score.
 
@@ -164,6 +219,15 @@ def align_local_linear(targets: DataFrame, queries: DataFrame, match: int = 1, m
     pair has a row; at score 0 the positions are null. score: see linear_udf().
     """
     ship(targets.sparkSession)
+    order = ("t_name", "t_start", "t_end", "q_name", "q_start", "q_end", "score")
+    if score is None and match > 0 and mismatch >= 0 and gap > 0:
+
+        def align(t: list[str], q: list[str]) -> list[tuple[np.ndarray, list[pa.Array]]]:
+            got = k.linear_block(t, q, match, mismatch, gap)
+            none = got[:, 4] <= 0
+            return [(np.arange(len(got)), [_int32(got[:, c], none) for c in range(4)] + [_int32(got[:, 4])])]
+
+        return _over_blocks(targets, queries, name, seq, spread, align, ", ".join(f"{c} int" for c in LINEAR)).select(*order)
     hit = _pairs(targets, queries, name, seq, spread).withColumn("hit", linear_udf(match, mismatch, gap, score)("t_seq", "q_seq"))
     return hit.select("t_name", "hit.t_start", "hit.t_end", "q_name", "hit.q_start", "hit.q_end", "hit.score")
 
@@ -188,6 +252,26 @@ def align_local_affine(targets: DataFrame, queries: DataFrame, match: int = 1, m
     floor = min(min_score, 0xFFFF)
     pair = complement or (("ACGTacgt", "TGCAtgca") if alphabet is None else None)
     strands = ["+"] if forward_only or pair is None else ["+", "-"]
+    mat, coding = _costs(match, mismatch, scoring, alphabet)
+    gaps = _gaps(gap_open, gap_ext, ins_open, ins_ext)
+    if min(gaps) >= 0 and gaps[1] > 0 and gaps[3] > 0 and int(mat.max()) > 0 and not byte_mode and stop_score is None and lanes == "auto":
+
+        def both(t: list[str], q: list[str]) -> list[tuple[np.ndarray, list[pa.Array]]]:
+            out = []
+            for strand in strands:
+                used = q if strand == "+" else [x.translate(swap)[::-1] for x in q]
+                got = k.affine_block(t, used, coding, mat, gaps, floor)
+                kept = np.flatnonzero(got[:, 0] >= floor)
+                score, te, qe, score2, te2, tb, qb = got[kept].T
+                n = np.array([len(x) for x in q])[kept % len(q)]
+                start, end = (qb, qe + 1) if strand == "+" else (n - qb, n - 1 - qe)
+                out.append((kept, [*map(_int32, (tb, te + 1, start, end, score, score2, te2)), pa.array([strand] * len(kept), pa.string())]))
+            return out
+
+        swap = {ord(a): (ord(pair[1][i]) if i < len(pair[1]) else None) for i, a in reversed(list(enumerate(pair[0])))} if pair else {}
+        columns = "t_start int, t_end int, q_start int, q_end int, score int, score2 int, t_end2 int, strand string"
+        order = ("t_name", "t_start", "t_end", "q_name", "q_start", "q_end", "score", "score2", "t_end2", "strand")
+        return _over_blocks(targets, queries, name, seq, spread, both, columns).select(*order)
     pairs = _pairs(targets, queries, name, seq, spread).withColumn("strand", F.explode(F.array(*map(F.lit, strands))))
     turned = F.reverse(F.translate(F.col("q_seq"), *pair)) if pair else F.col("q_seq")
     pairs = pairs.withColumn("q_used", F.when(F.col("strand") == "+", F.col("q_seq")).otherwise(turned))

@@ -465,3 +465,48 @@ def test_wide_batches_hold_every_pair_once():
     for g in groups:
         wide = [lengths[i][1] for i in g]
         assert len(g) * (max(wide) + 1) <= k.WIDE_ROW and max(wide) + 1 <= 1.25 * min(wide) + 16
+
+
+def test_blocks_equal_pairs(monkeypatch):
+    rng = random.Random(17)
+    mat = np.array(score_matrix())
+    protein = k.Coding("ACDE")
+    odd = np.array([[4, -1, 0, -2, 0], [-1, 5, -3, 1, 0], [0, -3, 6, -1, 0], [-2, 1, -1, 3, 0], [0, 0, 0, 0, 1]])
+    t = [rand(rng, 1, 90) for _ in range(6)] + [rand(rng, 150, 200)]
+    q = [rand(rng, 1, 60) for _ in range(12)] + [t[-1][:70] + "GG" + t[-1][70:150] + t[-1][158:], "N", t[0]]
+    for kept in (k.KEPT, 1):  # all rows at once, and two at a time
+        monkeypatch.setattr(k, "KEPT", kept)
+        for costs in ((1, 3, 5), (2, 1, 1), (5, 4, 3), (60, 40, 30)):
+            want = [k.local_linear_equal(*k.pack([a]), *k.pack([b]), *costs)[0].tolist() for a in t for b in q]
+            assert k.linear_block(t, q, *costs).tolist() == want
+            assert k.linear_block(t, q, *costs, places=False)[:, 4].tolist() == [w[4] for w in want]
+        for coding, scores, gaps, least in ((k.NUCLEOTIDES, mat, (5, 2, 5, 2), 6), (k.NUCLEOTIDES, mat, (1, 1, 2, 1), 0), (k.NUCLEOTIDES, 2 * mat, (0, 1, 3, 2), 3), (protein, odd, (4, 2, 3, 1), 9), (k.NUCLEOTIDES, 40 * mat, (90, 30, 90, 30), 60)):
+            want = np.array([k.local_affine(*k.pack([a], coding), *k.pack([b], coding), scores, gaps, least)[0] for a in t for b in q])
+            got = k.affine_block(t, q, coding, scores, gaps, least)
+            seen = want[:, 0] >= least
+            assert (got[:, 0] == want[:, 0]).all() and (got[seen] == want[seen]).all(), gaps
+
+
+def test_all_pairs_are_aligned_in_blocks(spark, monkeypatch):
+    """A target is aligned with all queries of a block at once: no pair goes through the functions of pairs."""
+    monkeypatch.setattr(al, "_pairs", None)
+    t = spark.createDataFrame([("a", "ACGTACGTTT"), (None, "GGATTACA"), ("b", ""), ("c", None)], "name string, seq string")
+    q = spark.createDataFrame([(1, "CGTACG"), (2, "GATACA"), (3, None), (4, "CCCNCC")], "name int, seq string")
+    got = {(r.t_name, r.q_name): tuple(r)[1:3] + tuple(r)[4:] for r in al.align_local_linear(t, q).collect()}
+    assert len(got) == 6 and got["a", 1] == (1, 7, 0, 6, 6) and got[None, 2] == (4, 8, 2, 6, 4) and got["a", 4] == (1, 2, 0, 1, 1)
+    assert {(r.t_name, r.q_name): r.score for r in al.linear_scores(t, q).collect()} == {key: v[-1] for key, v in got.items()}
+    assert {(r.t_name, r.q_name, r.strand) for r in al.align_local_affine(t, q, min_score=4).collect()} >= {("a", 1, "+"), ("a", 1, "-"), (None, 2, "+")}
+
+
+def test_a_target_row_is_cheap():
+    rng = random.Random(5)
+    t, q = [rand(rng, 35, 40, "AT") for _ in range(30)], [rand(rng, 400, 450, "AT") for _ in range(100)]
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    pairs = [(a, b) for a in t[:3] for b in q]
+    one = seconds(lambda: k.local_linear_equal(*k.pack([a for a, _ in pairs]), *k.pack([b for _, b in pairs]), 1, 3, 5))
+    assert seconds(lambda: k.linear_block(t, q, 1, 3, 5, False)) < 0.3 * 10 * one
