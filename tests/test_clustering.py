@@ -124,3 +124,29 @@ def test_linalg(spark, points):
     assert np.allclose(u.T @ u, np.eye(2)) and np.allclose(np.abs(u[:, 0] @ np.linalg.svd(x.T)[0][:, 0]), 1)
     got = points.select(linalg.project(F.col("v"), u).alias("p")).collect()
     assert np.allclose([r["p"] for r in got], x @ u)
+
+
+def test_all_k_together_are_the_separate_fits(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(5 * c, 1, (40, 3)) for c in range(3)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4).cache()
+    starts = {k: kmeans.fit(df, k, 5)[0] for k in (1, 2, 4)}
+    got = gmm._starts(df, [1, 2, 4], 5)
+    assert all(np.allclose(got[k], starts[k], rtol=1e-12) for k in starts)
+    table = {r["k"]: (r["ic"], r["converged"]) for r in gmm.select(df, ks=(1, 2, 4), start_turns=5, max_iter=30).collect()}
+    for k, start in starts.items():
+        _, loglik, rounds = gmm.fit(kmeans.assign(df, start), k, max_iter=30)
+        assert abs(table[k][0] - gmm.information_criterion(loglik, k, 3, 120)) < 1e-6 and table[k][1] == (rounds < 30)
+
+
+def test_choices_of_k_are_whole(spark, sf, monkeypatch):
+    """All K from 1 to 50 are fitted, to the end."""
+    from tessera.plans import registry
+
+    asked = []
+    monkeypatch.setattr(gmm, "select", lambda df, labels=None, **limits: asked.append((df, labels, limits)))
+    registry.QUERIES["gmm_select_k"](spark, sf)
+    registry.QUERIES["gmm_select_labels"](spark, sf)
+    assert [limits for *_, limits in asked] == [{}, {}] and asked[0][1] is None
+    each = {r["k"]: (r["n"], r["most"], r["kinds"]) for r in asked[1][1].groupBy("k").agg(F.count("*").alias("n"), F.max("label").alias("most"), F.countDistinct("label").alias("kinds")).collect()}
+    assert each == {k: (asked[0][0].count(), k - 1, k) for k in range(1, 51)}
