@@ -155,6 +155,44 @@ def test_sigma_of_points(many, points, monkeypatch):
     assert tsne.point_sigma(points, 3) == tsne.find_sigma(tsne.pair_distances(points), 3)
 
 
+def test_a_vector_goes_to_few_cells(spark):
+    """Of a table that fits in small blocks a vector is shuffled eight times, not sixteen, and a cell is a task."""
+    df = spark.range(5000).selectExpr("id", "array(double(id), 1D) as v")
+    cells = tsne._cells(tsne._rows(df, "id", "v"))
+    assert cells.rdd.getNumPartitions() == 36
+    rows = cells.selectExpr("length(ids) div 8 as n", "length(ids2) div 8 as m").collect()
+    assert len(rows) == 36 and sum(r.n for r in rows if r.m is None) == 5000 and sum(r.n + (r.m or 0) for r in rows) == 8 * 5000
+    assert sum(r.n * r.m if r.m else r.n * (r.n - 1) // 2 for r in rows) == 5000 * 4999 // 2
+
+
+def test_pairs_are_rounded_where_they_are_made(many):
+    """As SQL rounds: the whole number over a power of ten, halves up; the plan has no decimal rounding of rows."""
+    x = np.array([0.0, 4.9999995e-7, 5e-7, 0.1234565, 1.0000004999, 7.25])
+    assert tsne.rounded(x, 6).tolist() == [0.0, 0.0, 1e-6, np.floor(0.1234565 * 1e6 + 0.5) / 1e6, 1.0, 7.25] and tsne.rounded(x, None) is x
+    _, _, df = many
+    for made, exact, c, times in (
+        (tsne.pair_distances(df, digits=3), tsne.pair_distances(df), "d2", 1),
+        (tsne.point_affinities(df, 1.1, 300, times=1000, digits=3), tsne.point_affinities(df, 1.1, 300), "p", 1000),
+        (tsne.joint_q(df, times=1000, digits=3), tsne.joint_q(df), "q", 1000),
+    ):
+        got, want = ({(r["i"], r["j"]): r[c] for r in f.collect()} for f in (made, exact))
+        assert got.keys() == want.keys() and all(abs(got[k] - times * want[k]) < 0.0005001 and round(got[k], 3) == got[k] for k in got)
+    from tessera.plans import registry
+
+    for name in ("sq_dist_pairs", "tsne_affinity", "tsne_q"):
+        assert "round(" not in registry.QUERIES[name](df.sparkSession, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bandwidths_of_near_and_far_points(spark):
+    """Affinities that are 0 or denormal add what they are, in the pass that has them and in the quick one that has none."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(40, 2)), rng.normal(size=(40, 2)) + 40])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    d = tsne.pair_distances(df).cache()
+    for sigma in (0.03, 0.7, 1.05, 50.0):
+        assert abs(tsne.point_perplexity(df, sigma).first()[0] - tsne.perplexity(tsne.conditional(d, sigma)).first()[0]) < 1e-9
+
+
 def test_many_points_are_embedded(points, monkeypatch):
     few = tsne.tsne(points, target=3, seed=3, max_iter=2, mode="auto").orderBy("id").collect()
     assert few == tsne.tsne(points, target=3, seed=3, max_iter=2).orderBy("id").collect()
